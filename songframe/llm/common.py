@@ -55,3 +55,8 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows, and so the memory, of a batch of texts in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
