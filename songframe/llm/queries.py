@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from songframe.llm import exact_dedup, host_rules, mixing, url_filter
+from songframe.llm import bpe, exact_dedup, host_rules, mixing, simhash, url_filter
 
 QUERIES = {
     "op3_host_rules": host_rules.op3_host_rules,
+    "op4_bpe": bpe.op4_bpe,
     "op6_mixing": mixing.op6_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_simhash": simhash.op9_simhash,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
