@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from songframe.llm import bpe, exact_dedup, host_rules, mixing, simhash, url_filter
+from songframe.llm import bpe, exact_dedup, host_rules, mixing, simhash, token_index, url_filter, warc
 
 QUERIES = {
+    "op2_token_index": token_index.op2_token_index,
     "op3_host_rules": host_rules.op3_host_rules,
     "op4_bpe": bpe.op4_bpe,
     "op6_mixing": mixing.op6_mixing,
+    "op7_warc": warc.op7_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_url_filter": url_filter.op10_url_filter,
@@ -15,6 +17,7 @@ QUERIES = {
 ORACLES = {
     "op3_host_rules": host_rules.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
