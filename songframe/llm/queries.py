@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from songframe.llm import bpe, exact_dedup, host_rules, mixing, simhash, token_index, url_filter, warc
+from songframe.llm import bpe, exact_dedup, host_rules, mixing, pii, quality, simhash, token_index, url_filter, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_token_index": token_index.op2_token_index,
     "op3_host_rules": host_rules.op3_host_rules,
     "op4_bpe": bpe.op4_bpe,
+    "op5_quality": quality.op5_quality,
     "op6_mixing": mixing.op6_mixing,
     "op7_warc": warc.op7_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
