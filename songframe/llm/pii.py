@@ -36,7 +36,7 @@ from songframe.llm.common import small_batches, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS, MOST_CHARS, FEWEST_DIGITS = 24, 80, 7
-SENTENCES, EPOCHS, RATE, DECAY, SEED = 300, 4, 0.3, 1e-4, 11
+SENTENCES, EPOCHS, RATE, DECAY, SEED = 360, 4, 0.3, 1e-4, 11
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -306,7 +306,15 @@ def examples(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str, list[Span]
             made = (email, ip, card, phone, none)[kind]()
             if kind >= 0:
                 truth.append((kind, len(text), len(text) + len(made)))
-            text += made + rng.choice((" ", ", ", ". ", ") ")) + " ".join(word() for _ in range(rng.randint(1, 3)))
+            text += made
+            if kind > 0 and rng.random() < 0.4:  # a number next to it, which patterns run into
+                other = rng.choice((-1, -1, 1, 2))
+                made = (None, ip, card, None, lambda: number(rng.randint(2, 16)))[other]()
+                text += " "
+                if other >= 0:
+                    truth.append((other, len(text), len(text) + len(made)))
+                text += made
+            text += rng.choice((" ", ", ", ". ", ") ")) + " ".join(word() for _ in range(rng.randint(1, 3)))
         # what no candidate covers (too few digits or too many tokens) is no lesson
         line = Line(text)
         known = {(line.at[i], line.at[j]) for i, j in line.segments}
