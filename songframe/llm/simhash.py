@@ -107,31 +107,65 @@ def forest(tree: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarr
     return nodes[label[moved]], nodes[moved]
 
 
-def _link(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Edges within each run of equal (k, i, j); rows come sorted by these."""
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames that end where a run of equal (k, i, j) ends; rows come sorted by these."""
+    held: list[pd.DataFrame] = []
+    for x in batches:
+        key = x[["k", "i", "j"]].to_numpy()
+        if held and len(x) and (held[-1][["k", "i", "j"]].to_numpy()[-1] == key).all():
+            held.append(x)
+            continue
+        last = (key == key[-1]).all(axis=1) if len(x) else np.zeros(0, bool)
+        cut = int(np.argmax(last)) if len(x) else 0
+        if held and len(x):
+            same = (held[-1][["k", "i", "j"]].to_numpy()[-1] == key).all(axis=1)
+            cut = max(cut, int(same.sum()))
+        if cut:
+            yield pd.concat([*held, x.iloc[:cut]], ignore_index=True)
+            held = [x.iloc[cut:]] if cut < len(x) else []
+        elif len(x):
+            if held:
+                yield pd.concat(held, ignore_index=True)
+            held = [x]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _starts(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and size of each run of equal (k, i, j)."""
+    key = x[["k", "i", "j"]].to_numpy()
+    starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1))
+    return starts, np.diff(np.append(starts, len(x)))
+
 
-    def edges(x: pd.DataFrame) -> pd.DataFrame:
-        key, fp, side = x[["k", "i", "j"]].to_numpy(), x["fp"].to_numpy().view(np.uint64), x["side"].to_numpy()
-        starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1))
-        sizes = np.diff(np.append(starts, len(x)))
+def _link(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Edges within each run of equal (k, i, j)."""
+    for x in _runs(batches):
+        fp, side = x["fp"].to_numpy().view(np.uint64), x["side"].to_numpy()
+        starts, sizes = _starts(x)
         two = starts[sizes == 2]  # a root and one child, for all such trees at once
         two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
         found = [(fp[two], fp[two + 1])]
         for a, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             own, asks = fp[a : a + n], side[a : a + n]
             found.append(forest(own[asks == 0], own[asks == 1], radius) if asks.any() and not asks.all() else forest(own, own, radius))
-        return pd.DataFrame({"a": np.concatenate([x[0] for x in found]).view(np.int64), "b": np.concatenate([x[1] for x in found]).view(np.int64)})
+        yield pd.DataFrame({"a": np.concatenate([x[0] for x in found]).view(np.int64), "b": np.concatenate([x[1] for x in found]).view(np.int64)})
 
-    rest = None
-    for x in batches:
-        x = x if rest is None else pd.concat((rest, x), ignore_index=True)
-        last = (x[["k", "i", "j"]] == x[["k", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
-        cut = len(x) if not last.any() else int(np.argmax(last))
-        rest = x.iloc[cut:].reset_index(drop=True)
-        if cut:
-            yield edges(x.iloc[:cut].reset_index(drop=True))
-    if rest is not None and len(rest):
-        yield edges(rest)
+
+def dealt(keys: DataFrame, most: int) -> DataFrame:
+    """keys (k, fp and more) by shard; i, j name a tree and the block of queries
+    sent to it, side is 1 for queries. A shard of at most `most` rows is one tree."""
+    rest = [c for c in keys.columns if c != "k"]
+    large = staged(keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "large")
+    n_large = large.count()
+    zero = F.lit(0).cast("int")
+    out = keys.select("k", zero.alias("i"), zero.alias("j"), zero.alias("side"), *rest)
+    if n_large:
+        trees = F.ceil(F.col("n") / most).cast("int")
+        cut = keys.join(small(large, n_large), "k").withColumn("trees", trees).withColumn("own", F.pmod(F.xxhash64("fp", *(["sig"] if "sig" in rest else [])), "trees").cast("int"))
+        cut = cut.withColumn("to", F.explode(F.sequence(zero, F.col("trees") - 1))).select("k", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), (F.col("own") > F.col("to")).cast("int").alias("side"), *rest)
+        out = keys.join(small(large, n_large), "k", "left_anti").select("k", zero.alias("i"), zero.alias("j"), zero.alias("side"), *rest).unionByName(cut)
+    return out.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
 
 
 def links(fps: DataFrame, radius: int, blocks: int, most: int = MOST_IN_TREE) -> DataFrame:
@@ -139,17 +173,7 @@ def links(fps: DataFrame, radius: int, blocks: int, most: int = MOST_IN_TREE) ->
     within the radius."""
     masks = F.array(*(F.lit(m).cast("long") for m in block_masks(radius, blocks)))
     keys = fps.select("fp", F.posexplode(masks).alias("n", "mask")).select("fp", F.xxhash64("n", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"))
-    large = staged(keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "large")
-    n_large = large.count()
-    zero = F.lit(0).cast("int")
-    dealt = keys.select("k", zero.alias("i"), zero.alias("j"), zero.alias("side"), "fp")
-    if n_large:
-        trees = F.ceil(F.col("n") / most).cast("int")
-        cut = keys.join(small(large, n_large), "k").withColumn("trees", trees).withColumn("own", F.pmod(F.xxhash64("fp"), "trees").cast("int"))
-        cut = cut.withColumn("to", F.explode(F.sequence(zero, F.col("trees") - 1))).select("k", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), (F.col("own") > F.col("to")).cast("int").alias("side"), "fp")
-        dealt = keys.join(small(large, n_large), "k", "left_anti").select("k", zero.alias("i"), zero.alias("j"), zero.alias("side"), "fp").unionByName(cut)
-    dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return dealt.mapInPandas(lambda x: _link(x, radius), "a long, b long").where("a <> b").distinct()
+    return dealt(keys, most).mapInPandas(lambda x: _link(x, radius), "a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,14 +210,133 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return rows.join(staged(named, "named"), "fp").select("id", "th", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, radius: int = 5, blocks: int = 8) -> DataFrame:
+# ------------------------------------------- near duplicates by their similarity
+
+
+def shingles(text: str, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the n-word shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = min(n, len(words))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), SEED) for i in range(len(words) - n + 1)), np.uint64))
+
+
+def anchors(h: np.ndarray, bands: int) -> list[int]:
+    """Shard keys: of each band, a hash of the least values of two mixes of h. Sets
+    of Jaccard similarity s share one with probability 1 - (1 - s^2)^bands."""
+    if not len(h):
+        return []
+    out = []
+    for i in range(2 * bands):
+        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(int(((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)).min()))
+    return [xxhash.xxh64_intdigest(f"{i} {out[2 * i]} {out[2 * i + 1]}") - (1 << 63) for i in range(bands)]
+
+
+def shingle_sets(docs: DataFrame, key: str, text: str, n: int, bands: int) -> DataFrame:
+    """id, th, sig (a hash of the set), fp (its SimHash), the set's 32-bit hashes
+    and the shard keys of every row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = []
+            for t in x["t"]:
+                h = shingles(t, n)
+                ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                fp = int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+                rows.append((xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63), fp, np.unique(h.astype(np.uint32)).tobytes(), anchors(h, bands)))
+            yield pd.concat((x[["id", "th"]].reset_index(drop=True), pd.DataFrame(rows, columns=["sig", "fp", "own", "keys"])), axis=1)
+
+    small_batches(docs.sparkSession, 500)
+    rows = docs.select(F.col(key).cast("string").alias("id"), text_of(text).alias("t")).withColumn("th", F.xxhash64("t"))
+    found = rows.mapInPandas(run, "id string, th long, sig long, fp long, own binary, keys array<long>")
+    return found.withColumn("id", F.col("id").cast("long"))
+
+
+def similar_forest(fp: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (places) of stars that connect the pairs of a shard with similarity
+    `least` or more. A BK-tree gives those within the radius; pairs that are not yet
+    connected are compared set by set."""
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    known, every = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(known), np.int32)
+    begins = ends - sizes
+    label = np.arange(len(sets))
+    both = asks.any() and not asks.all()
+    stack = [(np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)) if both else (label.copy(), label.copy())]
+    while stack:
+        nodes, asked = stack.pop()
+        root, rest = nodes[0], nodes[1:]
+        away = np.bitwise_count(fp[asked] ^ fp[root]).astype(np.int16)
+        near = asked[away <= radius]
+        near = near[(label[near] != label[root]) & (sizes[near] >= least * sizes[root]) & (sizes[root] >= least * sizes[near])]
+        if near.size:
+            own = every[begins[root] : ends[root]]
+            mark[own] = 1
+            if sizes[near].sum() * 4 > len(every):
+                common = np.add.reduceat(mark[every], begins)[near]
+            else:
+                common = np.array([mark[every[begins[q] : ends[q]]].sum() for q in near])
+            mark[own] = 0
+            met = near[common >= least * (sizes[near] + sizes[root] - common)]
+            if met.size:
+                at = label[np.append(met, root)]
+                label[np.isin(label, at)] = at.min()
+        if rest.size:
+            edge = np.bitwise_count(fp[rest] ^ fp[root])
+            for d in np.unique(edge):
+                follow = np.abs(away - np.int16(d)) <= radius
+                if follow.any():
+                    stack.append((rest[edge == d], asked[follow]))
+    moved = np.flatnonzero(label != np.arange(len(sets)))
+    return label[moved], moved
+
+
+def _link_similar(batches: Iterator[pd.DataFrame], radius: int, least: float) -> Iterator[pd.DataFrame]:
+    for x in _runs(batches):
+        fp, side, sig = x["fp"].to_numpy().view(np.uint64), x["side"].to_numpy(), x["sig"].to_numpy()
+        a, b = [], []
+        for start, n in zip(*_starts(x), strict=True):
+            if n > 1:
+                sets = [np.frombuffer(o, np.uint32) for o in x["own"].iloc[start : start + n]]
+                root, node = similar_forest(fp[start : start + n], sets, side[start : start + n], radius, least)
+                a.append(sig[start + root])
+                b.append(sig[start + node])
+        yield pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+
+
+def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, least: float = 0.8, radius: int = 16, bands: int = 9, most: int = 2048) -> DataFrame:
+    """id, th, sig and component_id of every row: texts are linked when the Jaccard
+    similarity of their sets of n-word shingles is `least` or more.
+
+    At such similarities SimHash values differ in up to some 16 of 64 bits, which
+    no cut into blocks of bits can find cheaply; shards are therefore dealt by the
+    texts' least shingle hashes, and only keys that two different sets share carry
+    the sets themselves. Every link that is made was checked against the sets."""
+    rows = staged(shingle_sets(docs, key, text, n, bands), "sets")
+    first = staged(rows.groupBy("sig").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.min_by("keys", "th").alias("keys")), "distinct-sets")
+    keys = first.select("sig", "fp", F.explode("keys").alias("k"))
+    shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    keys = staged(keys.join(shared, "k"), "shared-keys")
+    asked = keys.select("sig").distinct()
+    sets = rows.select("sig", "own").join(asked, "sig").groupBy("sig").agg(F.first("own").alias("own"))
+    edges = dealt(keys.join(staged(sets, "asked-sets"), "sig").select("k", "fp", "sig", "own"), most)
+    edges = edges.mapInPandas(lambda x: _link_similar(x, radius, least), "a long, b long").distinct()
+    nodes = staged(components(edges).withColumnRenamed("node", "sig").join(first.select("sig", "first"), "sig"), "nodes")
+    ids = nodes.groupBy("root").agg(F.min("first").alias("least"))
+    named = first.join(nodes.join(ids, "root").select("sig", "least"), "sig", "left").select("sig", F.coalesce("least", "first").alias("component_id"))
+    return rows.select("id", "th", "sig").join(staged(named, "named"), "sig")
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one row of each component: that with the smallest id (of rows
     without ids or with the same: that with the smallest text hash)."""
     names = docs.columns
-    rows = staged(simhash_components(docs, key, text, n, radius, blocks), "components")
-    # without any id in a component, its rows share a fingerprint's component only
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
-    rows = rows.withColumns({"g": group[0], "h": group[1]})
+    rows = staged(similar_components(docs, key, text, n, least), "components")
+    # without any id in a component, only rows with the same set are known to be together
+    rows = rows.withColumns({"g": F.col("component_id"), "h": F.when(F.col("component_id").isNull(), F.col("sig"))})
     best = rows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("best")).where("n > 1")
     own = rows.join(best.withColumnsRenamed({"g": "g2", "h": "h2"}), rows["g"].eqNullSafe(F.col("g2")) & rows["h"].eqNullSafe(F.col("h2")))
     same = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("th") == F.col("best.th"))
