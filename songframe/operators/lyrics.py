@@ -44,14 +44,15 @@ def aligned(left: DataFrame, right: DataFrame) -> DataFrame:
     def fold(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"chart_id": [], "left_pos": [], "right_pos": []})
-        a, b = a.sort_values("pos"), b.sort_values("pos")
-        at, bt = a["pos"].tolist(), b["pos"].tolist()
-        found = [(at[i], bt[j]) for i, j in _pairs(a["key"].tolist(), b["key"].tolist())]
+        a, b = a.sort_values("pos"), b.sort_values("right_pos")
+        at, bt = a["pos"].tolist(), b["right_pos"].tolist()
+        found = [(at[i], bt[j]) for i, j in _pairs(a["key"].tolist(), b["right_key"].tolist())]
         out = pd.DataFrame(found, columns=["left_pos", "right_pos"])
         return out.assign(chart_id=a["chart_id"].iloc[0])[["chart_id", "left_pos", "right_pos"]]
 
-    slim = ["chart_id", "pos", "key"]
-    return left.select(slim).groupBy("chart_id").cogroup(right.select(slim).groupBy("chart_id")).applyInPandas(fold, "chart_id long, left_pos int, right_pos int")
+    other = right.select(F.col("chart_id").alias("right_chart"), F.col("pos").alias("right_pos"), F.col("key").alias("right_key"))
+    pairs = left.select("chart_id", "pos", "key").groupBy("chart_id").cogroup(other.groupBy("right_chart"))
+    return pairs.applyInPandas(fold, "chart_id long, left_pos int, right_pos int")
 
 
 def matched_words(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -92,6 +93,6 @@ def look_up(songs: DataFrame, lyrics: DataFrame) -> DataFrame:
     body = F.coalesce(F.nullif("plain", F.lit("")), T.stripped(F.regexp_replace("synced", r"\[\d+:\d+(\.\d+)?\]\s*", "")))
     rows = lyrics.select("artist", "title", F.bround("duration").cast("int").alias("seconds"), F.when(~F.coalesce("instrumental", F.lit(False)), F.struct(body.alias("text"))).alias("body"))
     exact = rows.groupBy("artist", "title", "seconds").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("exact"))
-    loose = rows.groupBy("artist", "title").agg(F.min_by("body", "seconds").alias("loose"))
+    loose = rows.groupBy("artist", "title").agg(F.min_by("body", F.struct("seconds", "body")).alias("loose"))
     out = songs.withColumn("seconds", F.bround("duration").cast("int")).join(exact, ["artist", "title", "seconds"], "left").join(loose, ["artist", "title"], "left")
     return out.withColumn("text", F.when(F.col("n").isNotNull(), F.col("exact.text")).otherwise(F.col("loose.text"))).drop("seconds", "n", "exact", "loose")

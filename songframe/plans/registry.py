@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from songframe.plans import measures, sequences
+from songframe.plans import joins, measures, sequences, texts
 
-PARTS = (sequences, measures)
+PARTS = (sequences, measures, joins, texts)
 QUERIES = {name: f for part in PARTS for name, f in part.Q.queries.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.Q.sql.items()}
