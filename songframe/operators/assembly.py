@@ -19,6 +19,7 @@ from songframe.functions import timing
 from songframe.functions.arrow import syllables_of
 from songframe.functions.text import artists, letters_key, several_artists, stripped
 from songframe.operators import intervals, metrics, recurrences, sequences
+from songframe.operators.storage import kept as keep
 
 
 def _defaults(words: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def prepared(words: DataFrame, frames: DataFrame, drop_adlibs: bool = False) ->
         "timed": F.bool_or(F.col("char_spans").isNotNull()).over(whole),
         "end_s": F.greatest("end_s", F.col("start_s") + timing.FEWEST_S),
     })
-    rows = intervals.snapped(rows, frames)
+    rows = keep(intervals.snapped(rows, frames), "snapped")
     moved = sequences.reanchored(rows.where("by_line AND NOT timed"))
     fresh = intervals.snapped(moved.where("early").drop("early"), frames)
     rest = moved.where("NOT early").drop("early").unionByName(rows.where("NOT (by_line AND NOT timed)"))
@@ -102,11 +103,9 @@ def note_rows(rows: DataFrame, bpm: float) -> DataFrame:
 
 def assembled(
     words: DataFrame, frames: DataFrame, songs: DataFrame, segments: DataFrame | None = None, speaker_frames: DataFrame | None = None, *, grid: float = timing.GRID_S, sentence_gap: float = timing.SENTENCE_GAP_S,
-    duet: str = "auto", unison: str = "both", drop_adlibs: bool = False, least_apart: float = 6.0, names: tuple[str | None, str | None] = (None, None), keep=None,
+    duet: str = "auto", unison: str = "both", drop_adlibs: bool = False, least_apart: float = 6.0, names: tuple[str | None, str | None] = (None, None),
 ) -> tuple[DataFrame, DataFrame]:
-    """(charts, notes). keep(df, name), if given, materialises a step that later ones
-    read more than once."""
-    keep = keep or (lambda df, name: df)
+    """(charts, notes). Steps that later ones read more than once are kept as tables."""
     bpm = round(15.0 / grid, 2)
     spb = 15.0 / bpm
     rows = keep(prepared(words, frames, drop_adlibs), "prepared")
@@ -115,7 +114,7 @@ def assembled(
     change = F.when(F.col("by_line"), F.col("line_index") != F.lag("line_index").over(w)).otherwise(silence > sentence_gap)
     rows = rows.withColumns({"first": F.min_by("start_s", "pos").over(whole), "first_word": F.coalesce(change | (silence > timing.LINE_GAP_S), F.lit(False))})
     rows = sequences.islands(rows, F.col("first_word"), "line_no")
-    rows = intervals.word_speaker(rows, segments) if segments is not None else rows.withColumn("speaker", F.lit(None).cast("string"))
+    rows = keep(intervals.word_speaker(rows, segments) if segments is not None else rows.withColumn("speaker", F.lit(None).cast("string")), "speakers")
     sylls = keep(syllable_rows(rows), "syllables")
     notes = keep(note_rows(keep(pitched(sylls, frames, speaker_frames), "pitched"), bpm), "notes")
     speakers = metrics.majority(notes, ["chart_id", "line_no"], "speaker")
@@ -143,8 +142,8 @@ def assembled(
         by_voice = by_voice.join(shared, ["chart_id", "line_no"], "left")
         labels = keep(by_voice.select("chart_id", "line_no", "track", (F.col("k").isNotNull() & F.lit(unison == "both")).alias("both")), "by-voice")
     by_pitch = recurrences.two_registers(asked.join(labels, "chart_id", "left_anti").withColumn("pos", F.col("line_no").cast("int")), "register")
-    share = F.avg("label").over(whole)
-    by_pitch = by_pitch.where(F.lit(duet == "yes") | ((F.col("high") - F.col("low") >= least_apart) & share.between(0.15, 0.85)))
+    by_pitch = by_pitch.withColumn("share", F.avg("label").over(whole))
+    by_pitch = by_pitch.where(F.lit(duet == "yes") | ((F.col("high") - F.col("low") >= least_apart) & F.col("share").between(0.15, 0.85)))
     labels = keep(labels.unionByName(by_pitch.select("chart_id", F.col("pos").alias("line_no"), F.col("label").alias("track"), F.lit(False).alias("both"))), "labels")
     duets = labels.select("chart_id").distinct().withColumn("duet", F.lit(True))
     track = F.explode(F.when(F.coalesce("both", F.lit(False)), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.coalesce("track", F.lit(0)))))

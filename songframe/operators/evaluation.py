@@ -9,6 +9,7 @@ from songframe.functions import timing
 from songframe.functions.arrow import similarity_of
 from songframe.functions.text import lyric_text
 from songframe.operators import intervals, metrics, recurrences
+from songframe.operators.storage import kept
 
 
 def flattened(charts: DataFrame, notes: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def _side(rows: DataFrame, name: str) -> DataFrame:
 
 def scores(gen: DataFrame, ref: DataFrame, tolerance: float = 0.3) -> DataFrame:
     """The metrics of flattened() notes by chart; charts of either side have a row."""
-    pairs = recurrences.greedy_match(gen, ref, tolerance)
+    pairs = kept(recurrences.greedy_match(gen, ref, tolerance), "matches")
     pairs = pairs.join(gen.select("chart_id", F.col("pos").alias("gen_pos"), F.col("pitch").alias("g")), ["chart_id", "gen_pos"]).join(ref.select("chart_id", F.col("pos").alias("ref_pos"), F.col("pitch").alias("r")), ["chart_id", "ref_pos"])
     size = F.abs("error")
     onsets = pairs.groupBy("chart_id").agg(F.count(F.lit(1)).alias("matched"), F.round(metrics.median(size) * 1000, 1).alias("onset_err_ms_median"), F.round(F.avg(size) * 1000, 1).alias("onset_err_ms_mean"))
@@ -43,7 +44,7 @@ def duet_scores(gen: DataFrame, ref: DataFrame, tolerance: float = 0.3) -> DataF
     """For duets on both sides: the pairing of tracks with more matches (direct on
     ties), attributed, accuracy, and p1 and p2, the scores of each reference track."""
     both = gen.where("track = 1").select("chart_id").distinct().join(ref.where("track = 1").select("chart_id").distinct(), "chart_id")
-    gen, ref = gen.join(both, "chart_id", "left_semi"), ref.join(both, "chart_id", "left_semi")
+    gen, ref = kept(gen.join(both, "chart_id", "left_semi"), "duet-gen"), kept(ref.join(both, "chart_id", "left_semi"), "duet-ref")
     of = lambda rows, t: rows.where(F.col("track") == t)
     found = None
     for name, (a, b) in {"direct": (0, 1), "swap": (1, 0)}.items():
@@ -51,7 +52,7 @@ def duet_scores(gen: DataFrame, ref: DataFrame, tolerance: float = 0.3) -> DataF
         own = [intervals.nearest(of(ref, t), of(gen, g), tolerance) for t, g in ((0, a), (1, b))]
         other = [intervals.nearest(of(ref, t), of(gen, g), tolerance) for t, g in ((0, b), (1, a))]
         right = intervals.singer_accuracy(own[0].unionByName(own[1]), other[0].unionByName(other[1]))
-        one = one.join(right, "chart_id", "left").withColumn("pairing", F.lit(name))
+        one = kept(one.join(right, "chart_id", "left").withColumn("pairing", F.lit(name)), name)
         found = one if found is None else found.unionByName(one)
     best = F.row_number().over(Window.partitionBy("chart_id").orderBy(F.desc(F.col("p1.matched") + F.col("p2.matched")), "pairing"))
     return found.withColumn("best", best).where("best = 1").select("chart_id", "pairing", F.coalesce("attributed", F.lit(0)).alias("attributed"), F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"), "p1", "p2")
