@@ -37,7 +37,7 @@ from songframe.llm.files import NewFile, make_dir, opened
 from songframe.llm.words import Recent
 
 END = 1
-BUCKET = 16_384
+BUCKET = 1024
 #: Keys of a group, on average; displacements tried at a time.
 GROUP, TRIES = 4, 256
 #: Bytes that a lookup reads from a shard at a time.
