@@ -80,7 +80,7 @@ class Embeddings:
         self.rng = rng
 
     def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE) -> Embeddings:
-        of_word = Recent(features, 200_000)
+        of_word = Recent(features)
         bags = []
         for t in texts:
             bag: Counter[int] = Counter()
@@ -116,7 +116,7 @@ class Embeddings:
 
 class Scorer:
     def __init__(self, shares: np.ndarray, bias: float):
-        self.shares, self.bias, self.of_word = shares.tolist(), bias, Recent(self._word, 300_000)
+        self.shares, self.bias, self.of_word = shares.tolist(), bias, Recent(self._word)
 
     def _word(self, word: str) -> tuple[float, int]:
         found = features(word)

@@ -71,7 +71,7 @@ class Encoder:
         self.own.no_truncation()
         self.own.no_padding()
         self.model, self.letters = self.own.model, byte_letters()
-        self.of_word, self.of_part = Recent(self._word, 250_000), Recent(self._part, 250_000)
+        self.of_word, self.of_part = Recent(self._word), Recent(self._part)
 
     def _part(self, part: str) -> bytes:
         small = "".join(map(str.lower, part))

@@ -7,7 +7,7 @@ class Recent(dict):
     """Values by key. When `most` are held they become the older half, which is
     dropped when the next half is full; keys asked for again move up."""
 
-    def __init__(self, make, most: int = 500_000):
+    def __init__(self, make, most: int = 150_000):
         super().__init__()
         self.make, self.most, self.older = make, most, {}
 
