@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from songframe.functions import text as T
 from songframe.functions.arrow import similarity
-from songframe.operators.sequences import bracketed, carried, kept_words
+from songframe.operators.sequences import bracketed, carried, in_chart, kept_words
+from songframe.operators.storage import kept
 
 
 def raw_words(lines: DataFrame) -> DataFrame:
@@ -66,9 +67,9 @@ def with_lyrics(lines: DataFrame, words: DataFrame, least: float = 0.3) -> DataF
     before them, or go (see kept_words). Charts of which under `least` of the tokens
     match have no rows."""
     own = tokens(lines).withColumn("n", F.struct("line_index", "word_index"))
-    own = own.withColumn("pos", F.row_number().over(_in_order()).cast("int") - 1)
+    own = own.withColumn("pos", F.row_number().over(in_chart("line_index", "word_index")).cast("int") - 1)
     heard = words.withColumn("key", T.word_key(F.col("text")))
-    pairs = aligned(own, heard)
+    pairs = kept(aligned(own, heard), "aligned")
     enough = pairs.groupBy("chart_id").agg(F.count(F.lit(1)).alias("hits")).join(own.groupBy("chart_id").agg(F.count(F.lit(1)).alias("all")), "chart_id")
     enough = enough.where(F.col("hits") >= least * F.col("all")).select("chart_id")
     vocabulary = own.select("chart_id", "key").distinct().withColumn("known", F.lit(True))
@@ -79,12 +80,6 @@ def with_lyrics(lines: DataFrame, words: DataFrame, least: float = 0.3) -> DataF
     return rows.select("chart_id", "pos", F.coalesce("lyric", T.stripped(F.col("text"))).alias("text"), "start_s", "end_s", "line_index", F.coalesce("adlib", F.lit(False)).alias("adlib"))
 
 
-def _in_order():
-    from songframe.operators.sequences import in_chart
-
-    return in_chart("line_index", "word_index")
-
-
 def look_up(songs: DataFrame, lyrics: DataFrame) -> DataFrame:
     """songs (artist, title, duration) with the text of a lyric table (artist, title,
     duration, plain, synced, instrumental): by rounded duration, else by artist and

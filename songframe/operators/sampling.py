@@ -30,13 +30,13 @@ def terciles(rows: DataFrame, value: str) -> tuple[float, float]:
 def allocation(sizes: dict, n: int) -> dict:
     """How many of each stratum: in proportion, one at least, half to even; then the
     largest allocation gives, or the stratum with most rows left takes, until the sum
-    is n or nothing is left. A few strata on the driver."""
+    is n. A few strata on the driver."""
     total = sum(sizes.values())
     keys = sorted(sizes)
     out = {k: max(1, round(n * sizes[k] / total)) for k in keys}
     while sum(out.values()) > n:
         out[max(keys, key=out.__getitem__)] -= 1
-    while sum(out.values()) < min(n, total):
+    while sum(out.values()) < n:
         out[max(keys, key=lambda k: sizes[k] - out[k])] += 1
     return out
 

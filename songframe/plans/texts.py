@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from songframe.functions import arrow, text
@@ -188,15 +188,9 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def align_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of a conversation's first turn as lyric, the words of its second as heard."""
     turns = T.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chart_id"), "turn", "text")
-    order = F.row_number().over(_turns())
+    order = F.row_number().over(Window.partitionBy("chart_id").orderBy("turn", "text"))
     turns = turns.withColumn("n", order)
     lines = turns.where("n = 1").select("chart_id", F.posexplode(F.split("text", "\n")).alias("line_index", "text"))
     heard = turns.where("n = 2").select("chart_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "text"))
     heard = heard.withColumns({"start_s": F.col("pos") * 0.5, "end_s": F.col("pos") * 0.5 + 0.4})
     return lyrics.with_lyrics(lines, heard, least=0.0)
-
-
-def _turns():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("chart_id").orderBy("turn", "text")
