@@ -61,7 +61,7 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     gone = staged(exact_groups(docs, key, text).where(~F.col("kept")), "gone")
     gone = gone.withColumn("same", F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("cp") == F.col("keep_cp")))
     known = gone.agg(F.count_if("same").alias("same"), F.count_if(~F.col("same")).alias("other")).first()
-    cols = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))
+    cols = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at = {c: f"c{i}" for i, c in enumerate(names)}
     cols = cols.withColumn("d", digest_of(at[text])).withColumn("n", F.char_length(text_of(at[text])).cast("long"))
 
@@ -75,7 +75,7 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
         once = cols.join(small(again, known.same), on(again), "left_anti")
         one = cols.join(small(again, known.same), on(again), "left_semi").dropDuplicates([at[key], "d", "n"])
         cols = once.unionByName(one)
-    return cols.select(*(F.col(at[c]).alias(c) for c in names))
+    return cols.select(*at.values()).toDF(*names)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

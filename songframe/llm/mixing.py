@@ -83,9 +83,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     targets, n = source_targets(slim.select("source", "size"))
     targets = targets.select(F.col("source").alias("mix own"), F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)).alias("mix rate"))
     whole = F.floor(F.col("mix rate"))
-    times = (whole + (chance(F.col(key), seed) < F.col("mix rate") - whole).cast("long")).cast("int")
-    joined = docs.join(small(targets, n, 10_000), docs[source].eqNullSafe(targets["mix own"]))
-    return joined.withColumn("mix copy", F.explode(F.array_repeat(F.lit(1), times))).select(*(docs[c] for c in docs.columns))
+    names = docs.columns
+    own = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    times = (whole + (chance(F.col(f"c{names.index(key)}"), seed) < F.col("mix rate") - whole).cast("long")).cast("int")
+    joined = own.join(small(targets, n, 10_000), own[f"c{names.index(source)}"].eqNullSafe(targets["mix own"]))
+    return joined.withColumn("mix copy", F.explode(F.array_repeat(F.lit(1), times))).select(*own.columns).toDF(*names)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

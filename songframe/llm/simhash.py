@@ -162,8 +162,8 @@ def dealt(keys: DataFrame, most: int) -> DataFrame:
     out = keys.select("k", zero.alias("i"), zero.alias("j"), zero.alias("side"), *rest)
     if n_large:
         trees = F.ceil(F.col("n") / most).cast("int")
-        cut = keys.join(small(large, n_large), "k").withColumn("trees", trees).withColumn("own", F.pmod(F.xxhash64("fp", *(["sig"] if "sig" in rest else [])), "trees").cast("int"))
-        cut = cut.withColumn("to", F.explode(F.sequence(zero, F.col("trees") - 1))).select("k", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), (F.col("own") > F.col("to")).cast("int").alias("side"), *rest)
+        cut = keys.join(small(large, n_large), "k").withColumn("trees", trees).withColumn("tree", F.pmod(F.xxhash64("fp", *(["sig"] if "sig" in rest else [])), "trees").cast("int"))
+        cut = cut.withColumn("to", F.explode(F.sequence(zero, F.col("trees") - 1))).select("k", F.least("tree", "to").alias("i"), F.greatest("tree", "to").alias("j"), (F.col("tree") > F.col("to")).cast("int").alias("side"), *rest)
         out = keys.join(small(large, n_large), "k", "left_anti").select("k", zero.alias("i"), zero.alias("j"), zero.alias("side"), *rest).unionByName(cut)
     return out.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
 
@@ -343,7 +343,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     own = staged(own.select("id", "th", same.alias("same")), "members")
     gone, again = own.where(~F.col("same")).select("id", "th").distinct(), own.where("same").groupBy("id", "th").count().where("count > 1").drop("count")
     n_gone, n_again = own.where(~F.col("same")).count(), again.count()
-    cols = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))
+    cols = docs.toDF(*(f"c{i}" for i in range(len(names))))
     k, t = f"c{names.index(key)}", f"c{names.index(text)}"
     cols = cols.withColumn("u", F.xxhash64(text_of(t)))
 
@@ -354,7 +354,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     if n_again:  # fully repeated rows
         one = cols.join(small(again, n_again), on(again), "left_semi").dropDuplicates([k, "u"])
         cols = cols.join(small(again, n_again), on(again), "left_anti").unionByName(one)
-    return cols.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    return cols.select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
