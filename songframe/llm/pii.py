@@ -36,7 +36,7 @@ from songframe.llm.common import small_batches, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS, MOST_CHARS, FEWEST_DIGITS = 24, 80, 7
-SENTENCES, EPOCHS, RATE, DECAY, SEED = 400, 4, 0.3, 1e-4, 11
+SENTENCES, EPOCHS, RATE, DECAY, SEED = 560, 4, 0.3, 1e-4, 11
 
 Span = tuple[int, int, int]  # kind, start, end
 
