@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import json
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -67,18 +68,21 @@ class Encoder:
     def __init__(self, vocabulary: str, kind: str):
         from tokenizers import Tokenizer
 
-        self.own, self.kind = Tokenizer.from_file(vocabulary), kind
+        self.own, self.code = Tokenizer.from_file(vocabulary), "H" if kind == "<u2" else "I"
         self.own.no_truncation()
         self.own.no_padding()
         self.model, self.letters = self.own.model, byte_letters()
-        self.of_word, self.of_part = Recent(self._word), Recent(self._part)
+        self.of_word, self.of_part = Recent(self._word, 350_000), Recent(self._part, 350_000)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _part(self, part: str) -> bytes:
         small = "".join(map(str.lower, part))
         if part.isalpha() and small.isalpha() and unicodedata.is_normalized("NFC", part):  # one word of the split, so only the merges are left
             spelt = small if small.isascii() else "".join([self.letters[b] for b in small.encode("utf-8")])
-            return np.array([x.id for x in self.model.tokenize(spelt)], self.kind).tobytes()
-        return np.array(self.own.encode(part, add_special_tokens=False).ids, self.kind).tobytes()
+            return self._packed([x.id for x in self.model.tokenize(spelt)])
+        return self._packed(self.own.encode(part, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
         bare = word.rstrip(MARKS)
