@@ -56,8 +56,8 @@ class Bpe:
         self.bytes |= {i: bytes(back[c] for c in s) if all(c in back for c in s) else s.encode() for s, i in self.added.items()}
         self.words = regex.compile(pattern)
         self.split_added = regex.compile("|".join(sorted(map(regex.escape, self.added), key=len, reverse=True))) if self.added else None
-        self.of_word = Recent(self.merge)
-        self.of_part = Recent(self._part)
+        self.of_word = Recent(self.merge, 300_000)
+        self.of_part = Recent(self._part, 300_000)
 
     def merge(self, word: str) -> bytes:
         """Ids of one word of the split, as little-endian unsigned 32-bit integers."""
