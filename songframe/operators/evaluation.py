@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from songframe.functions import timing
-from songframe.functions.arrow import similarity_of
-from songframe.functions.text import lyric_text
+from songframe.functions.arrow import similarity_of, syllables_of
+from songframe.functions.text import letters_key, lyric_text
 from songframe.operators import intervals, metrics, recurrences
 from songframe.operators.storage import kept
 
@@ -56,3 +56,51 @@ def duet_scores(gen: DataFrame, ref: DataFrame, tolerance: float = 0.3) -> DataF
         found = one if found is None else found.unionByName(one)
     best = F.row_number().over(Window.partitionBy("chart_id").orderBy(F.desc(F.col("p1.matched") + F.col("p2.matched")), "pairing"))
     return found.withColumn("best", best).where("best = 1").select("chart_id", "pairing", F.coalesce("attributed", F.lit(0)).alias("attributed"), F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"), "p1", "p2")
+
+
+def timing_scores(gold: DataFrame, heard: DataFrame, pairs: DataFrame) -> DataFrame:
+    """By chart, of words (chart_id, pos, start_s, end_s) and their pairs (left_pos in
+    gold, right_pos in heard): recall, and the error statistics of onsets and ends.
+    Charts without pairs have recall 0 and no statistics."""
+    g = gold.select("chart_id", F.col("pos").alias("left_pos"), F.col("start_s").alias("gs"), F.col("end_s").alias("ge"))
+    h = heard.select("chart_id", F.col("pos").alias("right_pos"), F.col("start_s").alias("hs"), F.col("end_s").alias("he"))
+    both = pairs.join(g, ["chart_id", "left_pos"]).join(h, ["chart_id", "right_pos"])
+    out = gold.groupBy("chart_id").agg(F.count(F.lit(1)).alias("words"))
+    for name, error in (("onset", F.col("hs") - F.col("gs")), ("end", F.col("he") - F.col("ge"))):
+        stats = metrics.error_stats(both.withColumn("error", error), "chart_id")
+        out = out.join(stats.select("chart_id", F.struct("n", "median_ms", "mae_ms", "p90_ms", "bias_ms").alias(name)), "chart_id", "left")
+    recall = F.round(timing.ratio(F.coalesce("onset.n", F.lit(0)), F.col("words")), 3)
+    return out.select("chart_id", recall.alias("recall"), "onset", "end")
+
+
+def pitch_scores(notes: DataFrame, frames: DataFrame, least: int = 10) -> DataFrame:
+    """By chart, of notes (chart_id, pos, start_s, end_s, pitch): n_notes, n_scored (two
+    voiced frames or more), coverage, and the agreement of their pitches with the frames'
+    medians; null under `least` scored notes."""
+    rows = intervals.median_pitch(notes, frames)
+    scored = rows.where("n_frames >= 2").select("chart_id", F.col("pitch").cast("double").alias("g"), F.col("midi").alias("r"))
+    counts = rows.groupBy("chart_id").agg(F.count(F.lit(1)).alias("n_notes"), F.count_if(F.col("n_frames") >= 2).alias("n_scored"))
+    out = counts.join(metrics.pitch_agreement(scored), "chart_id", "left")
+    enough = lambda c: F.when(F.col("n_scored") >= least, F.col(c))
+    return out.select("chart_id", "n_notes", "n_scored", F.round(timing.ratio(F.col("n_scored"), F.col("n_notes")), 3).alias("coverage"), enough("within_2st").alias("within_2st"), enough("contour_corr").alias("contour_corr"))
+
+
+def syllable_scores(words: DataFrame, letters: DataFrame) -> DataFrame:
+    """By chart, of words (chart_id, pos, text, start_s, end_s, syllables) of which the
+    text's own syllables are as many: how far onsets of inner syllables lie from those
+    of a spread in proportion, and from the letters' times (chart_id, pos, norm,
+    char_spans), in ms. Words of one syllable do not count."""
+    rows = words.where(F.size("syllables") >= 2).withColumn("parts", syllables_of("text")).where(F.size("parts") == F.size("syllables"))
+    rows = rows.join(letters, ["chart_id", "pos"], "left").withColumn("keys", F.transform("parts", letters_key))
+    fits = F.coalesce((F.size("char_spans") > 0) & ~F.exists("keys", lambda k: k == "") & (F.array_join("keys", "") == F.col("norm")), F.lit(False))
+    inner = rows.withColumn("fits", fits).select("*", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("i"))
+    chars = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0), lambda a, p: a + F.char_length(p))
+    whole = chars("parts", F.size("parts"))
+    at = F.col("syllables")[F.col("i")]["start_s"]
+    even = F.abs(F.col("start_s") + (F.col("end_s") - F.col("start_s")) * chars("parts", F.col("i")) / whole - at)
+    cut = F.when(F.col("fits"), F.abs(F.try_element_at("char_spans", chars("keys", F.col("i")) + 1)["s"] - at))
+    rows = inner.select("chart_id", "pos", even.alias("even"), cut.alias("cut")).groupBy("chart_id")
+    return rows.agg(
+        F.count_distinct("pos").alias("n_words"), F.count("even").alias("n_prop"), F.count("cut").alias("n_fa"),
+        F.round(metrics.median("even") * 1000, 1).alias("prop_median_ms"), F.round(metrics.median("cut") * 1000, 1).alias("fa_median_ms"),
+    )

@@ -102,3 +102,9 @@ def with_results(sample: DataFrame, results: DataFrame, errors: DataFrame, key:
 def pending(sample: DataFrame, results: DataFrame, errors: DataFrame, key: str) -> DataFrame:
     """Rows of the sample that have neither result nor error."""
     return sample.join(results.select(key), key, "left_anti").join(errors.select(key), key, "left_anti")
+
+
+def romanizable(tokens: DataFrame, key: Column, least: float = 0.8) -> DataFrame:
+    """By chart, the share of tokens with letters in their key, and whether it is enough."""
+    out = tokens.groupBy("chart_id").agg(F.avg((key != "").cast("int")).alias("share"))
+    return out.withColumn("passes", F.col("share") >= least)

@@ -166,3 +166,19 @@ def flat_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     fa = F.struct((F.col("quality") == 1).alias("ok"), F.col("toxic").cast("double").alias("score"), F.lit(None).cast("double").alias("aligned_frac"), F.lit(None).cast("double").alias("recall"), none.alias("onset"))
     rows = rows.select(F.col("doc_id").alias("stem"), F.col("n_chars").alias("n_gold_words"), whisper.alias("whisper"), fa.alias("fa"), *(F.lit(None).cast(k).alias(c) for c, k in empty.items()))
     return library.flat_metrics(rows).select("stem", "n_gold_words", "w_recall", "fa_score", "fa_ok")
+
+
+@Q.add(
+    "WITH " + T.SEGMENTS + """,
+f AS (SELECT s.chart_id, s.seg, count(n.pos) AS k, 69 + 12 * log2(median(n.f0) / 440) AS r FROM segments s LEFT JOIN notes n ON n.chart_id = s.chart_id AND n.start_s >= s.s AND n.start_s < s.e + 2 AND n.voiced GROUP BY ALL),
+q AS (SELECT chart_id, (60 + seg % 12)::DOUBLE AS g, r FROM f WHERE k >= 2),
+m AS (SELECT chart_id, g - median(g) OVER (PARTITION BY chart_id) AS g, r - median(r) OVER (PARTITION BY chart_id) AS r FROM q),
+a AS (SELECT chart_id, round(avg((abs(g - r) <= 2)::INT), 3) AS w, round(coalesce(covar_pop(g, r) / nullif(stddev_pop(g) * stddev_pop(r), 0), 0), 3) AS c FROM m GROUP BY chart_id),
+n AS (SELECT chart_id, count(*) AS n_notes, count(*) FILTER (k >= 2) AS n_scored FROM f GROUP BY chart_id)
+SELECT chart_id, n_notes, n_scored, round(n_scored / n_notes, 3) AS coverage, CASE WHEN n_scored >= 10 THEN w END AS within_2st, CASE WHEN n_scored >= 10 THEN c END AS contour_corr FROM n LEFT JOIN a USING (chart_id)"""
+)
+def pitch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments, two seconds longer, as notes of a rising scale."""
+    rows = T.notes(spark, sf_dir)
+    spans = T.segments(rows).select("chart_id", F.col("seg").alias("pos"), F.col("s").alias("start_s"), (F.col("e") + 2).alias("end_s"), (60 + F.col("seg") % 12).alias("pitch"))
+    return evaluation.pitch_scores(spans, rows.select("chart_id", F.col("start_s").alias("t"), "f0", "conf"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from songframe.functions import arrow, text
-from songframe.operators import lyrics
+from songframe.operators import lyrics, metrics
 from songframe.operators.sequences import bracketed
 from songframe.plans import tables as T
 from songframe.plans.book import Book
@@ -194,3 +194,9 @@ def align_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     heard = turns.where("n = 2").select("chart_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "text"))
     heard = heard.withColumns({"start_s": F.col("pos") * 0.5, "end_s": F.col("pos") * 0.5 + 0.4})
     return lyrics.with_lyrics(lines, heard, least=0.0)
+
+
+@Q.add("WITH " + TOKENS + "SELECT chart_id, round(avg((regexp_replace(strip_accents(lower(text)), '[^a-z]', '', 'g') <> '')::INT), 6) AS share, avg((regexp_replace(strip_accents(lower(text)), '[^a-z]', '', 'g') <> '')::INT) >= 0.8 AS passes FROM tokens GROUP BY chart_id")
+def romanizable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.romanizable(lyrics.tokens(T.lines(spark, sf_dir)), text.letters_key(F.col("text")))
+    return out.withColumn("share", F.round("share", 6))

@@ -265,3 +265,16 @@ def test_assemble_adlibs_and_nothing(spark):
     text = lambda drop: "".join(r.text for r in assembled(rows, voice, song(spark), drop_adlibs=drop)[1].orderBy("line_no", "note_index").collect())
     assert "ba" in text(False) and "ba" not in text(True)
     assert assembled(rows.limit(0), voice, song(spark))[1].count() == 0
+
+
+def test_syllable_and_timing_scores(spark):
+    part = "array<struct<text:string,start_s:double,end_s:double>>"
+    rows = [(1, 0, "mano", 0.0, 1.0, [("ma", 0.0, 0.4), ("no", 0.4, 1.0)]), (1, 1, "sol", 1.0, 2.0, [("sol", 1.0, 2.0)]), (1, 2, "luna", 2.0, 3.0, [("l", 2.0, 2.2), ("u", 2.2, 2.4), ("na", 2.4, 3.0)])]
+    gold = spark.createDataFrame(rows, f"chart_id long, pos int, text string, start_s double, end_s double, syllables {part}")
+    letters = spark.createDataFrame([(1, 0, "mano", [(0.0, 0.1), (0.1, 0.3), (0.3, 0.6), (0.6, 1.0)])], "chart_id long, pos int, norm string, char_spans array<struct<s:double,e:double>>")
+    r = evaluation.syllable_scores(gold, letters).first()
+    assert (r.n_words, r.n_prop, r.n_fa, r.prop_median_ms, r.fa_median_ms) == (1, 1, 1, 100.0, 100.0)
+    heard = words(spark, [("mano", 0.1, 1.2), ("luna", 2.0, 2.9)])
+    pairs = spark.createDataFrame([(1, 0, 0), (1, 2, 1)], "chart_id long, left_pos int, right_pos int")
+    r = evaluation.timing_scores(gold, heard, pairs).first()
+    assert (r.recall, r.onset.median_ms, r.onset.bias_ms, r.end.mae_ms) == (0.667, 100.0, 50.0, 150.0)
