@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from songframe.operators import evaluation, intervals, lyrics, metrics, recurrences, sampling, sequences, validation
+from songframe.operators import evaluation, intervals, lyrics, metrics, profiling, recurrences, sampling, sequences, validation
 from songframe.operators.assembly import assembled
 from songframe.sources import chart_text, library
 
@@ -278,3 +278,16 @@ def test_syllable_and_timing_scores(spark):
     pairs = spark.createDataFrame([(1, 0, 0), (1, 2, 1)], "chart_id long, left_pos int, right_pos int")
     r = evaluation.timing_scores(gold, heard, pairs).first()
     assert (r.recall, r.onset.median_ms, r.onset.bias_ms, r.end.mae_ms) == (0.667, 100.0, 50.0, 150.0)
+
+
+def test_library_profile(spark):
+    good = "#TITLE:a\n#BPM:240\n: 0 4 5 la\n* 6 2 8 ~ le\nF 9 1 0 x\n- 12\n: 20 4 5 li\n: 22 2 5 lo\nE\n"
+    files = spark.createDataFrame([(1, good), (2, "#RELATIVE:YES\n#BPM:10\n: 0 1 1 a\n"), (3, "#BPM:240\n"), (4, None)], "chart_id long, text string")
+    ok, errors = profiling.usable(files)
+    assert [r.chart_id for r in ok.collect()] == [1]
+    assert {(r.chart_id, r.reason) for r in errors.collect()} == {(2, "relative beats"), (3, "no lines or tempo"), (4, "no lines or tempo")}
+    got = {r.metric: r for r in profiling.profile(files).collect()}
+    # gaps = notes - lines, and line gaps = lines - charts
+    assert (got["note_duration_ms"].n, got["intra_line_gap_ms"].n, got["inter_line_gap_s"].n, got["notes_per_line"].n) == (4, 2, 1, 2)
+    assert (got["note_duration_ms"].mean, got["intra_line_gap_ms"].mean, got["inter_line_gap_s"].mean, got["pitch_step"].mean) == (187.5, 62.5, 0.75, 1.5)
+    assert (got["hold_note_fraction"].mean, got["golden_fraction"].mean, got["pitch_range"].mean) == (0.25, 0.25, 3.0)
