@@ -256,8 +256,9 @@ def shingle_sets(docs: DataFrame, key: str, text: str, n: int, bands: int) -> Da
 
 def similar_forest(fp: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges (places) of stars that connect the pairs of a shard with similarity
-    `least` or more. A BK-tree gives those within the radius; pairs that are not yet
-    connected are compared set by set."""
+    `least` or more. A BK-tree gives those within the radius first, as they connect
+    most; pairs beyond it that are not yet connected are compared set by set too, so
+    the radius decides the order of work and never the result."""
     sizes = np.array([len(x) for x in sets])
     ends = np.cumsum(sizes)
     known, every = np.unique(np.concatenate(sets), return_inverse=True)
@@ -265,12 +266,9 @@ def similar_forest(fp: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, rad
     begins = ends - sizes
     label = np.arange(len(sets))
     both = asks.any() and not asks.all()
-    stack = [(np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)) if both else (label.copy(), label.copy())]
-    while stack:
-        nodes, asked = stack.pop()
-        root, rest = nodes[0], nodes[1:]
-        away = np.bitwise_count(fp[asked] ^ fp[root]).astype(np.int16)
-        near = asked[away <= radius]
+    trees, queries = (np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)) if both else (label.copy(), label.copy())
+
+    def join(root: int, near: np.ndarray) -> None:
         near = near[(label[near] != label[root]) & (sizes[near] >= least * sizes[root]) & (sizes[root] >= least * sizes[near])]
         if near.size:
             own = every[begins[root] : ends[root]]
@@ -284,12 +282,22 @@ def similar_forest(fp: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, rad
             if met.size:
                 at = label[np.append(met, root)]
                 label[np.isin(label, at)] = at.min()
+
+    stack = [(trees, queries)]
+    while stack:
+        nodes, asked = stack.pop()
+        root, rest = nodes[0], nodes[1:]
+        away = np.bitwise_count(fp[asked] ^ fp[root]).astype(np.int16)
+        join(root, asked[away <= radius])
         if rest.size:
             edge = np.bitwise_count(fp[rest] ^ fp[root])
             for d in np.unique(edge):
                 follow = np.abs(away - np.int16(d)) <= radius
                 if follow.any():
                     stack.append((rest[edge == d], asked[follow]))
+    for root in trees:  # what is still apart may be similar at any distance
+        rest = queries[label[queries] != label[root]]
+        join(root, rest[np.bitwise_count(fp[rest] ^ fp[root]) > radius])
     moved = np.flatnonzero(label != np.arange(len(sets)))
     return label[moved], moved
 
@@ -311,10 +319,11 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """id, th, sig and component_id of every row: texts are linked when the Jaccard
     similarity of their sets of n-word shingles is `least` or more.
 
-    At such similarities SimHash values differ in up to some 16 of 64 bits, which
-    no cut into blocks of bits can find cheaply; shards are therefore dealt by the
-    texts' least shingle hashes, and only keys that two different sets share carry
-    the sets themselves. Every link that is made was checked against the sets."""
+    At such similarities SimHash values mostly differ in up to some 16 of 64 bits,
+    which no cut into blocks of bits can find cheaply; shards are therefore dealt by
+    the texts' least shingle hashes, and only keys that two different sets share carry
+    the sets themselves. Every link that is made was checked against the sets; a pair
+    is missed only if no band deals both to one shard."""
     rows = staged(shingle_sets(docs, key, text, n, bands), "sets")
     first = staged(rows.groupBy("sig").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.min_by("keys", "th").alias("keys")), "distinct-sets")
     keys = first.select("sig", "fp", F.explode("keys").alias("k"))

@@ -130,3 +130,44 @@ def test_exact_heavy_hitters(spark):
     for r in got:
         own = groups[text[r.id].strip()]
         assert (r.group_size, r.keep_id, r.kept) == (len(own), min(own), r.id == min(own))
+
+
+def test_similar_sets_beyond_the_radius():
+    """Pairs at a similarity of 0.8 whose SimHash values differ in more than 16 bits."""
+    rng = np.random.default_rng(1)
+    beyond = 0
+    for _ in range(400):
+        w = [f"w{x}" for x in rng.integers(0, 10**9, 9)]
+        sets = [simhash.shingles(" ".join(w[:k]), 5) for k in (9, 8)]  # 5 shingles and 4 of them
+        bits = [np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0) * 2 > len(h) for h in sets]
+        fp = np.array([np.packbits(b, bitorder="little").view(np.uint64)[0] for b in bits])
+        beyond += int(np.bitwise_count(fp[0] ^ fp[1])) > 16
+        own = [np.unique(h.astype(np.uint32)) for h in sets]
+        for asks in (np.zeros(2, int), np.array([0, 1])):  # one tree, and a block of another's queries
+            root, node = simhash.similar_forest(fp, own, asks, 16, 0.8)
+            assert (root.tolist(), node.tolist()) == ([0], [1])
+    assert beyond > 10
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_similar_forest_against_all_pairs(blocks):
+    """Fingerprints say nothing here: all links must come from the sets."""
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 2**32, rng.integers(4, 40), dtype=np.uint32)
+        for _ in range(rng.integers(1, 5)):
+            base = base.copy()
+            base[rng.integers(len(base))] = rng.integers(0, 2**32)
+            sets.append(np.unique(base))
+    fp = rng.integers(0, 2**63, len(sets)).astype(np.uint64)
+    asks = rng.integers(0, 2, len(sets)) if blocks else np.zeros(len(sets), int)
+
+    def linked(a, b):
+        return (not blocks or asks[a] != asks[b]) and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+
+    label = list(range(len(sets)))
+    for root, node in zip(*simhash.similar_forest(fp, sets, asks, 16, 0.8), strict=True):
+        label[node] = root
+    roots = grouped(len(sets), linked)
+    assert [label.index(x) for x in label] == [roots.index(x) for x in roots]
