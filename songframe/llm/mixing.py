@@ -7,7 +7,8 @@ floor(rate) times, and once more if a hash of its id and the seed, read as a
 number in [0, 1), is under the rate's fraction. Reruns agree.
 
 Null text has no words. Null is a source of its own, last in order. Repeated
-rows of an id share their fate. A source without words takes nothing. An empty
+rows of an id share their fate. Rows without id are drawn by their text in mix();
+in op6_mixing, where SQL fixes the draw, they share one. A source without words takes nothing. An empty
 table gives an empty result. Sources are joined back by broadcast only when
 their count is within a bound. Other columns are passed on or left out; none can
 clash, since rows are worked on under names of our own.
@@ -85,7 +86,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     whole = F.floor(F.col("mix rate"))
     names = docs.columns
     own = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    times = (whole + (chance(F.col(f"c{names.index(key)}"), seed) < F.col("mix rate") - whole).cast("long")).cast("int")
+    # rows without id draw by their text, or all of them would draw as one
+    draw = F.coalesce(F.col(f"c{names.index(key)}").cast("string"), F.concat(F.lit(":"), text_of(f"c{names.index(text)}")))
+    times = (whole + (chance(draw, seed) < F.col("mix rate") - whole).cast("long")).cast("int")
     joined = own.join(small(targets, n, 10_000), own[f"c{names.index(source)}"].eqNullSafe(targets["mix own"]))
     return joined.withColumn("mix copy", F.explode(F.array_repeat(F.lit(1), times))).select(*own.columns).toDF(*names)
 

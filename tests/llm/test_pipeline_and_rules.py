@@ -90,3 +90,14 @@ def test_bloom_filter_has_no_false_negatives(spark):
     asked = spark.createDataFrame([(i, f"https://h{i}.org/p{i}/?utm_x=1") for i in range(4000)], "page_id long, url string")
     got = url_filter.judge(asked, listed.select(url_filter.canonical(listed.u).alias("canon")), rules=()).collect()
     assert all((r.verdict == "block") == (r.page_id < 2000) for r in got) and len(got) == 4000
+
+
+def test_mix_draws_rows_without_id_one_by_one(spark):
+    rows = [(None if i % 50 else i, f"w{i} b c d", "a" if i % 3 else "b") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    slim = docs.select(docs.doc_id.alias("id"), "source", mixing.size_of("text").alias("size"))
+    want = {r.source: r.target for r in mixing.source_targets(slim.select("source", "size"))[0].collect()}
+    got = Counter()
+    for r in mixing.mix(docs).collect():
+        got[r.source] += len(r.text.split())
+    assert all(abs(got[s] - target) < 0.05 * target for s, target in want.items()), (want, got)
