@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from songframe.functions import arrow, text
@@ -178,21 +178,26 @@ def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add()
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of neighbouring turns of a conversation."""
-    turns = T.read(spark, sf_dir, "conversations").select("conv_id", "turn", text.lyric_text(F.element_at(F.split("text", "\n"), 1)).alias("a"))
+    """Whole texts of neighbouring turns of a conversation."""
+    turns = T.read(spark, sf_dir, "conversations").select("conv_id", "turn", text.lyric_text(F.col("text")).alias("a"))
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
     return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(arrow.similarity_of("a", "b"), 6).alias("ratio"))
 
 
 @Q.add()
 def align_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of a conversation's first turn as lyric, the words of its second as heard."""
-    turns = T.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chart_id"), "turn", "text")
-    order = F.row_number().over(Window.partitionBy("chart_id").orderBy("turn", "text"))
+    """The lines of every turn of a conversation as lyric, the words of the next one as
+    heard; a pair of turns is a chart: conv_id, and the first one's place in the lower 24 bits."""
+    turns = T.read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    order = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
     turns = turns.withColumn("n", order)
-    lines = turns.where("n = 1").select("chart_id", F.posexplode(F.split("text", "\n")).alias("line_index", "text"))
-    heard = turns.where("n = 2").select("chart_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "text"))
+
+    def chart(n: Column) -> Column:
+        return (F.shiftleft(F.col("conv_id").cast("long"), 24) + n).alias("chart_id")
+
+    heard = turns.where("n > 1").select(chart(F.col("n") - 1), F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "text"))
     heard = heard.withColumns({"start_s": F.col("pos") * 0.5, "end_s": F.col("pos") * 0.5 + 0.4})
+    lines = turns.select(chart(F.col("n")), F.posexplode(F.split("text", "\n")).alias("line_index", "text"))
     return lyrics.with_lyrics(lines, heard, least=0.0)
 
 
