@@ -6,9 +6,10 @@ with [at]): it scores candidate segments of at most MOST_TOKENS tokens by featur
 of the whole span (digit groups, separators, check sum, neighbours, words before)
 and by the labels that follow each other; dynamic programming chooses boundaries
 and types together. Spans of the patterns stay as they are and no segment may
-touch one. Away from digits and at-signs there are no candidates, so the best path
-is all "outside" there and the text falls apart into windows that are decoded one
-by one; the result is that for the whole text.
+touch one. A candidate has an at-sign (or a word for it), FEWEST_DIGITS digits, or
+four short groups of digits with dots in some disguise. Away from these there are no
+candidates, so the best path is all "outside" there and the text falls apart into
+windows around them that are decoded one by one; the result is that for the whole text.
 
 The field is trained here, on lines that a seeded generator writes, by stochastic
 gradient ascent on the conditional log-likelihood (forward-backward over
@@ -23,6 +24,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -36,6 +38,7 @@ from songframe.llm.common import small_batches, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS, MOST_CHARS, FEWEST_DIGITS = 24, 80, 7
+MARGIN = MOST_CHARS + 32  # a candidate around a trigger, and what its features read beside it
 SENTENCES, EPOCHS, RATE, DECAY, SEED = 560, 4, 0.3, 1e-4, 11
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -89,8 +92,10 @@ def base_spans(text: str) -> list[Span]:
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[\s\S]")
 AT = re.compile(r"@|[\[({<]\x20?at\x20?[\])}>]", re.IGNORECASE)
-#: Something that a candidate must contain, roughly; windows are around these.
-TRIGGER = re.compile(r"[0-9](?:[^0-9\n]{0,4}[0-9]){6,}|@|[\[({<]\x20?at\x20?[\])}>]", re.IGNORECASE)
+#: Four groups of up to three digits with dots in some disguise, such as 10[.]0[.]0[.]1.
+DOT = r"(?:\x20?[\[({<]\x20?(?:\.|dot)\x20?[\])}>]\x20?|\x20?\.\x20?|\x20dot\x20)"
+QUAD = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
+DIGIT = re.compile(r"[0-9]")
 #: A dot, or a word for it, and another part of a domain.
 MORE = re.compile(r"(?:\.|\x20?[\[({<]\x20?dot\x20?[\])}>]\x20?|\x20dot\x20)[A-Za-z0-9]", re.IGNORECASE)
 CUE = re.compile(r"(?i)\b(tel|phone|call|fax|mobile|e-?mail|mail|contact|ip|host|server|address|card|visa|account|order|invoice|date|version|isbn|total|id)\b\W*$")
@@ -112,6 +117,7 @@ class Line:
         blocked = np.zeros(n + 1, np.int64)
         for i in range(n):
             blocked[i + 1] = blocked[i] + (text[self.at[i]] == "\n")
+        quads = {m.span() for k in range(n) if "0" <= text[self.at[k]] <= "9" and (m := QUAD.match(text, self.at[k]))}
         self.segments, self.features = [], []
         for i in range(n):
             a = self.at[i]
@@ -124,7 +130,7 @@ class Line:
                     break
                 if not text[b - 1].isalnum() or b < len(text) and text[b].isalnum() or b - a < 7:
                     continue
-                if digits[j] - digits[i] >= FEWEST_DIGITS or first < len(signs) and signs[first][1] < b:
+                if digits[j] - digits[i] >= FEWEST_DIGITS or first < len(signs) and signs[first][1] < b or (a, b) in quads:
                     self.segments.append((i, j))
                     self.features.append(span_features(text, a, b))
 
@@ -157,6 +163,8 @@ def span_features(text: str, a: int, b: int) -> list[str]:
         out += [f"luhn {sound}", f"luhn {sound} {min(len(digits), 20)}", f"luhn {sound} {'-'.join(str(min(len(g), 9)) for g in groups[:6])}"]
     if len(groups) == 4 and not letters:
         out.append(f"octets {all(len(g) <= 3 and int(g) <= 255 for g in groups)} {marks[:4]}")
+    if len(digits) <= 12 and QUAD.fullmatch(span):
+        out.append(f"quad {all(int(g) <= 255 for g in groups)} {marks[:4]} {letters > 0}")
     cue = CUE.search(text[max(0, a - 24) : a])
     return [*out, f"cue {cue[1].lower() if cue else 'none'}"]
 
@@ -268,7 +276,20 @@ class SemiCrf:
 
 
 def examples(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str, list[Span]]]:
-    """Lines with personal data in many forms, and with numbers that are none."""
+    """The lines to learn from: what no candidate covers (too many tokens, say) is no
+    lesson."""
+    out = []
+    for text, truth in written(n, seed):
+        line = Line(text)
+        known = {(line.at[i], line.at[j]) for i, j in line.segments}
+        if all((s, e) in known for _, s, e in truth):
+            out.append((text, truth))
+    return out
+
+
+def written(n: int, seed: int) -> list[tuple[str, list[Span]]]:
+    """Lines with personal data in many forms, and with numbers that are none; all of
+    them, whether candidates cover their truth or not."""
     rng = random.Random(seed)
     number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9)))
@@ -278,7 +299,8 @@ def examples(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str, list[Span]
         return word() + rng.choice(("", ".", "_")) + word() + rng.choice(("", number(2))) + at + dot.join(word() for _ in range(rng.randint(2, 3)))
 
     def ip() -> str:
-        return rng.choice((".", ".", "[.]", " . ", "(.)")).join(str(rng.randint(10, 255)) for _ in range(4))
+        dot = rng.choice((".", ".", "[.]", " . ", "(.)", "[.]", "[dot]", " [dot] ", "(dot)"))
+        return dot.join(str(rng.randint(0, rng.choice((9, 99, 255, 255)))) for _ in range(4))
 
     def card(good: bool = True) -> str:
         size = rng.choice((16, 16, 16, 15, 19))
@@ -296,7 +318,8 @@ def examples(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str, list[Span]
         return rng.choice(
             (f"{year}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{year}-{rng.randint(10, 12)}-{rng.randint(10, 28)} {rng.randint(10, 23)}:{rng.randint(10, 59)}", f"{rng.randint(1, 9)},{number(3)},{number(3)}.{number(2)}", number(rng.randint(7, 14)),
              card(False), card(False), f"{year}-{year + 3} {number(4)}", f"{number(3)}.{number(5)}, {number(2)}.{number(5)}", f"978-3-{number(3)}-{number(5)}-{number(1)}", "".join(rng.choice("0123456789abcdef") for _ in range(40)),
-             f"{rng.randint(256, 999)}.{rng.randint(256, 999)}.{number(3)}.{number(3)}", f"{number(4)} {number(4)}", f"{number(2)} {number(2)} {number(2)} {number(2)}", f"@{word()}", f"{word()} @ {number(2)}", f"{number(8)}-{number(4)}")
+             f"{rng.randint(256, 999)}.{rng.randint(256, 999)}.{number(3)}.{number(3)}", f"{number(4)} {number(4)}", f"{number(2)} {number(2)} {number(2)} {number(2)}", f"@{word()}", f"{word()} @ {number(2)}", f"{number(8)}-{number(4)}",
+             " ".join(f"{i}." for i in range(1, rng.randint(5, 9))), f"{rng.randint(256, 999)}[.]{rng.randint(0, 9)}[.]{rng.randint(0, 9)}[.]{rng.randint(0, 9)}")
         )
 
     cues = {0: ("email", "mail", "contact", ""), 1: ("host", "server", "ip", ""), 2: ("card", "visa", "account", ""), 3: ("tel", "phone", "call", "fax", ""), -1: ("order", "invoice", "date", "isbn", "total", "")}
@@ -319,11 +342,7 @@ def examples(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str, list[Span]
                     truth.append((other, len(text), len(text) + len(made)))
                 text += made
             text += rng.choice((" ", ", ", ". ", ") ")) + " ".join(word() for _ in range(rng.randint(1, 3)))
-        # what no candidate covers (too few digits or too many tokens) is no lesson
-        line = Line(text)
-        known = {(line.at[i], line.at[j]) for i, j in line.segments}
-        if all((s, e) in known for _, s, e in truth):
-            out.append((text, truth))
+        out.append((text, truth))
     return out
 
 
@@ -332,6 +351,17 @@ def trained() -> SemiCrf:
     return SemiCrf().fit(examples())
 
 
+def triggers(text: str) -> list[tuple[int, int]]:
+    """Spans by start; every candidate contains one."""
+    at = [m.start() for m in DIGIT.finditer(text)]
+    far = FEWEST_DIGITS - 1
+    out = [(a, b + 1) for a, b in zip(at, at[far:], strict=False) if b - a < MOST_CHARS and text.find("\n", a, b) < 0]
+    if len(at) >= 4:
+        # groups may overlap: 1.2.3.4.5 has two
+        out += [m.span() for m in map(QUAD.match, itertools.repeat(text), at) if m]
+    return sorted({*out, *(m.span() for m in AT.finditer(text))})
+
+
 def added_spans(text: str, base: list[Span], model: SemiCrf) -> list[Span]:
     """What the field finds beside the spans of the patterns."""
     rest, at = [], 0
@@ -343,8 +373,8 @@ def added_spans(text: str, base: list[Span], model: SemiCrf) -> list[Span]:
             at = end
     rest = "".join([*rest, text[at:]]) if base else text
     out, window = [], None
-    for m in TRIGGER.finditer(rest):
-        lo, hi = max(0, m.start() - MOST_CHARS), min(len(rest), m.end() + MOST_CHARS)
+    for start, end in triggers(rest):
+        lo, hi = max(0, start - MARGIN), min(len(rest), end + MARGIN)
         if window and lo <= window[1]:
             window[1] = hi
         else:

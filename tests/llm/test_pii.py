@@ -107,3 +107,30 @@ def test_best_path_beats_all_others():
         top = max(paths(line, 0, n), key=lambda p: score(line, [(k, c) if c is not None else (0, None) for k, c in p]))
         want = [(k, line.at[line.segments[c][0]], line.at[line.segments[c][1]]) for k, c in top if c is not None]
         assert model.best(line) == want
+
+
+def test_field_on_all_unseen_lines_through_windows():
+    """Nothing is left out: truth without a candidate counts as missed."""
+    model, hit, found, there, short = pii.trained(), 0, 0, 0, 0
+    for text, truth in pii.written(300, seed=78):
+        base = pii.base_spans(text)
+        got = {*base, *pii.added_spans(text, base, model)}
+        hit, found, there = hit + len(got & set(truth)), found + len(got), there + len(truth)
+        short += sum(k == 1 and sum(map(str.isdigit, text[a:b])) < 7 and (k, a, b) not in base for k, a, b in truth)
+    assert short > 10 and hit / there > 0.9 and hit / found > 0.8, (short, hit, found, there)
+
+
+@pytest.mark.parametrize("found", ["10[.]0[.]0[.]1", "8[.]8[.]8[.]8", "10 [dot] 0 [dot] 0 [dot] 1"])
+def test_disguised_short_addresses(found):
+    text = f"the host {found} and"
+    assert (1, 9, 9 + len(found)) in pii.added_spans(text, pii.base_spans(text), pii.trained())
+
+
+def test_windows_give_the_result_of_the_whole_text():
+    """Also where the digits of a candidate lie far apart."""
+    model, rng = pii.trained(), random.Random(4)
+    for _ in range(60):
+        text = " ".join(rng.choice(("word", "la", "12", "7", "x@", "1 . 2 . 3 . 4", "call", "a" * 30, "499-555-6503", ", and", "\n")) for _ in range(40))
+        base = pii.base_spans(text)
+        if not base:
+            assert pii.added_spans(text, base, model) == model.best(pii.Line(text))
