@@ -6,10 +6,13 @@ with [at]): it scores candidate segments of at most MOST_TOKENS tokens by featur
 of the whole span (digit groups, separators, check sum, neighbours, words before)
 and by the labels that follow each other; dynamic programming chooses boundaries
 and types together. Spans of the patterns stay as they are and no segment may
-touch one. A candidate has an at-sign (or a word for it), FEWEST_DIGITS digits, or
-four short groups of digits with dots in some disguise. Away from these there are no
-candidates, so the best path is all "outside" there and the text falls apart into
-windows around them that are decoded one by one; the result is that for the whole text.
+touch one. A candidate has one at-sign (or a word for it), or FEWEST_DIGITS to
+MOST_DIGITS digits in MOST_GROUPS groups at most with marks and blanks between, or
+four short groups of digits with dots in some disguise; it never spans a line end.
+Away from these the best path is all "outside", so a text falls apart into the
+regions that candidates cover, with the same result as if it were decoded whole.
+Decoding goes from left to right and holds a bounded number of scores; spans without
+letters are scored once for all numbers of their form.
 
 The field is trained here, on lines that a seeded generator writes, by stochastic
 gradient ascent on the conditional log-likelihood (forward-backward over
@@ -24,9 +27,10 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
-import itertools
+import math
 import random
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from songframe.llm.common import small_batches, table, text_of
+from songframe.llm.words import Recent
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS, MOST_CHARS, FEWEST_DIGITS = 24, 80, 7
-MARGIN = MOST_CHARS + 32  # a candidate around a trigger, and what its features read beside it
-SENTENCES, EPOCHS, RATE, DECAY, SEED = 560, 4, 0.3, 1e-4, 11
+#: Without at-sign: at most so many digits, in so many groups, so many marks apart.
+MOST_DIGITS, MOST_GROUPS, GAP = 19, 7, 3
+SENTENCES, EPOCHS, RATE, DECAY, SEED = 720, 4, 0.3, 1e-4, 11
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -52,6 +58,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+DIGITS = re.compile(r"[0-9]+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
@@ -63,6 +70,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    bare = digits.lstrip("0")
+    return len(bare) < 3 or len(bare) == 3 and bare <= "255"
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -79,7 +92,7 @@ def base_spans(text: str) -> list[Span]:
             end = found.end()
             out.append((0, start, end))
         at = text.find("@", at + 1)
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+    out += [(1, *m.span()) for m in IP.finditer(text) if all(map(_octet, m.groups()))]
     for m in CARD.finditer(text):
         digits = _digits(m[0]) if m.end() - m.start() >= 16 else ""
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -94,79 +107,116 @@ TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[\s\S]")
 AT = re.compile(r"@|[\[({<]\x20?at\x20?[\])}>]", re.IGNORECASE)
 #: Four groups of up to three digits with dots in some disguise, such as 10[.]0[.]0[.]1.
 DOT = r"(?:\x20?[\[({<]\x20?(?:\.|dot)\x20?[\])}>]\x20?|\x20?\.\x20?|\x20dot\x20)"
-QUAD = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
-DIGIT = re.compile(r"[0-9]")
+QUAD = re.compile(rf"(?<![0-9])(?=([0-9]{{1,3}}(?:{DOT}[0-9]{{1,3}}){{3}})(?![0-9]))", re.IGNORECASE)
+#: Digits with at most GAP marks or blanks between groups; every candidate without
+#: at-sign or disguised dots lies in such a run, but for marks before it.
+RUN = re.compile(rf"[0-9](?:(?:[^\w\n]|_){{0,{GAP}}}[0-9])*+")
+ZEROS = str.maketrans("123456789", "000000000")
 #: A dot, or a word for it, and another part of a domain.
 MORE = re.compile(r"(?:\.|\x20?[\[({<]\x20?dot\x20?[\])}>]\x20?|\x20dot\x20)[A-Za-z0-9]", re.IGNORECASE)
 CUE = re.compile(r"(?i)\b(tel|phone|call|fax|mobile|e-?mail|mail|contact|ip|host|server|address|card|visa|account|order|invoice|date|version|isbn|total|id)\b\W*$")
 
 
 class Line:
-    """Tokens of a text, and the candidate segments with their features."""
-
-    def __init__(self, text: str):
-        self.text = text
-        self.at = [m.start() for m in TOKEN.finditer(text)] + [len(text)]
-        n = len(self.at) - 1
-        digits = np.zeros(n + 1, np.int64)
-        for i in range(n):
-            a, b = self.at[i], self.at[i + 1]
-            digits[i + 1] = digits[i] + (b - a if "0" <= text[a] <= "9" else 0)
-        signs = [m.span() for m in AT.finditer(text)]
-        begins = [s for s, _ in signs]
-        blocked = np.zeros(n + 1, np.int64)
-        for i in range(n):
-            blocked[i + 1] = blocked[i] + (text[self.at[i]] == "\n")
-        quads = {m.span() for k in range(n) if "0" <= text[self.at[k]] <= "9" and (m := QUAD.match(text, self.at[k]))}
-        self.segments, self.features = [], []
-        for i in range(n):
-            a = self.at[i]
-            if not (text[a].isalnum() or text[a] in "+(") or a and text[a - 1].isalnum() and text[a].isalnum():
-                continue
-            first = bisect.bisect_right(begins, a)  # the first sign after a
-            for j in range(i + 1, min(n, i + MOST_TOKENS) + 1):
-                b = self.at[j]
-                if b - a > MOST_CHARS or blocked[j] > blocked[i]:
-                    break
-                if not text[b - 1].isalnum() or b < len(text) and text[b].isalnum() or b - a < 7:
-                    continue
-                if digits[j] - digits[i] >= FEWEST_DIGITS or first < len(signs) and signs[first][1] < b or (a, b) in quads:
-                    self.segments.append((i, j))
-                    self.features.append(span_features(text, a, b))
+    """Tokens of a text between lo and hi, and the candidate segments that begin at one."""
+
+    def __init__(self, text: str, lo: int = 0, hi: int | None = None):
+        self.text, self.hi = text, len(text) if hi is None else hi
+        self.at = [m.start() for m in TOKEN.finditer(text, lo, self.hi)] + [self.hi]
+        self.signs = [m.span() for m in AT.finditer(text, lo, self.hi)]
+        self.begins = [s for s, _ in self.signs]
+        self.quads = {m.start(1): m.end(1) for m in QUAD.finditer(text, lo, self.hi)}
+
+    def ends(self, i: int) -> list[int]:
+        """Tokens before which a candidate that begins at token i may end, ascending."""
+        text, at, a = self.text, self.at, self.at[i]
+        c = text[a]
+        if not (c.isalnum() or c in "+(") or a and c.isalnum() and text[a - 1].isalnum():
+            return []
+        n = bisect.bisect_right(self.begins, a)
+        signs = self.signs[n : n + 2] if not (n and self.begins[n - 1] == a) else []
+        quad = self.quads.get(a, -1)
+        digits = groups = gap = 0
+        run, out = True, []  # run: digits and marks only so far
+        for j in range(i + 1, min(len(at) - 1, i + MOST_TOKENS) + 1):
+            begin, b = at[j - 1], at[j]
+            c = text[begin]
+            if c == "\n" or b - a > MOST_CHARS:
+                break
+            if "0" <= c <= "9":
+                digits, groups, gap = digits + b - begin, groups + 1, 0
+            elif c.isalnum():
+                run = False
+            else:
+                gap += 1
+            run = run and gap <= GAP and digits <= MOST_DIGITS and groups <= MOST_GROUPS
+            one = bool(signs) and signs[0][0] >= a and (len(signs) < 2 or b <= signs[1][0])
+            if not (run or one or b <= quad):
+                break
+            if text[b - 1].isalnum() and not (b < len(text) and text[b].isalnum()) and b - a >= 7:
+                if run and digits >= FEWEST_DIGITS or one and signs[0][1] < b or b == quad:
+                    out.append(j)
+        return out
+
+    @functools.cached_property
+    def segments(self) -> list[tuple[int, int]]:
+        return [(i, j) for i in range(len(self.at) - 1) for j in self.ends(i)]
+
+    @functools.cached_property
+    def features(self) -> list[list[str]]:
+        return [span_features(*context(self.text, self.at[i], self.at[j], cue_before(self.text, self.at[i]))) for i, j in self.segments]
 
 
 def _class(c: str) -> str:
     return "none" if not c else "letter" if c.isalpha() else "digit" if c.isdigit() else "space" if c.isspace() else c if c in "+-.,@#=\"':/()[]<>" else "other"
 
 
-def span_features(text: str, a: int, b: int) -> list[str]:
-    """Names of the features of the span a to b of a text."""
+def cue_before(text: str, a: int) -> str:
+    found = CUE.search(text[max(0, a - 24) : a])
+    return found[1].lower() if found else "none"
+
+
+def context(text: str, a: int, b: int, cue: str) -> tuple:
+    """What the features of the span a to b depend on. Without letters, digits count by
+    their number and by what their check sums say, so most spans of a table are alike."""
     span = text[a:b]
+    digits = _digits(span)
+    sound = luhn(digits) if len(digits) >= 12 else False
+    octets = len(digits) <= 12 and all(map(_octet, re.findall("[0-9]+", span)))
+    sign = AT.search(span)
+    more = sign is not None and MORE.match(text, b) is not None
+    # of a zero, only whether the number begins with it is kept
+    shape = span if sign else ("0" if span[0] == "0" else "") + "|" + span.translate(ZEROS)
+    return shape, _class(text[a - 1 : a]), _class(text[b : b + 1]), cue, sound, octets, more
+
+
+def span_features(shape: str, left: str, right: str, cue: str, sound: bool, octets: bool, more: bool) -> list[str]:
+    """Names of the features of a span from its context()."""
+    sign = AT.search(shape)
+    lead, span = ("", shape) if sign else shape.split("|", 1)
     groups = re.findall(r"[0-9]+", span)
     digits = "".join(groups)
     letters = sum(map(str.isalpha, span))
     marks = "".join(sorted({c for c in span if not c.isalnum()}))
-    shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: str(min(len(m[0]), 9)), span))
+    form = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: str(min(len(m[0]), 9)), span))
+    lengths = "-".join(str(min(len(g), 9)) for g in groups[:6])
     out = ["bias", f"digits {min(len(digits), 20)}", f"groups {min(len(groups), 8)}", f"marks {marks[:8]}", f"letters {min(letters, 12) // 3}"]
-    out += [f"shape {shape[:24]}", f"first {_class(span[0])}", f"left {_class(text[a - 1 : a])}", f"right {_class(text[b : b + 1])}"]
-    out += [f"lengths {'-'.join(str(min(len(g), 9)) for g in groups[:6])}", f"spaces {min(sum(map(str.isspace, span)), 5)}"]
-    sign = AT.search(span)
+    out += [f"shape {form[:24]}", f"first {_class(span[0])}", f"left {left}", f"right {right}"]
+    out += [f"lengths {lengths}", f"spaces {min(sum(map(str.isspace, span)), 5)}"]
     if sign:
-        out += [f"sign {'@' if sign[0] == '@' else 'word'}", f"one sign {len(AT.findall(span)) == 1}"]
+        out.append(f"sign {'@' if sign[0] == '@' else 'word'}")
         rest = re.sub(r"[\[({<]\x20?dot\x20?[\])}>]|\x20dot\x20", ".", span[sign.end() :], flags=re.IGNORECASE)
         out += [f"domain {bool(re.fullmatch(r'\x20?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', rest))}", f"local {bool(re.fullmatch(r'[A-Za-z0-9._%+-]+\x20?', span[: sign.start()]))}"]
-        out.append(f"goes on {bool(MORE.match(text, b))}")
-    elif letters:
-        out.append("letters without sign")
+        out.append(f"goes on {more}")
+    else:
+        out += [f"zero first {lead == '0'}", f"zero first {lead == '0'} {min(len(digits), 20)}", f"cue {cue} {min(len(groups), 8)}"]
     if len(digits) >= 12:
-        sound = luhn(digits)
-        out += [f"luhn {sound}", f"luhn {sound} {min(len(digits), 20)}", f"luhn {sound} {'-'.join(str(min(len(g), 9)) for g in groups[:6])}"]
+        out += [f"luhn {sound}", f"luhn {sound} {min(len(digits), 20)}", f"luhn {sound} {lengths}"]
     if len(groups) == 4 and not letters:
-        out.append(f"octets {all(len(g) <= 3 and int(g) <= 255 for g in groups)} {marks[:4]}")
-    if len(digits) <= 12 and QUAD.fullmatch(span):
-        out.append(f"quad {all(int(g) <= 255 for g in groups)} {marks[:4]} {letters > 0}")
-    cue = CUE.search(text[max(0, a - 24) : a])
-    return [*out, f"cue {cue[1].lower() if cue else 'none'}"]
+        out.append(f"octets {octets} {marks[:4]}")
+    if len(digits) <= 12 and (quad := QUAD.match(span)) and quad.end(1) == len(span):
+        out.append(f"quad {octets} {marks[:4]} {letters > 0}")
+    return [*out, f"cue {cue}"]
 
 
 def _sum(x: np.ndarray) -> float:
@@ -179,33 +229,56 @@ class SemiCrf:
         self.names: dict[str, int] = {}
         self.weights = np.zeros((0, len(KINDS)))
         self.follow = np.zeros((len(KINDS) + 1, len(KINDS) + 1))  # 0 is outside
+        self.recent = Recent(self.of, 50_000)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "recent"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, recent=Recent(self.of, 50_000))
 
     def scores(self, line: Line) -> np.ndarray:
         if not line.segments:
             return np.zeros((0, len(KINDS)))
         return np.array([self.weights[[self.names[f] for f in fs if f in self.names]].sum(axis=0) for fs in line.features])
 
+    def of(self, key: tuple) -> list[float]:
+        """Score of each kind for a span's context()."""
+        at = [self.names[f] for f in span_features(*key) if f in self.names]
+        return self.weights[at].sum(axis=0).tolist()
+
     def best(self, line: Line) -> list[Span]:
-        """The highest path over segments and outside tokens."""
-        n, s = len(line.at) - 1, self.scores(line)
-        ending: dict[int, list[int]] = {}
-        for c, (_, j) in enumerate(line.segments):
-            ending.setdefault(j, []).append(c)
-        top, back = np.full((n + 1, len(KINDS) + 1), -np.inf), {}
-        top[0, 0] = 0
-        for p in range(1, n + 1):
-            own = top[p - 1] + self.follow[:, 0]
-            top[p, 0], back[p, 0] = own.max(), (p - 1, int(own.argmax()))
-            for c in ending.get(p, ()):
-                i = line.segments[c][0]
-                own = (top[i][:, None] + self.follow[:, 1:]).max(axis=0) + s[c]
-                for k in np.flatnonzero(own > top[p, 1:]) + 1:
-                    top[p, k], back[p, k] = own[k - 1], (i, int((top[i] + self.follow[:, k]).argmax()))
-        out, p, k = [], n, int(top[n].argmax())
+        """The highest path over segments and outside tokens, from left to right: what is
+        held are the scores of tokens that a candidate may still end at, and two numbers
+        for each token and kind to find the way back. Where the text goes on after the
+        line, the next token counts as outside."""
+        at, text, recent = line.at, line.text, self.recent
+        n, follow, states = len(at) - 1, self.follow.tolist(), range(len(KINDS) + 1)
+        low = [-math.inf] * len(states)
+        now, open_, back = [0.0, *low[1:]], {}, array("q", bytes(8 * len(states) * (n + 1)))
+        for p in range(n):
+            ends = line.ends(p)
+            if ends:
+                into = [max((now[s] + follow[s][k], s) for s in states) for k in states]
+                cue = cue_before(text, at[p])
+                for j in ends:
+                    own, scores = open_.setdefault(j, low.copy()), recent[context(text, at[p], at[j], cue)]
+                    for k in states[1:]:
+                        value = into[k][0] + scores[k - 1]
+                        if value > own[k]:
+                            own[k] = value
+                            back[j * len(states) + k] = p * len(states) + into[k][1]
+            out = max((now[s] + follow[s][0], s) for s in states)
+            now = open_.pop(p + 1, None) or low.copy()
+            now[0] = out[0]
+            back[(p + 1) * len(states)] = p * len(states) + out[1]
+        goes_on = line.hi < len(text)
+        k = max(states, key=lambda s: now[s] + (follow[s][0] if goes_on else 0.0))
+        out, p = [], n
         while p:
-            i, before = back[p, k]
+            i, before = divmod(back[p * len(states) + k], len(states))
             if k:
-                out.append((k - 1, line.at[i], line.at[p]))
+                out.append((k - 1, at[i], at[p]))
             p, k = i, before
         return out[::-1]
 
@@ -311,12 +384,15 @@ def written(n: int, seed: int) -> list[tuple[str, list[Span]]]:
 
     def phone() -> str:
         a, b, c = str(rng.randint(2, 9)) + number(2), number(3), number(4)
-        return rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"1-{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"00{rng.randint(30, 59)} {a} {b} {c}", f"+{rng.randint(30, 59)} {a} {b}{c}"))
+        return rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"1-{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"00{rng.randint(30, 59)} {a} {b} {c}", f"+{rng.randint(30, 59)} {a} {b}{c}",
+                           f"0{a} {c} {number(4)}", f"0{number(1)} {' '.join(number(2) for _ in range(4))}", f"0{number(2)} {c} {number(4)}", f"(0{a}) {b}{b}", f"0{a}/{b}{c}", f"0{a}-{b}{c}"))
 
     def none() -> str:
         year = rng.randint(1950, 2030)
         return rng.choice(
-            (f"{year}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{year}-{rng.randint(10, 12)}-{rng.randint(10, 28)} {rng.randint(10, 23)}:{rng.randint(10, 59)}", f"{rng.randint(1, 9)},{number(3)},{number(3)}.{number(2)}", number(rng.randint(7, 14)),
+            (*[" ".join(str(rng.randint(1, 9)) + number(rng.randint(0, 4)) for _ in range(rng.randint(3, 12))) for _ in range(3)],
+             " ".join(f"{rng.random():.3f}" for _ in range(3)), f"{rng.randint(0, 23):02}:{rng.randint(0, 59):02}, {rng.randint(1, 9)},{number(3)},{number(3)}.{number(2)}", f"{rng.randint(1, 28):02}/{rng.randint(1, 12):02}/{year} {rng.randint(0, 23):02}:{rng.randint(0, 59):02}:{rng.randint(0, 59):02}",
+             f"{year}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"{year}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02} {rng.randint(0, 23):02}:{rng.randint(0, 59):02}", f"{rng.randint(1, 9)},{number(3)},{number(3)}.{number(2)}", number(rng.randint(7, 14)),
              card(False), card(False), f"{year}-{year + 3} {number(4)}", f"{number(3)}.{number(5)}, {number(2)}.{number(5)}", f"978-3-{number(3)}-{number(5)}-{number(1)}", "".join(rng.choice("0123456789abcdef") for _ in range(40)),
              f"{rng.randint(256, 999)}.{rng.randint(256, 999)}.{number(3)}.{number(3)}", f"{number(4)} {number(4)}", f"{number(2)} {number(2)} {number(2)} {number(2)}", f"@{word()}", f"{word()} @ {number(2)}", f"{number(8)}-{number(4)}",
              " ".join(f"{i}." for i in range(1, rng.randint(5, 9))), f"{rng.randint(256, 999)}[.]{rng.randint(0, 9)}[.]{rng.randint(0, 9)}[.]{rng.randint(0, 9)}")
@@ -351,15 +427,25 @@ def trained() -> SemiCrf:
     return SemiCrf().fit(examples())
 
 
-def triggers(text: str) -> list[tuple[int, int]]:
-    """Spans by start; every candidate contains one."""
-    at = [m.start() for m in DIGIT.finditer(text)]
-    far = FEWEST_DIGITS - 1
-    out = [(a, b + 1) for a, b in zip(at, at[far:], strict=False) if b - a < MOST_CHARS and text.find("\n", a, b) < 0]
-    if len(at) >= 4:
-        # groups may overlap: 1.2.3.4.5 has two
-        out += [m.span() for m in map(QUAD.match, itertools.repeat(text), at) if m]
-    return sorted({*out, *(m.span() for m in AT.finditer(text))})
+def regions(text: str) -> list[tuple[int, int]]:
+    """Parts of a text that hold all its candidates; between two of them lies a token
+    that none covers. No part spans a line end."""
+    found = [(*m.span(), GAP, 0) for m in RUN.finditer(text) if m.end() - m.start() >= FEWEST_DIGITS and sum(map(len, DIGITS.findall(m[0]))) >= FEWEST_DIGITS]
+    if found or DIGITS.search(text):
+        found += [(*m.span(1), 0, 0) for m in QUAD.finditer(text)]
+    found += [(*m.span(), MOST_CHARS, MOST_CHARS) for m in AT.finditer(text)]
+    spans = []
+    for start, end, before, after in found:
+        lo = max(0, start - before, text.rfind("\n", max(0, start - before), start) + 1) if before else start
+        line_end = text.find("\n", end, end + after)
+        spans.append((lo, line_end if line_end >= 0 else min(len(text), end + after)))
+    out: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(hi, out[-1][1])
+        else:
+            out.append([lo, hi])
+    return [(lo, hi) for lo, hi in out]
 
 
 def added_spans(text: str, base: list[Span], model: SemiCrf) -> list[Span]:
@@ -372,24 +458,7 @@ def added_spans(text: str, base: list[Span], model: SemiCrf) -> list[Span]:
             rest.append("\n" * (end - max(at, start)))
             at = end
     rest = "".join([*rest, text[at:]]) if base else text
-    out, window = [], None
-    for start, end in triggers(rest):
-        lo, hi = max(0, start - MARGIN), min(len(rest), end + MARGIN)
-        if window and lo <= window[1]:
-            window[1] = hi
-        else:
-            if window:
-                out += _in_window(rest, *window, model)
-            window = [lo, hi]
-    return out + _in_window(rest, *window, model) if window else out
-
-
-def _in_window(text: str, lo: int, hi: int, model: SemiCrf) -> list[Span]:
-    while 0 < lo and text[lo - 1].isalnum():  # whole words
-        lo -= 1
-    while hi < len(text) and text[hi].isalnum():
-        hi += 1
-    return [(k, a + lo, b + lo) for k, a, b in model.best(Line(text[lo:hi]))]
+    return [span for lo, hi in regions(rest) for span in model.best(Line(rest, lo, hi))]
 
 
 def joined(spans: list[Span]) -> str:

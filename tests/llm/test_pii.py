@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -126,11 +127,53 @@ def test_disguised_short_addresses(found):
     assert (1, 9, 9 + len(found)) in pii.added_spans(text, pii.base_spans(text), pii.trained())
 
 
-def test_windows_give_the_result_of_the_whole_text():
-    """Also where the digits of a candidate lie far apart."""
-    model, rng = pii.trained(), random.Random(4)
-    for _ in range(60):
-        text = " ".join(rng.choice(("word", "la", "12", "7", "x@", "1 . 2 . 3 . 4", "call", "a" * 30, "499-555-6503", ", and", "\n")) for _ in range(40))
+def test_regions_give_the_result_of_the_whole_text():
+    """Also where the digits of a candidate lie far apart, and on lines next to each other."""
+    model, rng, some = pii.trained(), random.Random(4), 0
+    for n in range(400):
+        parts = ("word", "la", "12", "7", "x@", "1 . 2 . 3 . 4", "call", "a" * 30, "499-555-6503", ", and", "\n", "1234-", "+49", "(0", "ab [at] cd.ef", "1.2.3.4.5", "_", "é", "٣")
+        text = "".join(rng.choice(parts) + rng.choice((" ", " ", "", "  ")) for _ in range(rng.randint(1, 60)))
+        if n % 2:
+            text = pii.written(1, n)[0][0] + rng.choice((" ", "\n", " 5 ")) + text
         base = pii.base_spans(text)
-        if not base:
-            assert pii.added_spans(text, base, model) == model.best(pii.Line(text))
+        rest = "".join("\n" if any(s <= i < e for _, s, e in base) else c for i, c in enumerate(text))
+        got = pii.added_spans(text, base, model)
+        assert got == model.best(pii.Line(rest)), text
+        some += len(got)
+    assert some > 200
+
+
+def test_odd_numbers_do_not_crash():
+    for text, n in (("1.2.3." + "0" * 10_000, 1), ("0" * 10_000 + "255.2.3.4", 1), ("0" * 5000 + "256.2.3.4", 0), ("9" * 10_000 + ".2.3.4", 0)):
+        assert [k for k, *_ in pii.base_spans(text)] == [1] * n
+        pii.added_spans(text, pii.base_spans(text), pii.trained())
+    assert pii.base_spans("1.2.3.٣") == [] and pii.added_spans("²²²²²²²²", [], pii.trained()) == []
+
+
+def test_a_table_of_numbers_takes_a_minute_at_most():
+    for text in ("12 345 " * 143_000, "12 345\n" * 143_000, "a@b " * 100_000):
+        start = time.monotonic()
+        assert len(pii.added_spans(text, pii.base_spans(text), pii.trained())) < 1000
+        assert time.monotonic() - start < 60
+
+
+#: Forms that the generator never writes.
+UNSEEN = {
+    "phone": ("tel 0151 2345 6789|0151 2345 6789", "call 07700 900123 now|07700 900123", "phone: 030/901820, please|030/901820", "fax (0)20 7946 0958 x|(0)20 7946 0958", "mobile 0049-151-23456789|0049-151-23456789", "ring 1800 555 0199 today|1800 555 0199", "call 415 - 555 - 0132 or|415 - 555 - 0132"),
+    "email": ("ana.b <at> mail.net yes|ana.b <at> mail.net", "kim{at}site{dot}io end|kim{at}site{dot}io", "to x_y @ sub.host.co.uk by|x_y @ sub.host.co.uk", "mail john(dot)doe(at)corp(dot)org now|john(dot)doe(at)corp(dot)org"),
+    "ip": ("host 10 . 0 . 0 . 8 up|10 . 0 . 0 . 8", "at 192{.}168{.}1{.}20 is|192{.}168{.}1{.}20", "ip 172 dot 16 dot 0 dot 5 on|172 dot 16 dot 0 dot 5"),
+    "card": ("card 4539 148803436467 ok|4539 148803436467", "visa 45391488/03436467 ok|45391488/03436467", "it is 4539_1488_0343_6467 ok|4539_1488_0343_6467"),
+}
+
+
+def test_forms_that_the_generator_never_writes():
+    hits = misses = 0
+    for kind, lines in UNSEEN.items():
+        for line in lines:
+            text, found = line.split("|")
+            base = pii.base_spans(text)
+            good = (pii.KINDS.index(kind), text.index(found), text.index(found) + len(found)) in base + pii.added_spans(text, base, pii.trained())
+            hits, misses = hits + good, misses + (not good)
+    assert hits >= 0.7 * (hits + misses), (hits, misses)
+    for text in ("345 12 345 12", "rows 12 345 678 90 12 34", "ISBN 978-3-16-148410-0", "order 00012345678", "1 2 3 4 5 6 7 8 9", "12:30:45 2020/12/11", "7 of 9123 4567 8901"):
+        assert pii.added_spans(text, pii.base_spans(text), pii.trained()) == []
