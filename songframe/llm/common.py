@@ -14,6 +14,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that a broadcast side may have; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Groups that with_group() broadcasts, and the share of rows that makes one hot beyond.
+GROUP_ROWS, HOT_SHARE = 10_000, 2000
+#: Rows of a batch in a Python worker.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of
-    our own where the session names none (a single machine, as in tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir. On a single machine,
+    as in tests, one of our own will do where the session names none; a cluster must
+    name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="songframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in a folder of the application's own, which can be deleted as a whole
+    when the application is over and its results are elsewhere."""
+    return f"{shared_dir(spark)}/songframe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -53,10 +62,31 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def with_group(rows: DataFrame, groups: DataFrame, key: str, group_key: str, bound: int = GROUP_ROWS, share: int = HOT_SHARE) -> DataFrame:
+    """rows joined with the group of each (null is a group): groups has one row for each
+    group_key and the count n of its rows, and is a stored table.
+
+    Up to `bound` groups are broadcast. Of more, those with over 1/share of all rows,
+    which are less than `share`, are broadcast, and the others go by a shuffle that has
+    no hot key. The columns of groups other than group_key and n are added."""
+    known = groups.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows")).first()
+    match = F.col(key).eqNullSafe(F.col(group_key))
+    if known.groups <= bound:
+        return rows.join(F.broadcast(groups.drop("n")), match).drop(group_key)
+    hot = F.col("n") > known.rows / share
+    first = rows.join(F.broadcast(groups.where(hot).drop("n")), match).drop(group_key)
+    rest = rows.join(F.broadcast(groups.where(hot).select(group_key)), match, "left_anti")
+    return first.unionByName(rest.join(groups.where(~hot).drop("n"), match).drop(group_key))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows, and so the memory, of a batch of texts in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows, and so the memory, of a batch of texts in a Python worker. Spark
+    has no such setting for one query, so it is lowered for the session, to the same
+    number by all operators; results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "0")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(name, BATCH_ROWS)

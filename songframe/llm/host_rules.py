@@ -7,7 +7,8 @@ shrunk rate passes a limit are refused; their verdict is joined back.
 
 Null text has no words and fails. Null is a host of its own. Repeated rows are
 judged alike, an empty table gives an empty result and other columns are never
-read. Verdicts are broadcast only if the count of hosts is within a bound.
+read. Verdicts are broadcast if the count of hosts is within a bound; beyond it only
+those of the hottest hosts are, and the other rows meet theirs by a shuffle.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songframe.llm.common import SPACE, WORD, small, staged, table, text_of
+from songframe.llm.common import GROUP_ROWS, SPACE, WORD, staged, table, text_of, with_group
 
 FEWEST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 #: A host is refused if its shrunk rate of failing documents passes this.
 MOST_FAILING = 0.5
+#: Documents that the prior may stand for.
+MOST_STRENGTH = 1e9
 
 
 def let(value: Column, f) -> Column:
@@ -30,10 +33,14 @@ def let(value: Column, f) -> Column:
 def repeated_words(words: Column, n: int = WINDOW) -> Column:
     """Words within n-word windows that occur twice or more in the text.
 
-    Windows are compared by 64-bit hash. A text in which all hashes differ is
-    done; otherwise the (hash, position) pairs are sorted, positions of equal
-    neighbours kept, and their spans' union measured."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
+    Words are hashed once and a window is the hash of its words' hashes. A text in which
+    all differ is done; otherwise the (hash, position) pairs are sorted, positions of
+    equal neighbours kept, and their spans' union measured."""
+
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(n))))
+
+    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
     def covered(at: Column) -> Column:
         steps = F.zip_with(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(n)))
@@ -72,29 +79,36 @@ def rule_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
     return rows.select("id", "host", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), failed.alias("base_failed"))
 
 
-def host_verdicts(rows: DataFrame, limit: float = MOST_FAILING) -> tuple[DataFrame, int]:
-    """host, shrunk_rate, refused; and the count of hosts.
+def host_verdicts(rows: DataFrame, limit: float = MOST_FAILING) -> DataFrame:
+    """host, n, shrunk_rate and refused, as a stored table.
 
-    The prior's mean m is the mean of the hosts' rates weighted by documents, its
-    strength a + b = m (1 - m) / v - 1 with v their variance; hosts that do not
-    vary shrink to m wholly."""
+    With m the share of all documents that fail and v the variance of the hosts' rates
+    around it, both weighted by documents, a beta prior of mean m and strength a + b
+    predicts v / (m (1 - m)) = H/N + (1 - H/N) / (a + b + 1) for H hosts of N documents:
+    H/N is what chance alone spreads the rates of hosts that are all alike. Hosts that
+    vary no more than that shrink to m wholly."""
     hosts = staged(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("bad")), "hosts")
     rate = F.col("bad") / F.col("n")
     got = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.sum(F.col("n") * rate * rate).alias("sq")).first()
-    m = got.bad / got.n if got.n else 0.0
-    v = max(0.0, got.sq / got.n - m * m) if got.n else 0.0
-    strength = min(1e9, max(0.0, m * (1 - m) / v - 1)) if v > 0 else 1e9
+    m, strength = got.bad / got.n if got.n else 0.0, MOST_STRENGTH
+    if 0 < m < 1 and got.hosts < got.n:
+        noise = got.hosts / got.n
+        spread = ((got.sq / got.n - m * m) / (m * (1 - m)) - noise) / (1 - noise)
+        strength = min(MOST_STRENGTH, max(0.0, 1 / spread - 1)) if spread > 0 else MOST_STRENGTH
     shrunk = (F.col("bad") + m * strength) / (F.col("n") + strength)
-    return hosts.select("host", shrunk.alias("shrunk_rate"), (shrunk > limit).alias("refused")), got.hosts
+    return staged(hosts.select("host", "n", shrunk.alias("shrunk_rate"), (shrunk > limit).alias("refused")), "verdicts")
+
+
+def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", bound: int = GROUP_ROWS) -> DataFrame:
+    """The columns of rule_counts(), shrunk_rate and kept, of every row."""
+    rows = staged(rule_counts(docs, key, text, host), "rules")
+    verdicts = host_verdicts(rows).withColumnRenamed("host", "own")
+    return with_group(rows, verdicts, "host", "own", bound).withColumn("kept", ~(F.col("base_failed") | F.col("refused"))).drop("refused")
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = staged(rule_counts(table(spark, sf_dir, "documents")), "rules")
-    verdicts, n = host_verdicts(rows)
-    verdicts = verdicts.withColumnRenamed("host", "own")
-    joined = rows.join(small(verdicts, n, 10_000), rows["host"].eqNullSafe(verdicts["own"]), "left")
-    kept = ~(F.col("base_failed") | F.coalesce("refused", F.lit(False)))
-    return joined.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    rows = judged(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 OP3_SQL = r"""
@@ -110,8 +124,9 @@ c AS (SELECT w.doc_id, source, len(words)::BIGINT AS n_words, length(array_to_st
              coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r ON w.rid = r.rid),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM f GROUP BY source),
-p AS (SELECT sum(bad) / sum(n) AS m, greatest(0, sum(n * (bad / n) * (bad / n)) / sum(n) - (sum(bad) / sum(n)) * (sum(bad) / sum(n))) AS v FROM h),
-k AS (SELECT m, CASE WHEN v > 0 THEN least(1e9, greatest(0, m * (1 - m) / v - 1)) ELSE 1e9 END AS strength FROM p),
+p AS (SELECT sum(bad) / sum(n) AS m, sum(n * (bad / n) * (bad / n)) / sum(n) - (sum(bad) / sum(n)) * (sum(bad) / sum(n)) AS v, count(*) / sum(n) AS noise FROM h),
+q AS (SELECT m, CASE WHEN m > 0 AND m < 1 AND noise < 1 THEN (v / (m * (1 - m)) - noise) / (1 - noise) END AS spread FROM p),
+k AS (SELECT m, CASE WHEN spread > 0 THEN least(1e9, greatest(0, 1 / spread - 1)) ELSE 1e9 END AS strength FROM q),
 v AS (SELECT source, (bad + m * strength) / (n + strength) > 0.5 AS refused FROM h, k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR refused) AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source

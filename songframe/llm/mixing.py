@@ -1,16 +1,16 @@
 """Mixing sources to target weights.
 
 Words are summed by source (map-side first). The targets follow from the sums by
-sharing a total by weight, with a ceiling for each source; each round of sharing
-is one aggregate over the table of sources. A document is then taken
+sharing a total by weight, with a ceiling for each source, found from running sums
+over the sources in the order in which they reach it. A document is then taken
 floor(rate) times, and once more if a hash of its id and the seed, read as a
 number in [0, 1), is under the rate's fraction. Reruns agree.
 
 Null text has no words. Null is a source of its own, last in order. Repeated
 rows of an id share their fate. Rows without id are drawn by their text in mix();
 in op6_mixing, where SQL fixes the draw, they share one. A source without words takes nothing. An empty
-table gives an empty result. Sources are joined back by broadcast only when
-their count is within a bound. Other columns are passed on or left out; none can
+table gives an empty result. Sources are joined back by broadcast if their count is
+within a bound; of more, the hottest are, and the rest by a shuffle. Other columns are passed on or left out; none can
 clash, since rows are worked on under names of our own.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from songframe.llm.common import WORD, partitions, small, staged, table, text_of
+from songframe.llm.common import GROUP_ROWS, WORD, partitions, staged, table, text_of, with_group
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -39,57 +39,65 @@ def chance(key: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> tuple[DataFrame, int]:
-    """From (source, size): source, source_size, target; and the count of sources."""
-    spark = sizes.sparkSession
+def _numbered(rows: DataFrame, name: str, by: list[Column], *sums: str) -> DataFrame:
+    """rows in the order `by`, dealt out by its ranges, as a stored table, with `before`
+    (how many rows stand before each) and before_<c> (the sum of c over these).
+
+    A row for each range comes to the driver, never one for each source."""
+    spark = rows.sparkSession
+    rows = staged(rows.repartitionByRange(partitions(spark), *by).withColumn("part", F.spark_partition_id()), name)
+    names = ["before", *(f"before_{c}" for c in sums)]
+    starts, so_far = [], [0] * len(names)
+    for part, *found in rows.groupBy("part").agg(F.count(F.lit(1)), *(F.sum(F.col(c).cast("long")) for c in sums)).orderBy("part").collect():
+        starts.append((part, *so_far))
+        so_far = [a + (b or 0) for a, b in zip(so_far, found, strict=True)]
+    starts = spark.createDataFrame(starts, "part int, " + ", ".join(f"s{i} long" for i in range(len(names))))
+    own = Window.partitionBy("part").orderBy(*by)
+    upto = own.rowsBetween(Window.unboundedPreceding, -1)
+    within = [F.row_number().over(own) - 1, *(F.coalesce(F.sum(F.col(c).cast("long")).over(upto), F.lit(0)) for c in sums)]
+    return rows.join(F.broadcast(starts), "part").select(*rows.drop("part").columns, *((w + F.col(f"s{i}")).alias(names[i]) for i, w in enumerate(within)))
+
+
+def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
+    """From (source, size): source, n, source_size, target, as a stored table.
+
+    The level is what a weight of one takes. Sources reach their ceiling in the order of
+    ceiling over weight; if those before a source are at theirs, the others share what
+    is left, and the level is the largest share that no ceiling so far passes."""
     by = [F.col("source").isNull(), F.col("source")]
-    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sums = staged(sums.repartitionByRange(partitions(spark), *by).withColumn("part", F.spark_partition_id()), "sources")
-    counts = [(r.part, r.n) for r in sums.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()]  # a row for each partition
-    before, starts = 0, []
-    for part, n in counts:
-        starts.append((part, before))
-        before += n
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(*by)) - 1 + F.col("before")
-    sums = sums.join(F.broadcast(spark.createDataFrame(starts, "part int, before long")), "part")
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    sums = staged(sums.withColumn("weight", weight).withColumn("most", MOST_COPIES * F.col("source_size")), "weights")
-    level = None
-    while True:  # each round fixes at least one more source at its ceiling
-        over = F.lit(False) if level is None else F.col("most") < level * F.col("weight")
-        got = sums.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, F.col("most"))).alias("fixed"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
-        if not got.weight:
-            break
-        new = (TOTAL_SHARE * got.all - (got.fixed or 0)) / got.weight
-        if level is not None and new <= level:
-            break
-        level = new
-    target = F.least(F.col("most").cast("double"), F.lit(level or 0.0) * F.col("weight"))
-    return sums.select("source", "source_size", target.alias("target")), before
-
-
-def with_copies(rows: DataFrame, seed: int = SEED) -> DataFrame:
+    sums = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
+    ranked = _numbered(sums, "sources", by)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("before") % len(weights) + 1).cast("int"))
+    ranked = ranked.select("source", "n", "source_size", weight.alias("weight"), (MOST_COPIES * F.col("source_size")).alias("most"))
+    filled = staged(_numbered(ranked, "weights", [F.col("most") / F.col("weight"), *by], "most", "weight"), "levels")
+    whole = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    share = (F.lit(TOTAL_SHARE * (whole["size"] or 0)) - F.col("before_most")) / (F.lit(whole["weight"] or 0) - F.col("before_weight"))
+    level = filled.select(share.alias("level"), (F.col("most") / F.col("weight")).alias("reach")).where("level <= reach").agg(F.max("level")).first()[0]
+    target = F.least(F.col("most").cast("double"), F.lit(float(level or 0.0)) * F.col("weight"))
+    return staged(filled.select("source", "n", "source_size", target.alias("target")), "targets")
+
+
+def with_copies(rows: DataFrame, seed: int = SEED, bound: int = GROUP_ROWS) -> DataFrame:
     """rows (id, source, size) with source_size, target and copies."""
-    targets, n = source_targets(rows.select("source", "size"))
-    targets = targets.withColumnRenamed("source", "own")
+    targets = source_targets(rows.select("source", "size")).withColumnRenamed("source", "own")
     rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
-    joined = rows.join(small(targets, n, 10_000), F.col("source").eqNullSafe(F.col("own"))).drop("own").withColumn("rate", rate)
+    joined = with_group(rows, targets, "source", "own", bound).withColumn("rate", rate)
     whole = F.floor("rate")
     return joined.withColumn("copies", (whole + (chance(F.col("id"), seed) < F.col("rate") - whole).cast("long")).cast("int"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, bound: int = GROUP_ROWS) -> DataFrame:
     """The mixed documents: each row of docs as often as it is taken."""
-    slim = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size_of(text).alias("size"))
-    targets, n = source_targets(slim.select("source", "size"))
-    targets = targets.select(F.col("source").alias("mix own"), F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)).alias("mix rate"))
+    slim = docs.select(F.col(source).alias("source"), size_of(text).alias("size"))
+    rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
+    targets = staged(source_targets(slim).select(F.col("source").alias("mix own"), "n", rate.alias("mix rate")), "rates")
     whole = F.floor(F.col("mix rate"))
     names = docs.columns
     own = docs.toDF(*(f"c{i}" for i in range(len(names))))
     # rows without id draw by their text, or all of them would draw as one
     draw = F.coalesce(F.col(f"c{names.index(key)}").cast("string"), F.concat(F.lit(":"), text_of(f"c{names.index(text)}")))
     times = (whole + (chance(draw, seed) < F.col("mix rate") - whole).cast("long")).cast("int")
-    joined = own.join(small(targets, n, 10_000), own[f"c{names.index(source)}"].eqNullSafe(targets["mix own"]))
+    joined = with_group(own, targets, f"c{names.index(source)}", "mix own", bound)
     return joined.withColumn("mix copy", F.explode(F.array_repeat(F.lit(1), times))).select(*own.columns).toDF(*names)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from songframe.llm.bpe import byte_letters
 from songframe.llm.common import new_path, partitions, small_batches, staged, table, text_of
-from songframe.llm.files import NewFile, make_dir, opened
+from songframe.llm.files import NewFile, drop_leftovers, make_dir, opened
 from songframe.llm.words import Recent
 
 END = 1
@@ -141,10 +141,12 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
             if file is not None:
                 file.drop()
 
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("k"), text_of(text).alias("t")).withColumn("th", F.xxhash64("t"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "k", "th").sortWithinPartitions("k", "th")
-    return staged(rows.select(F.col("k").cast("string").alias("id"), "th", "t").mapInPandas(run, ENTRY), "entries")
+    entries = staged(rows.select(F.col("k").cast("string").alias("id"), "th", "t").mapInPandas(run, ENTRY), "entries")
+    drop_leftovers(folder)
+    return entries
 
 
 # ------------------------------------------------------------------ the index

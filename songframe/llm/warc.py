@@ -10,7 +10,7 @@ again, under the same names.
 
 Of records with equal payloads of at least FEWEST_BYTES that with the largest key
 is the response; the others are revisit records without payload. Null html is an
-empty payload, a null url an empty one. A record with a null key is no other's
+empty payload; a record of a null or empty url has no WARC-Target-URI. A record with a null key is no other's
 original unless all keys of its payload are null; rows that repeat the largest
 key are responses all. An empty table gives an archive without files and an empty
 result; other columns are never read.
@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songframe.llm.common import new_path, partitions, small, small_batches, staged, table
-from songframe.llm.files import NewFile, make_dir, opened
+from songframe.llm.common import BROADCAST_ROWS, new_path, partitions, small_batches, staged, table, with_group
+from songframe.llm.files import NewFile, drop_leftovers, make_dir, opened
 
 FEWEST_BYTES = 1000
 #: Compressed bytes after which a file is closed.
@@ -61,7 +61,9 @@ def record(key: int | None, url: str, payload: bytes, size: int, digest: str, or
     block = http + (payload if original is None else b"")
     kind = "response" if original is None else "revisit"
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(key, digest)}", f"WARC-Date: {DATE}"]
-    head += [f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', url)}", f"WARC-Payload-Digest: {_base32(digest)}"]
+    if url:
+        head.append(f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', url)}")
+    head.append(f"WARC-Payload-Digest: {_base32(digest)}")
     if original is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(original, digest)}"]
     head += [f"WARC-Block-Digest: {_base32(hashlib.sha1(block).hexdigest())}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -69,20 +71,26 @@ def record(key: int | None, url: str, payload: bytes, size: int, digest: str, or
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
-def with_types(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = FEWEST_BYTES) -> DataFrame:
-    """id, url, payload (null for revisits), size, digest and original of every row.
+def with_types(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = FEWEST_BYTES, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """id, url, payload, size, digest and original of every row, and marks.
 
-    Digests are grouped map-side first; only payloads that occur twice or more
-    are joined back."""
+    Which record is a payload's response is decided on ids and digests, grouped map-side
+    first. If few payloads repeat, the decision is broadcast, and revisits lose their
+    payload at once. Otherwise revisits are rows of their own (mark is true, no payload)
+    that the writer meets just before the record of their id and digest: payloads are
+    never grouped by digest, and move once, by ranges of ids."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    groups = rows.where(F.col("size") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
-    groups = staged(groups.where("n > 1").select(F.col("digest").alias("of"), "last"), "payloads")
-    joined = rows.join(small(groups, groups.count()), rows["digest"] == groups["of"], "left")
+    slim = rows.where(F.col("size") >= least).select("id", "digest")
+    groups = staged(slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where("n > 1").withColumnRenamed("digest", "of"), "payloads")
     original = F.when(F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("id")), F.col("last"))
-    joined = joined.withColumn("original", original)
-    return joined.select("id", "url", F.when(F.col("original").isNull(), F.col("payload")).alias("payload"), "size", "digest", "original")
+    if groups.count() <= bound:
+        rows = rows.join(F.broadcast(groups.drop("n")), F.col("digest") == F.col("of"), "left").withColumn("original", original)
+        return rows.select("id", "url", F.when(F.col("original").isNull(), F.col("payload")).alias("payload"), "size", "digest", "original", F.lit(False).alias("mark"))
+    marks = with_group(slim, groups, "digest", "of", 0).select("id", "digest", original.alias("original")).where(F.col("original").isNotNull()).distinct()
+    marks = marks.select("id", F.lit("").alias("url"), F.lit(None).cast("binary").alias("payload"), F.lit(0).cast("long").alias("size"), "digest", "original", F.lit(True).alias("mark"))
+    return rows.select("id", "url", "payload", "size", "digest", F.lit(None).cast("long").alias("original"), F.lit(False).alias("mark")).unionByName(marks)
 
 
 def write_archive(records: DataFrame, folder: str, roll: int = ROLL_BYTES) -> DataFrame:
@@ -91,10 +99,15 @@ def write_archive(records: DataFrame, folder: str, roll: int = ROLL_BYTES) -> Da
     make_dir(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, n, made, file, digest, rows = TaskContext.get().partitionId(), 0, [], None, None, 0
+        part, n, made, file, digest, rows, marked = TaskContext.get().partitionId(), 0, [], None, None, 0, (None, None, None)
         try:
             for x in batches:
-                for key, url, payload, size, sha1, original in x.itertuples(index=False, name=None):
+                for key, url, payload, size, sha1, original, mark in x.itertuples(index=False, name=None):
+                    if mark:
+                        marked = key, sha1, original
+                        continue
+                    if marked[:2] == (key, sha1):
+                        original = marked[2]
                     if file is None:
                         file, digest, rows = NewFile(folder, f"pages-{part:05d}-{n:05d}.warc.gz"), hashlib.sha1(), 0
                     member = record(None if pd.isna(key) else int(key), url, payload or b"", size, sha1, None if pd.isna(original) else int(original))
@@ -114,13 +127,14 @@ def write_archive(records: DataFrame, folder: str, roll: int = ROLL_BYTES) -> Da
                 file.drop()
         yield pd.DataFrame(made, columns=["file", "records", "bytes", "sha1"])
 
-    small_batches(spark, 500)
+    small_batches(spark)
     # ids as decimals of text keep their nulls and all 64 bits on the way through pandas
-    rows = records.select("id", "url", "payload", "size", "digest", "original")
-    rows = rows.repartitionByRange(partitions(spark), "id", "digest").sortWithinPartitions("id", "digest", "url")
+    rows = records.select("id", "url", "payload", "size", "digest", "original", "mark")
+    rows = rows.repartitionByRange(partitions(spark), "id", "digest").sortWithinPartitions("id", "digest", F.desc("mark"), "url")
     rows = rows.withColumn("id", F.col("id").cast("string")).withColumn("original", F.col("original").cast("string"))
     manifest = rows.mapInPandas(run, MANIFEST)
     manifest.write.json(f"{folder}/manifest")
+    drop_leftovers(folder)
     return spark.read.schema(MANIFEST).json(f"{folder}/manifest")
 
 
@@ -152,7 +166,7 @@ def parse(member: bytes) -> tuple:
     kind = fields["WARC-Type"]
     if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
         raise ValueError(f"bad payload {fields['WARC-Record-ID']}")
-    return key_of(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], size, digest, kind, key_of(fields.get("WARC-Refers-To", ""))
+    return key_of(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI", ""), size, digest, kind, key_of(fields.get("WARC-Refers-To", ""))
 
 
 def read_archive(manifest: DataFrame, folder: str) -> DataFrame:

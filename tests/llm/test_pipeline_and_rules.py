@@ -1,7 +1,11 @@
+import random
 import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 
 import corpus_pipeline
 from songframe.llm import bpe, host_rules, mixing, quality, url_filter
@@ -67,7 +71,7 @@ def test_mix_comes_near_its_targets(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = mixing.mix(docs)
     slim = docs.select(docs.doc_id.alias("id"), "source", mixing.size_of("text").alias("size"))
-    want = {r.source: (r.target, r.source_size) for r in mixing.source_targets(slim.select("source", "size"))[0].collect()}
+    want = {r.source: (r.target, r.source_size) for r in mixing.source_targets(slim.select("source", "size")).collect()}
     got = Counter()
     for r in out.collect():
         got[r.source] += len(r.text.split())
@@ -79,9 +83,9 @@ def test_mix_comes_near_its_targets(spark):
 
 def test_host_verdicts(spark):
     rows = [(i, "bad" if i < 50 else "good", i < 45 or 50 <= i < 60) for i in range(450)] + [(1000, "tiny", True)]
-    verdicts, n = host_rules.host_verdicts(spark.createDataFrame(rows, "id long, host string, base_failed boolean"))
+    verdicts = host_rules.host_verdicts(spark.createDataFrame(rows, "id long, host string, base_failed boolean"))
     got = {r.host: r for r in verdicts.collect()}
-    assert n == 3 and got["bad"].refused and not got["good"].refused
+    assert len(got) == 3 and got["bad"].refused and not got["good"].refused
     assert got["tiny"].shrunk_rate < 1 and got["bad"].shrunk_rate < 0.9
 
 
@@ -96,8 +100,65 @@ def test_mix_draws_rows_without_id_one_by_one(spark):
     rows = [(None if i % 50 else i, f"w{i} b c d", "a" if i % 3 else "b") for i in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     slim = docs.select(docs.doc_id.alias("id"), "source", mixing.size_of("text").alias("size"))
-    want = {r.source: r.target for r in mixing.source_targets(slim.select("source", "size"))[0].collect()}
+    want = {r.source: r.target for r in mixing.source_targets(slim.select("source", "size")).collect()}
     got = Counter()
     for r in mixing.mix(docs).collect():
         got[r.source] += len(r.text.split())
     assert all(abs(got[s] - target) < 0.05 * target for s, target in want.items()), (want, got)
+
+
+@pytest.fixture(scope="module")
+def varied_hosts(tmp_path_factory):
+    """Forty hosts of which some fail nearly always, some hardly ever, some have one document."""
+    rng = random.Random(12)
+    rows = []
+    for h in range(40):
+        bad = rng.choice((0.02, 0.1, 0.9, 0.97))
+        for _ in range(rng.choice((1, 5, 30, 90))):
+            words = ["again"] * 30 if rng.random() < bad else [f"w{rng.randrange(9000)}" for _ in range(rng.randint(20, 60))]
+            rows.append((len(rows), " ".join(words), f"host{h}" if h else None))
+    folder = tmp_path_factory.mktemp("hosts")
+    pq.write_table(pa.table(dict(zip(("doc_id", "text", "source"), map(list, zip(*rows, strict=True)), strict=True))), folder / "documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("bound", [10_000, 3])
+def test_hosts_decide(spark, varied_hosts, bound):
+    """Documents that pass alone go with their host, and the SQL says the same; also where
+    hosts are too many to be broadcast."""
+    rows = host_rules.judged(table(spark, varied_hosts, "documents"), bound=bound).collect()
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{varied_hosts}/documents.parquet'")
+    want = {r[0]: r[-1] for r in duckdb.sql(f"SELECT doc_id, kept FROM ({host_rules.OP3_SQL})").fetchall()}
+    assert {r.id: r.kept for r in rows} == want and len(rows) == len(want)
+    own = [r for r in rows if not r.base_failed and not r.kept]
+    assert len(own) > 10 and any(not r.kept for r in rows if r.shrunk_rate > 0.5)
+    if bound == 3:
+        return
+    got = {r.doc_id: r.kept for r in host_rules.op3_host_rules(spark, varied_hosts).collect()}
+    assert got == want
+
+
+def test_hosts_that_differ_by_chance_alone_shrink_to_the_mean(spark):
+    rng = random.Random(3)
+    rows = [(i, f"h{i % 400}", rng.random() < 0.4) for i in range(2000)]
+    got = host_rules.host_verdicts(spark.createDataFrame(rows, "id long, host string, base_failed boolean")).collect()
+    assert not any(r.refused for r in got) and max(r.shrunk_rate for r in got) < 0.5
+
+
+def test_many_sources_by_shuffle(spark):
+    """The same targets and copies when only the hottest sources are broadcast."""
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(0, 9), rng.choice(["hot", "hot", "hot", None, *[f"s{k}" for k in range(60)]])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    slim = docs.select(docs.doc_id.alias("id"), "source", mixing.size_of("text").alias("size"))
+    a, b = (sorted(map(tuple, mixing.with_copies(slim, bound=n).select("id", "size", "source_size", "target", "copies").collect())) for n in (10_000, 2))
+    assert a == b and len(a) == 3000
+    duckdb.sql("DROP VIEW IF EXISTS documents")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = {r[0]: r for r in con.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.OP6_SQL})").fetchall()}
+    for i, size, whole, target, copies in a:
+        assert want[i][1:3] == (size, whole) and abs(want[i][3] - target) < 1e-6 * (1 + target) and want[i][4] == size * copies
+    c, d = (Counter(map(tuple, mixing.mix(docs, bound=n).collect())) for n in (10_000, 2))
+    assert c == d == Counter({r: a[r[0]][4] for r in rows if a[r[0]][4]})

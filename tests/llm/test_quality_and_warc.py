@@ -1,6 +1,7 @@
 import zlib
 
 import duckdb
+import numpy as np
 import pyarrow.parquet as pq
 
 from songframe.llm import quality, warc
@@ -51,3 +52,58 @@ def test_null_keys(spark, hard_dir):
     assert [(r.record_type, r.refers_to) for r in rows] == [("revisit", 6)]
     payload = pq.read_table(f"{hard_dir}/pages.parquet").to_pylist()[-1]["html"]
     assert rows[0].payload_bytes == len(payload)
+
+
+def test_revisits_by_marks(spark, hard_dir, tmp_path):
+    """The same records whether the decision is broadcast or comes as rows of its own;
+    what a killed worker left is removed."""
+    pages = table(spark, hard_dir, "pages")
+    files = []
+    for bound in (1000, 0):
+        folder = f"file://{tmp_path}/{bound}"
+        (tmp_path / str(bound)).mkdir()
+        (tmp_path / str(bound) / "_temporary-left").write_bytes(b"half")
+        manifest = warc.write_archive(warc.with_types(pages, bound=bound), folder)
+        rows = warc.read_archive(manifest, folder).collect()
+        assert len(rows) == pages.count() and sum(r.record_type == "revisit" for r in rows) == 4
+        files.append(sorted(map(str, rows)))
+        assert not [p for p in (tmp_path / str(bound)).iterdir() if p.name.startswith("_temporary")]
+    assert files[0] == files[1]
+
+
+def test_training_against_a_plain_gradient():
+    """One step on one document against derivatives taken numerically."""
+    def loss(model, text, y):
+        at = [b for w, n in quality.bag_of(text).items() for b in quality.features(w) * n]
+        return -np.log(model.softmax(model.layer @ model.vectors[at].mean(axis=0) + model.bias)[y])
+
+    rng = np.random.default_rng(1)
+    text, y = "one two two three", 1
+    before, after = quality.Embeddings(), quality.Embeddings()
+    start = rng.normal(0, 0.1, before.vectors.shape)
+    before.vectors, after.vectors = start.copy(), start.copy()
+    after.fit([text], [y], epochs=1, rate=0.01)
+    at = sorted({b for w in quality.bag_of(text) for b in quality.features(w)})
+    n = sum(len(quality.features(w)) * k for w, k in quality.bag_of(text).items())
+    step, eps = 0.01 * n / (n + quality.FEW), 1e-5
+    for part in ("layer", "bias"):
+        own, moved = getattr(before, part), getattr(after, part) - getattr(before, part)
+        for i in np.ndindex(own.shape):
+            own[i] += eps
+            up = loss(before, text, y)
+            own[i] -= 2 * eps
+            slope = (up - loss(before, text, y)) / (2 * eps)
+            own[i] += eps
+            assert abs(moved[i] + step * (0.1 if part == "bias" else 1) * slope) < 1e-7
+    # vectors move along the gradient, scaled so that the average moves by one whole step
+    moved = after.vectors - before.vectors
+    slopes = np.zeros_like(moved)
+    for b in at:
+        for d in range(moved.shape[1]):
+            before.vectors[b, d] += eps
+            up = loss(before, text, y)
+            before.vectors[b, d] -= 2 * eps
+            slopes[b, d] = (up - loss(before, text, y)) / (2 * eps)
+            before.vectors[b, d] += eps
+    a, b = moved[at].ravel(), -slopes[at].ravel()
+    assert a @ b / np.sqrt((a @ a) * (b @ b)) > 1 - 1e-6 and not np.delete(moved, at, axis=0).any()
