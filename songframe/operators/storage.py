@@ -6,18 +6,37 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in spark.checkpoint.dir, or in a folder of our own where the
-    session names none (a single machine, as in tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where the session names none, a folder of our own on a
+    single machine, as in tests, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="songframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, below one of the application's own."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/songframe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def once(df: DataFrame, path: str) -> DataFrame:
+    """df as a table at a path of the caller's, written by the first run that gets to
+    its end and read by later ones: a stage that need not be repeated. A run that failed
+    leaves no mark of success, and its files are replaced."""
+    spark = df.sparkSession
+    schema = df.schema
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
