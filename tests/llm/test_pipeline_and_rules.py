@@ -89,11 +89,28 @@ def test_host_verdicts(spark):
     assert got["tiny"].shrunk_rate < 1 and got["bad"].shrunk_rate < 0.9
 
 
-def test_bloom_filter_has_no_false_negatives(spark):
-    listed = spark.createDataFrame([(f"http://h{i}.org/p{i}",) for i in range(2000)], "u string")
-    asked = spark.createDataFrame([(i, f"https://h{i}.org/p{i}/?utm_x=1") for i in range(4000)], "page_id long, url string")
-    got = url_filter.judge(asked, listed.select(url_filter.canonical(listed.u).alias("canon")), rules=()).collect()
-    assert all((r.verdict == "block") == (r.page_id < 2000) for r in got) and len(got) == 4000
+@pytest.mark.parametrize("most", [1 << 19, 50])
+def test_bloom_filter_has_no_false_negatives(spark, most):
+    listed = spark.createDataFrame([(f"http://h{i}.org/p{i}",) for i in range(2000)] + [(None,), ("none",)], "url string")
+    asked = spark.createDataFrame([(i, f"https://h{i}.org/p{i}/?utm_x=1") for i in range(4000)] + [(i, "ftp://H7.org/p7#a") for i in range(-3000, 0)], "page_id long, url string")
+    got = url_filter.judge(asked, listed, rules=(), most=most).collect()
+    assert all((r.verdict == "block") == (r.page_id < 2000) for r in got) and len(got) == 7000
+
+
+def test_the_list_decides(spark):
+    """Against the SQL for several lists; canonical forms meet, other spellings do not."""
+    folder = "/root/testdata/sf0.01"
+    pages = table(spark, folder, "pages")
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    whole, results = [r.url for r in pages.select("url").collect()], []
+    for listed in (url_filter.LIST_FILE.read_text().split(), whole[::3], [u.replace("http", "HTTPS").split("#")[0] + "#x" for u in whole[1::2]], []):
+        frame = spark.createDataFrame([(u,) for u in listed], "url string")
+        got = {r.page_id: tuple(r) for r in url_filter.judge(pages, frame).collect()}
+        want = duckdb.sql(f"SELECT page_id, host, path, rule, verdict FROM ({url_filter.sql(listed)})").fetchall()
+        assert got == {r[0]: r for r in want}
+        results.append(sum(r[4] == "block" and r[3] is None for r in want))
+    duckdb.sql("DROP VIEW pages")
+    assert results[3] == 0 and all(results[:3]) and len(set(results)) == 4
 
 
 def test_mix_draws_rows_without_id_one_by_one(spark):
