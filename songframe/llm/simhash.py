@@ -1,16 +1,18 @@
-"""SimHash fingerprints, linked within a radius through sharded BK-trees.
+"""SimHash fingerprints, linked within a radius through broadcast BK-trees of shards.
 
 Fingerprints that differ in at most R of 64 bits, cut into M blocks, agree in at
 least M - R blocks. So each distinct fingerprint is dealt once for every choice
 of M - R blocks, by the value of those bits; any two linked ones meet in a
-shard. A shard holds a BK-tree (children keyed by their distance to the parent)
-and its fingerprints descend it together, following only edges within the
-radius. A shard of more than MOST_IN_TREE fingerprints is cut into several
-trees, each sent to all blocks of that shard's queries. Trees are sharded by
-value, not copied whole to all executors, as fingerprints grow with the
-documents. A shard gives a spanning forest of its links, so output grows with
-the rows, not with pairs; components follow by alternating large and small
-stars, each round a table in the shared folder.
+shard. Shards of more than MOST_IN_TREE fingerprints are dealt once more, by blocks
+of the bits that are left, with the same guarantee; what is still larger has several
+trees. A BK-tree is stored as a row: its fingerprints level by level, and for each
+the place of its parent and the edge to it, their Hamming distance. Trees
+are broadcast in batches of at most TREE_NODES nodes, as many batches as their count
+asks for; the fingerprints of a shard, in blocks as large as a tree, come to them where
+they lie, descend together and follow only edges within the radius. A tree and a block
+give a spanning forest of their links, so output grows with the rows, not with
+pairs; components follow by alternating large and small stars, each round a table
+in the shared folder.
 
 Null text counts as empty; texts without words have fingerprint zero. Ids may
 repeat or be null: every row has its result, and a component's id is the
@@ -20,6 +22,7 @@ columns are never read.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,10 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songframe.llm.common import small, small_batches, staged, table, text_of
+from songframe.llm.common import BROADCAST_ROWS, new_path, partitions, small, small_batches, staged, table, text_of, with_group
 
 SEED = 42
-MOST_IN_TREE = 4096
+#: Fingerprints of a tree, and nodes of the trees that are broadcast at once.
+MOST_IN_TREE, TREE_NODES = 4096, 1 << 20
+TREE = "k long, t int, trees int, batch int, large boolean, fps binary, parents binary, edges binary"
 
 
 def fingerprint(text: str, n: int = 3) -> int:
@@ -63,117 +68,179 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     return rows.mapInPandas(run, "id long, th long, fp long")
 
 
-def block_masks(radius: int, blocks: int) -> list[int]:
-    """Masks of all choices of blocks - radius blocks, as signed longs."""
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    single = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
-    masks = (sum(c) for c in combinations(single, blocks - radius))
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def bits_of(mask: int) -> list[int]:
+    return [i for i in range(64) if mask >> i & 1]
 
 
-def bk_matches(tree: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.uint64, np.ndarray]]:
-    """Nodes of a BK-tree over `tree`, each with the queries within the radius.
+def block_masks(radius: int, blocks: int, fixed: int = 0) -> list[int]:
+    """Masks of all choices of blocks - radius of the blocks that the bits outside
+    `fixed` are cut into, with those of `fixed`."""
+    free = bits_of(~fixed & (1 << 64) - 1)
+    edges = [round(i * len(free) / blocks) for i in range(blocks + 1)]
+    single = [sum(1 << i for i in free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [fixed | sum(c) for c in combinations(single, blocks - radius)]
 
-    The first of a subset is its root; the rest go by distance to it to its
-    children. All queries descend together, so a subtree is split when queries
-    come to it, and only if any do."""
-    stack = [(tree, queries)]
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def bk_tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of fps level by level, the place of each one's parent in that order (-1
+    for the root) and the edge to it. Siblings have different edges."""
+    order, parents, edges = [], [], []
+    waiting = deque([(np.arange(len(fps)), -1, 0)])
+    while waiting:
+        own, parent, edge = waiting.popleft()
+        at = len(order)
+        order.append(own[0])
+        parents.append(parent)
+        edges.append(edge)
+        rest = own[1:]
+        if rest.size:
+            away = np.bitwise_count(fps[rest] ^ fps[own[0]])
+            waiting.extend((rest[away == d], at, int(d)) for d in np.unique(away))
+    return np.array(order, np.int32), np.array(parents, np.int32), np.array(edges, np.uint8)
+
+
+def descend(fps: np.ndarray, parents: np.ndarray, edges: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Nodes of a tree, each with the places of the queries within the radius. A query
+    follows the edges that differ from its distance to the node by the radius at most."""
+    nodes = np.arange(len(fps))
+    first, last = np.searchsorted(parents, nodes, "left").tolist(), np.searchsorted(parents, nodes, "right").tolist()
+    steps, stack = edges.astype(np.int16), [(0, np.arange(len(queries)))]
     while stack:
-        nodes, asked = stack.pop()
-        root, rest = nodes[0], nodes[1:]
-        away = np.bitwise_count(asked ^ root).astype(np.int16)
+        node, asked = stack.pop()
+        away = np.bitwise_count(queries[asked] ^ fps[node]).astype(np.int16)
         near = asked[away <= radius]
         if near.size:
-            yield root, near
-        if rest.size:
-            edge = np.bitwise_count(rest ^ root)
-            for d in np.unique(edge):
-                follow = np.abs(away - np.int16(d)) <= radius
-                if follow.any():
-                    stack.append((rest[edge == d], asked[follow]))
-
-
-def forest(tree: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of stars that connect what the links between tree and queries do."""
-    nodes = np.unique(np.concatenate((tree, queries)))
-    label = np.arange(len(nodes))
-    for root, near in bk_matches(tree, queries, radius):
-        at = label[np.searchsorted(nodes, np.append(near, root))]
-        least = at.min()
-        other = np.unique(at[at != least])
+            yield node, near
+        for child in range(first[node], last[node]):
+            follow = asked[np.abs(away - steps[child]) <= radius]
+            if follow.size:
+                stack.append((child, follow))
+
+
+def forest(fps: np.ndarray, parents: np.ndarray, edges: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of stars that connect what the links between a tree and queries do."""
+    known = np.unique(np.concatenate((fps, queries)))
+    label, at, asked = np.arange(len(known)), np.searchsorted(known, fps), np.searchsorted(known, queries)
+    for node, near in descend(fps, parents, edges, queries, radius):
+        met = label[np.append(asked[near], at[node])]
+        least = met.min()
+        other = np.unique(met[met != least])
         if other.size:
             label[np.isin(label, other)] = least
-    moved = label != np.arange(len(nodes))
-    return nodes[label[moved]], nodes[moved]
+    moved = label != np.arange(len(known))
+    return known[label[moved]], known[moved]
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames that end where a run of equal (k, i, j) ends; rows come sorted by these."""
+def _runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames that end where a run of equal `by` ends; rows come sorted by these."""
     held: list[pd.DataFrame] = []
     for x in batches:
-        key = x[["k", "i", "j"]].to_numpy()
-        if held and len(x) and (held[-1][["k", "i", "j"]].to_numpy()[-1] == key).all():
+        if not len(x):
+            continue
+        key = x[by].to_numpy()
+        last = (key == key[-1]).all(axis=1)
+        cut = int(np.argmax(last))  # the run that the next batch may go on with
+        if held and (held[-1][by].to_numpy()[-1] == key[-1]).all():
             held.append(x)
             continue
-        last = (key == key[-1]).all(axis=1) if len(x) else np.zeros(0, bool)
-        cut = int(np.argmax(last)) if len(x) else 0
-        if held and len(x):
-            same = (held[-1][["k", "i", "j"]].to_numpy()[-1] == key).all(axis=1)
-            cut = max(cut, int(same.sum()))
-        if cut:
-            yield pd.concat([*held, x.iloc[:cut]], ignore_index=True)
-            held = [x.iloc[cut:]] if cut < len(x) else []
-        elif len(x):
-            if held:
-                yield pd.concat(held, ignore_index=True)
-            held = [x]
+        yield pd.concat([*held, x.iloc[:cut]], ignore_index=True)
+        held = [x.iloc[cut:]]
     if held:
         yield pd.concat(held, ignore_index=True)
 
 
-def _starts(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and size of each run of equal (k, i, j)."""
-    key = x[["k", "i", "j"]].to_numpy()
+def _starts(x: pd.DataFrame, by: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and size of each run of equal `by`."""
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key = x[by].to_numpy()
     starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1))
     return starts, np.diff(np.append(starts, len(x)))
 
 
-def _link(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Edges within each run of equal (k, i, j)."""
-    for x in _runs(batches):
-        fp, side = x["fp"].to_numpy().view(np.uint64), x["side"].to_numpy()
-        starts, sizes = _starts(x)
-        two = starts[sizes == 2]  # a root and one child, for all such trees at once
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-        found = [(fp[two], fp[two + 1])]
-        for a, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            own, asks = fp[a : a + n], side[a : a + n]
-            found.append(forest(own[asks == 0], own[asks == 1], radius) if asks.any() and not asks.all() else forest(own, own, radius))
-        yield pd.DataFrame({"a": np.concatenate([x[0] for x in found]).view(np.int64), "b": np.concatenate([x[1] for x in found]).view(np.int64)})
-
-
-def dealt(keys: DataFrame, most: int) -> DataFrame:
-    """keys (k, fp and more) by shard; i, j name a tree and the block of queries
-    sent to it, side is 1 for queries. A shard of at most `most` rows is one tree."""
-    rest = [c for c in keys.columns if c != "k"]
-    large = staged(keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "large")
-    n_large = large.count()
-    zero = F.lit(0).cast("int")
-    out = keys.select("k", zero.alias("i"), zero.alias("j"), zero.alias("side"), *rest)
-    if n_large:
-        trees = F.ceil(F.col("n") / most).cast("int")
-        cut = keys.join(small(large, n_large), "k").withColumn("trees", trees).withColumn("tree", F.pmod(F.xxhash64("fp", *(["sig"] if "sig" in rest else [])), "trees").cast("int"))
-        cut = cut.withColumn("to", F.explode(F.sequence(zero, F.col("trees") - 1))).select("k", F.least("tree", "to").alias("i"), F.greatest("tree", "to").alias("j"), (F.col("tree") > F.col("to")).cast("int").alias("side"), *rest)
-        out = keys.join(small(large, n_large), "k", "left_anti").select("k", zero.alias("i"), zero.alias("j"), zero.alias("side"), *rest).unionByName(cut)
-    return out.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-
-
-def links(fps: DataFrame, radius: int, blocks: int, most: int = MOST_IN_TREE) -> DataFrame:
+def _trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row of TREE for each run of equal (k, t)."""
+    for x in _runs(batches, ["k", "t"]):
+        fps, out = x["fp"].to_numpy().view(np.uint64), []
+        starts, sizes = _starts(x, ["k", "t"])
+        for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+            own = fps[a : a + n]
+            order, parents, edges = bk_tree(own)
+            out.append((own[order].tobytes(), parents.tobytes(), edges.tobytes()))
+        rows = x[["k", "t", "trees", "batch"]].iloc[starts].reset_index(drop=True)
+        rows["large"] = rows["trees"] > 1
+        yield pd.concat((rows, pd.DataFrame(out, columns=["fps", "parents", "edges"])), axis=1)
+
+
+def _descents(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Edges between the fingerprints of each row's tree and those that ask it."""
+    for x in batches:
+        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for fps, parents, edges, asked in zip(x["fps"], x["parents"], x["edges"], x["asked"], strict=True):
+            own = np.frombuffer(fps, np.uint64)
+            if len(edges) == 2 and asked == fps:  # a root and its child
+                found = (own[:1], own[1:]) if edges[1] <= radius else (own[:0], own[:0])
+            else:
+                found = forest(own, np.frombuffer(parents, np.int32), np.frombuffer(edges, np.uint8), np.frombuffer(asked, np.uint64), radius)
+            a.append(found[0])
+            b.append(found[1])
+        yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+
+
+def _in_shards(keys: DataFrame, name: str) -> DataFrame:
+    """keys (k and more) of shards that hold two rows or more, with their count n."""
+    sizes = staged(keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), name)
+    return with_group(keys, sizes.withColumns({"own": F.col("k"), "size": F.col("n")}).select("own", "n", "size"), "k", "own", BROADCAST_ROWS).withColumnRenamed("size", "n")
+
+
+def shards(fps: DataFrame, radius: int, blocks: int, most: int) -> DataFrame:
+    """(k, n, fp): all shards of two or more; any two fingerprints within the radius meet in one."""
+    first = block_masks(radius, blocks)
+    masks = F.array(*(F.lit(signed(m)) for m in first))
+    keys = fps.select("fp", F.posexplode(masks).alias("c", "mask")).select("fp", "c", F.xxhash64("c", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"))
+    keys = staged(_in_shards(keys, "shards"), "keys")
+    finer = F.array(*(F.array(*(F.lit(signed(m)) for m in block_masks(radius, blocks, f))) for f in first))
+    again = keys.where(F.col("n") > most).select("fp", "c", F.posexplode(F.element_at(finer, F.col("c") + 1)).alias("d", "mask"))
+    again = _in_shards(again.select("fp", F.xxhash64("c", "d", F.col("fp").bitwiseAND(F.col("mask"))).alias("k")), "finer-shards")
+    return keys.where(F.col("n") <= most).select("k", "n", "fp").unionByName(again.select("k", "n", "fp"))
+
+
+def stored_trees(fps: DataFrame, radius: int, blocks: int, most: int, nodes: int) -> tuple[DataFrame, int]:
+    """The trees of all shards as a table, and the count of their batches."""
+    spark = fps.sparkSession
+    rows = staged(shards(fps, radius, blocks, most), "dealt")
+    batches = max(1, -(-rows.count() // nodes))
+    rows = rows.withColumn("trees", F.ceil(F.col("n") / most).cast("int")).withColumn("t", F.pmod(F.xxhash64("fp"), "trees").cast("int"))
+    while True:  # hashing deals trees out evenly; where it does not, into more batches
+        rows = rows.withColumn("batch", F.pmod(F.xxhash64("k", "t", F.lit(5)), F.lit(batches)).cast("int"))
+        full = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if full <= 2 * max(nodes, most):
+            break
+        batches *= 2
+    built = rows.repartition(partitions(spark), "k", "t").sortWithinPartitions("k", "t", "fp").select("k", "t", "trees", "batch", "fp").mapInPandas(_trees, TREE)
+    path = new_path(spark, "trees")
+    built.write.partitionBy("large", "batch").parquet(path)
+    return spark.read.schema(TREE).parquet(path), batches
+
+
+def links(fps: DataFrame, radius: int, blocks: int, most: int = MOST_IN_TREE, nodes: int = TREE_NODES) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that connect all
     within the radius."""
-    masks = F.array(*(F.lit(m).cast("long") for m in block_masks(radius, blocks)))
-    keys = fps.select("fp", F.posexplode(masks).alias("n", "mask")).select("fp", F.xxhash64("n", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"))
-    return dealt(keys, most).mapInPandas(lambda x: _link(x, radius), "a long, b long").where("a <> b").distinct()
+    spark = fps.sparkSession
+    small_batches(spark)
+    trees, batches = stored_trees(fps, radius, blocks, most, nodes)
+    path = new_path(spark, "links")
+    for batch in range(batches):
+        own = trees.where((F.col("batch") == batch) & ~F.col("large")), trees.where((F.col("batch") == batch) & F.col("large"))
+        asks = own[0].unionByName(trees.where("large")).select("k", F.col("t").alias("asks"), F.col("fps").alias("asked"))
+        met = asks.join(F.broadcast(own[0].unionByName(own[1]).select("k", "t", "fps", "parents", "edges")), "k").where("asks >= t")
+        found = met.select("fps", "parents", "edges", "asked").mapInPandas(lambda x: _descents(x, radius), "a long, b long")
+        found.where("a <> b").write.mode("append").parquet(path)
+    return spark.read.schema("a long, b long").parquet(path).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,8 +290,8 @@ def shingles(text: str, n: int) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, bands: int) -> list[int]:
-    """Shard keys: of each band, a hash of the least values of two mixes of h. Sets
-    of Jaccard similarity s share one with probability 1 - (1 - s^2)^bands."""
+    """Shard keys: of each band, a hash of the least values of two mixes of h. Sets of
+    Jaccard similarity s share one with probability 1 - (1 - s^2)^bands."""
     if not len(h):
         return []
     out = []
@@ -254,7 +321,11 @@ def shingle_sets(docs: DataFrame, key: str, text: str, n: int, bands: int) -> Da
     return found.withColumn("id", F.col("id").cast("long"))
 
 
-def similar_forest(fp: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+#: Of the measures of similarity, the bands that shards are dealt by.
+BANDS = {"jaccard": 9, "cosine": 16}
+
+
+def similar_forest(fp: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, radius: int, least: float, measure: str = "jaccard") -> tuple[np.ndarray, np.ndarray]:
     """Edges (places) of stars that connect the pairs of a shard with similarity
     `least` or more. A BK-tree gives those within the radius first, as they connect
     most; pairs beyond it that are not yet connected are compared set by set too, so
@@ -267,9 +338,15 @@ def similar_forest(fp: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, rad
     label = np.arange(len(sets))
     both = asks.any() and not asks.all()
     trees, queries = (np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)) if both else (label.copy(), label.copy())
+    ratio = least * least if measure == "cosine" else least  # of the sizes of similar sets, at least
+
+    def close(common: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
+        if measure == "cosine":
+            return common**2 >= ratio * a * b - 1e-9
+        return common >= least * (a + b - common)
 
     def join(root: int, near: np.ndarray) -> None:
-        near = near[(label[near] != label[root]) & (sizes[near] >= least * sizes[root]) & (sizes[root] >= least * sizes[near])]
+        near = near[(label[near] != label[root]) & (sizes[near] >= ratio * sizes[root]) & (sizes[root] >= ratio * sizes[near])]
         if near.size:
             own = every[begins[root] : ends[root]]
             mark[own] = 1
@@ -278,23 +355,14 @@ def similar_forest(fp: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, rad
             else:
                 common = np.array([mark[every[begins[q] : ends[q]]].sum() for q in near])
             mark[own] = 0
-            met = near[common >= least * (sizes[near] + sizes[root] - common)]
+            met = near[close(common.astype(np.int64), sizes[root], sizes[near])]
             if met.size:
                 at = label[np.append(met, root)]
                 label[np.isin(label, at)] = at.min()
 
-    stack = [(trees, queries)]
-    while stack:
-        nodes, asked = stack.pop()
-        root, rest = nodes[0], nodes[1:]
-        away = np.bitwise_count(fp[asked] ^ fp[root]).astype(np.int16)
-        join(root, asked[away <= radius])
-        if rest.size:
-            edge = np.bitwise_count(fp[rest] ^ fp[root])
-            for d in np.unique(edge):
-                follow = np.abs(away - np.int16(d)) <= radius
-                if follow.any():
-                    stack.append((rest[edge == d], asked[follow]))
+    order, parents, edges = bk_tree(fp[trees])
+    for node, near in descend(fp[trees][order], parents, edges, fp[queries], radius):
+        join(trees[order[node]], queries[near])
     for root in trees:  # what is still apart may be similar at any distance
         rest = queries[label[queries] != label[root]]
         join(root, rest[np.bitwise_count(fp[rest] ^ fp[root]) > radius])
@@ -302,48 +370,115 @@ def similar_forest(fp: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, rad
     return label[moved], moved
 
 
-def _link_similar(batches: Iterator[pd.DataFrame], radius: int, least: float) -> Iterator[pd.DataFrame]:
-    for x in _runs(batches):
+PLACE = ["k", "i", "j"]
+
+
+def _link_similar(batches: Iterator[pd.DataFrame], radius: int, least: float, measure: str) -> Iterator[pd.DataFrame]:
+    for x in _runs(batches, PLACE):
         fp, side, sig = x["fp"].to_numpy().view(np.uint64), x["side"].to_numpy(), x["sig"].to_numpy()
         a, b = [], []
-        for start, n in zip(*_starts(x), strict=True):
+        for start, n in zip(*_starts(x, PLACE), strict=True):
             if n > 1:
                 sets = [np.frombuffer(o, np.uint32) for o in x["own"].iloc[start : start + n]]
-                root, node = similar_forest(fp[start : start + n], sets, side[start : start + n], radius, least)
+                root, node = similar_forest(fp[start : start + n], sets, side[start : start + n], radius, least, measure)
                 a.append(sig[start + root])
                 b.append(sig[start + node])
         yield pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
 
 
-def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, least: float = 0.8, radius: int = 16, bands: int = 9, most: int = 2048) -> DataFrame:
-    """id, th, sig and component_id of every row: texts are linked when the Jaccard
-    similarity of their sets of n-word shingles is `least` or more.
+def _compared(dealt: DataFrame, sets: DataFrame, *how) -> DataFrame:
+    """Edges (a, b) within each (k, i, j) of dealt (k, i, j, side, fp, sig): between its
+    two sides where it has both, else among all its rows."""
+    rows = dealt.join(sets, "sig").select(*PLACE, "side", "fp", "sig", "own")
+    rows = rows.repartition(partitions(dealt.sparkSession), *PLACE).sortWithinPartitions(*PLACE)
+    return rows.mapInPandas(lambda x: _link_similar(x, *how), "a long, b long").distinct()
+
+
+def _dealt(keys: DataFrame, count: str, most: int) -> DataFrame:
+    """keys (k, fp, sig and the column `count` of rows in a shard) cut into trees of about
+    `most`: every tree meets itself and all later ones."""
+    tree = F.pmod(F.xxhash64("sig"), F.greatest(F.lit(1), F.ceil(F.col(count) / most))).cast("int")
+    rows = keys.withColumn("tree", tree).withColumn("to", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col(count) / most)).cast("int") - 1)))
+    return rows.select("k", F.least("tree", "to").alias("i"), F.greatest("tree", "to").alias("j"), (F.col("tree") > F.col("to")).cast("int").alias("side"), "fp", "sig")
+
+
+def large_edges(keys: DataFrame, sets: DataFrame, most: int, *how, pivots: int = 4) -> DataFrame:
+    """Edges in shards of more than `most` sets; keys are (k, n, fp, sig).
+
+    All rows of a shard are first held against a few of them, those whose fingerprints
+    are closest to the majority of each bit: one pass, no pairs. What that connects most
+    rows of the shard with is one component, whose rows need not be compared with each
+    other any more; the rest is compared with itself and with that component."""
+    ones = [F.sum(F.shiftright("fp", i).bitwiseAND(1)).alias(f"o{i}") for i in range(64)]
+    whole = keys.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), *ones)
+    major = F.lit(0).cast("long")
+    for i in range(64):
+        major = major.bitwiseOR(F.when(2 * F.col(f"o{i}") > F.col("rows"), F.lit(signed(1 << i))).otherwise(F.lit(0).cast("long")))
+    major = staged(whole.select(F.col("k").alias("own"), F.col("rows").alias("n"), major.alias("major")), "majorities")
+    rows = with_group(keys, major, "k", "own", BROADCAST_ROWS)
+    rows = rows.withColumn("away", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("major"))).alias("bits"), "sig", "fp"))
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    taken, left = None, rows
+    for _ in range(pivots):  # the closest, then the closest of the others
+        best = staged(left.groupBy("k").agg(F.min("away").alias("best"), F.first("n").alias("n")), "pivot")
+        taken = best if taken is None else taken.unionByName(best)
+        left = with_group(left, best.select(F.col("k").alias("own"), "n", "best"), "k", "own", BROADCAST_ROWS).where(F.col("away") > F.col("best")).drop("best")
+    zero = F.lit(0)
+    asking = rows.withColumn("i", F.pmod(F.xxhash64("sig"), blocks).cast("int")).select("k", "i", F.col("i").alias("j"), F.lit(1).alias("side"), "fp", "sig")
+    asked = taken.withColumn("i", F.explode(F.sequence(zero, blocks - 1))).select("k", "i", F.col("i").alias("j"), zero.alias("side"), F.col("best.fp").alias("fp"), F.col("best.sig").alias("sig"))
+    first = staged(_compared(asking.unionByName(asked), sets, *how), "pivot-edges")
+    rooted = keys.join(components(first).withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    rooted = staged(rooted, "rooted")
+    sizes = rooted.groupBy("k", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("k").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("main_size"), F.sum("size").alias("n"))
+    rooted = staged(with_group(rooted.drop("n"), staged(sizes.withColumnRenamed("k", "own").withColumn("rows", F.col("n")), "mains"), "k", "own", BROADCAST_ROWS), "classed")
+    others = rooted.where("root <> main").withColumn("others", F.col("rows") - F.col("main_size"))
+    trees, queries = F.ceil((F.col("rows") - F.col("main_size")) / most).cast("int"), F.ceil(F.col("main_size") / most).cast("int")
+    tree = F.pmod(F.xxhash64("sig"), trees).cast("int")
+    cross = others.withColumn("i", tree).withColumn("j", F.explode(F.sequence(trees, trees + queries - 1))).select("k", "i", "j", zero.alias("side"), "fp", "sig")
+    main = rooted.where("root = main AND main_size < rows").withColumn("j", trees + F.pmod(F.xxhash64("sig"), queries).cast("int")).withColumn("i", F.explode(F.sequence(zero, trees - 1))).select("k", "i", "j", F.lit(1).alias("side"), "fp", "sig")
+    second = _compared(_dealt(others, "others", most).unionByName(cross).unionByName(main), sets, *how)
+    return first.unionByName(second)
+
+
+def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, least: float = 0.8, measure: str = "jaccard", radius: int = 16, bands: int | None = None, most: int = 2048) -> DataFrame:
+    """id, th, sig and component_id of every row: texts are linked when the similarity of
+    their sets of n-word shingles is `least` or more: Jaccard's, common over all, or the
+    cosine, common over the root of the product of sizes, which is what SimHash
+    estimates. A Jaccard similarity s is a cosine of 2 s / (1 + s) in sets of the same size, so
+    the cosine links all that Jaccard's measure does, and more.
 
     At such similarities SimHash values mostly differ in up to some 16 of 64 bits,
     which no cut into blocks of bits can find cheaply; shards are therefore dealt by
-    the texts' least shingle hashes, and only keys that two different sets share carry
-    the sets themselves. Every link that is made was checked against the sets; a pair
-    is missed only if no band deals both to one shard."""
+    the texts' least shingle hashes. Shards with the same members are one, and only
+    they carry the sets themselves. Every link that is made was checked on the sets
+    (32 bits of each shingle's hash); a pair is missed only if no band deals both to one
+    shard: with probability (1 - j^2)^bands for a Jaccard similarity j, which is 1e-4 at
+    a Jaccard similarity of 0.8 with 9 bands, and at most 2e-4 at a cosine of 0.8 with 16."""
+    bands = bands or BANDS[measure]
     rows = staged(shingle_sets(docs, key, text, n, bands), "sets")
     first = staged(rows.groupBy("sig").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.min_by("keys", "th").alias("keys")), "distinct-sets")
     keys = first.select("sig", "fp", F.explode("keys").alias("k"))
-    shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    keys = staged(keys.join(shared, "k"), "shared-keys")
+    # which members a shard has, in 128 bits
+    members = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y")).where("n > 1")
+    shared = staged(members.groupBy("n", "x", "y").agg(F.min("k").alias("own")).select("own", "n", F.col("n").alias("size")), "shared")
+    keys = staged(with_group(keys, shared, "k", "own", BROADCAST_ROWS).withColumnRenamed("size", "n"), "shared-keys")
     asked = keys.select("sig").distinct()
-    sets = rows.select("sig", "own").join(asked, "sig").groupBy("sig").agg(F.first("own").alias("own"))
-    edges = dealt(keys.join(staged(sets, "asked-sets"), "sig").select("k", "fp", "sig", "own"), most)
-    edges = edges.mapInPandas(lambda x: _link_similar(x, radius, least), "a long, b long").distinct()
+    sets = staged(rows.select("sig", "own").join(asked, "sig").groupBy("sig").agg(F.first("own").alias("own")), "asked-sets")
+    edges = _compared(_dealt(keys.where(F.col("n") <= most), "n", most), sets, radius, least, measure)
+    large = keys.where(F.col("n") > most)
+    if shared.where(F.col("n") > most).count():
+        edges = edges.unionByName(large_edges(large, sets, most, radius, least, measure))
     nodes = staged(components(edges).withColumnRenamed("node", "sig").join(first.select("sig", "first"), "sig"), "nodes")
     ids = nodes.groupBy("root").agg(F.min("first").alias("least"))
     named = first.join(nodes.join(ids, "root").select("sig", "least"), "sig", "left").select("sig", F.coalesce("least", "first").alias("component_id"))
     return rows.select("id", "th", "sig").join(staged(named, "named"), "sig")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, least: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, least: float = 0.8, measure: str = "jaccard") -> DataFrame:
     """docs with one row of each component: that with the smallest id (of rows
     without ids or with the same: that with the smallest text hash)."""
     names = docs.columns
-    rows = staged(similar_components(docs, key, text, n, least), "components")
+    rows = staged(similar_components(docs, key, text, n, least, measure), "components")
     # without any id in a component, only rows with the same set are known to be together
     rows = rows.withColumns({"g": F.col("component_id"), "h": F.when(F.col("component_id").isNull(), F.col("sig"))})
     best = rows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("best")).where("n > 1")

@@ -38,7 +38,7 @@ def grouped(n, linked):
 
 
 def test_fingerprints_and_components(spark, hard_dir, docs):
-    short = [(i, t) for i, t in docs if len(t) < 25_000]
+    short = docs
     prints = [fingerprint(t) for _, t in short]
     roots = grouped(len(short), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
     least = {}
@@ -51,8 +51,9 @@ def test_fingerprints_and_components(spark, hard_dir, docs):
     assert sorted((r.doc_id or 0, r.fingerprint, r.component_id or 0) for r in got if (r.doc_id or 0, r.fingerprint) in known) == want
 
 
-@pytest.mark.parametrize("most", [4096, 5])
-def test_links_against_all_pairs(spark, most):
+@pytest.mark.parametrize(("most", "nodes"), [(4096, 1 << 20), (5, 1 << 20), (5, 40), (1000, 30)])
+def test_links_against_all_pairs(spark, most, nodes):
+    """Also where trees come in several batches, and large shards are dealt more finely."""
     rng = random.Random(5)
     fps = set()
     for _ in range(40):
@@ -64,7 +65,7 @@ def test_links_against_all_pairs(spark, most):
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     frame = spark.createDataFrame([(f,) for f in signed], "fp long")
-    found = {r.node: r.root for r in simhash.components(simhash.links(frame, 2, 4, most)).collect()}
+    found = {r.node: r.root for r in simhash.components(simhash.links(frame, 2, 4, most, nodes)).collect()}
     roots = grouped(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
     got = [found.get(f, f) for f in signed]
     assert all((got[a] == got[b]) == (roots[a] == roots[b]) for a in range(len(fps)) for b in range(a))
@@ -171,3 +172,44 @@ def test_similar_forest_against_all_pairs(blocks):
         label[node] = root
     roots = grouped(len(sets), linked)
     assert [label.index(x) for x in label] == [roots.index(x) for x in roots]
+
+
+def test_trees_are_keyed_by_integer_distance(spark):
+    rng = np.random.default_rng(8)
+    fps = np.unique(np.concatenate([rng.integers(0, 2**64, 300, np.uint64), np.arange(200, dtype=np.uint64)]))
+    rng.shuffle(fps)
+    order, parents, edges = simhash.bk_tree(fps)
+    assert sorted(order.tolist()) == list(range(len(fps))) and parents[0] == -1 and (np.diff(parents) >= 0).all()
+    own = fps[order]
+    assert all(edges[i] == (int(own[i]) ^ int(own[parents[i]])).bit_count() for i in range(1, len(own)))
+    assert len({(p, e) for p, e in zip(parents.tolist(), edges.tolist(), strict=True)}) == len(own)  # one child an edge
+    for radius in (0, 2, 7):
+        got = {(int(own[node]), int(fps[q])) for node, near in simhash.descend(own, parents, edges, fps, radius) for q in near}
+        assert got == {(int(a), int(b)) for a in fps for b in fps if (int(a) ^ int(b)).bit_count() <= radius}
+
+
+@pytest.mark.parametrize("measure", ["jaccard", "cosine"])
+def test_large_shards_against_all_pairs(spark, measure):
+    """Shards of more than `most` sets: held against a few first, the rest in blocks."""
+    rng, texts = random.Random(2), []
+    for group in range(6):
+        base = [f"g{group}w{i}" for i in range(60)]
+        for _ in range(40):
+            if rng.random() < 0.2:
+                base[rng.randrange(60)] = f"n{rng.randrange(10**6)}"  # the group drifts
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+
+    def linked(a, b):
+        both = len(sets[a] & sets[b])
+        return both**2 >= 0.64 * len(sets[a]) * len(sets[b]) if measure == "cosine" else both >= 0.8 * len(sets[a] | sets[b])
+
+    roots = grouped(len(texts), linked)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (2048, 7):
+        rows = simhash.similar_components(frame, measure=measure, most=most, bands=30).collect()
+        assert [r.component_id for r in sorted(rows, key=lambda r: r.id)] == roots
+    assert 6 <= len(set(roots)) < 200

@@ -48,7 +48,7 @@ def test_pipeline_against_brute_force(spark):
 
     for a in range(len(rows)):
         for b in range(a):
-            if shingles[a] == shingles[b] or shingles[a] and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+            if shingles[a] == shingles[b] or shingles[a] and len(shingles[a] & shingles[b]) ** 2 >= 0.64 * len(shingles[a]) * len(shingles[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     rows = [r for k, r in enumerate(rows) if find(k) == k]

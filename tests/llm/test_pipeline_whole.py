@@ -32,7 +32,7 @@ def survivors(rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] == sets[b] or sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if sets[a] == sets[b] or sets[a] and len(sets[a] & sets[b]) ** 2 >= 0.64 * len(sets[a]) * len(sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return [r for k, r in enumerate(rows) if find(k) == k]
