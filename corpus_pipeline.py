@@ -24,8 +24,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group linked by a similarity of 0.8 or more: the cosine of
+    their sets of five-word shingles, which is what SimHash estimates."""
+    return simhash.drop_near_duplicates(docs, measure="cosine")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
