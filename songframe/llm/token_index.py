@@ -10,9 +10,10 @@ to free slots, and groups of one take a free slot outright. A slot stores a
 32-bit fingerprint of its key and where the ids are: shard, offset, count. A lookup
 takes one displacement and one slot, and rejects keys whose fingerprint differs.
 
-A key is a document's id with the hash of its text and the number among rows
-that are alike in both, so rows that repeat, or have no id, have keys of their
-own. Null text counts as empty: its record is the end id alone. Documents
+A key is a document's id and its number among the rows of that id in the order of the
+files (by_id), so that a document is found by its id alone, as number 0; or else the id
+with the hash of its text and the number among rows that are alike in both. Rows
+that repeat, or have no id, have keys of their own either way. Null text counts as empty: its record is the end id alone. Documents
 without id come first. An empty table gives an empty index and an empty result;
 other columns are never read.
 """
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from songframe.llm.bpe import byte_letters
@@ -149,6 +150,32 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
     return entries
 
 
+def by_id(entries: DataFrame) -> DataFrame:
+    """entries keyed by id alone: th is 0, and nth numbers the rows of an id in the order
+    of the files. Equal ids lie side by side, so only the first id of a shard may go on
+    from shards before it; a row for each shard comes to the driver."""
+    own = Window.partitionBy("shard", "id").orderBy("at")
+    rows = staged(entries.withColumn("local", F.row_number().over(own) - 1), "numbered")
+    ends = rows.groupBy("shard").agg(F.min_by(F.struct("id"), "at").alias("first"), F.max_by(F.struct("id", "local"), "at").alias("last")).orderBy("shard")
+    starts, before, last = [], 0, None
+    for shard, (first,), (end, local) in ends.collect():
+        offset = before if last == (first,) else 0
+        starts.append((shard, first, offset))
+        before, last = local + 1 + (offset if first == end else 0), (end,)
+    starts = entries.sparkSession.createDataFrame(starts, "shard int, first string, offset long")
+    goes_on = F.when(F.col("id").eqNullSafe(F.col("first")), F.col("offset")).otherwise(0)
+    rows = rows.join(F.broadcast(starts), "shard").withColumns({"th": F.lit(0).cast("long"), "nth": F.col("local") + goes_on})
+    return rows.select("id", "th", "nth", "shard", "at", "n")
+
+
+def keys_of(ids: DataFrame, key: str = "doc_id", chunk: int = 1 << 16) -> DataFrame:
+    """Keys (id, th, nth) of by_id() for every row of a table of ids, repeated ones too."""
+    many = ids.groupBy(F.col(key).cast("string").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
+    many = many.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(chunk).cast("long")))).repartition(partitions(ids.sparkSession), "id", "start")
+    nth = F.explode(F.sequence("start", F.least(F.col("start") + chunk, "rows") - 1))
+    return many.select("id", F.lit(0).cast("long").alias("th"), nth.alias("nth"))
+
+
 # ------------------------------------------------------------------ the index
 
 
@@ -294,9 +321,10 @@ def starts(entries: DataFrame) -> DataFrame:
 
 
 def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     folder, vocabulary = new_path(spark, "ids"), vocabulary_file()
-    entries = write_shards(table(spark, sf_dir, "documents"), folder, vocabulary=vocabulary)
+    entries = staged(by_id(write_shards(docs, folder, vocabulary=vocabulary)), "by-id")
     index, buckets = build_index(entries)
-    rows = read_ids(look_up(entries.select("id", "th", "nth"), index, buckets), folder, id_type(vocabulary))
+    rows = read_ids(look_up(keys_of(docs), index, buckets), folder, id_type(vocabulary))
     rows = rows.join(F.broadcast(starts(entries)), "shard")
     return rows.select(F.col("id").cast("long").alias("doc_id"), (F.col("before") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))

@@ -83,3 +83,22 @@ def test_unknown_keys_and_ids(spark, hard_dir, tmp_path):
     assert token_index.look_up(keys, index, buckets).count() == 0
     found = token_index.read_ids(token_index.look_up(entries, index, buckets), folder, "<u2", keep=True).where("id = '107'").collect()
     assert [np.frombuffer(r.ids, "<u4").tolist()[-1] for r in found] == [1]
+
+
+def test_documents_are_found_by_id_alone(spark, hard_dir, docs, tmp_path):
+    """Also where rows of an id are spread over several shards."""
+    folder, t = f"file://{tmp_path}", library("word_bpe_49k.json")
+    many = [(7, f"text {i}") for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(i, f"own {i}") for i in range(8, 60)]
+    frame = spark.createDataFrame(many, "doc_id long, text string")
+    entries = token_index.by_id(token_index.write_shards(frame, folder)).cache()
+    assert entries.select("shard").distinct().count() > 3
+    assert sorted((r.id or "", r.nth) for r in entries.collect()) == sorted([("7", i) for i in range(300)] + [("", i) for i in range(200)] + [(str(i), 0) for i in range(8, 60)])
+    index, buckets = token_index.build_index(entries, size=16)
+    asked = spark.createDataFrame([(str(i), 0, 0) for i in range(100)], "id string, th long, nth long")
+    found = token_index.read_ids(token_index.look_up(asked, index, buckets), folder, "<u2", keep=True).collect()
+    assert sorted(int(r.id) for r in found) == list(range(7, 60))
+    for r in found:
+        if r.id != "7":
+            assert np.frombuffer(r.ids, "<u4").tolist() == [*t.encode(f"own {r.id}", add_special_tokens=False).ids, 1]
+    keys = token_index.keys_of(frame, chunk=7)
+    assert keys.count() == len(many) == token_index.look_up(keys, index, buckets).count()
