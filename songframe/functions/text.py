@@ -5,12 +5,26 @@ Null in, null out, unless said otherwise.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and their bases.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüýÿñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝÑÇ"
-BASE = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
+
+
+def _plain_letters(form: str) -> dict[str, str]:
+    """Characters of one letter or digit a to z or 0 to 9 once they are taken apart (in a
+    normal form, without combining marks), by that character."""
+    out = {}
+    for c in map(chr, (*range(0xAA, 0x2500), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFF60))):
+        parts = [x for x in unicodedata.normalize(form, c) if not unicodedata.combining(x)]
+        if len(parts) == 1 and parts[0].isascii() and parts[0].isalnum():
+            out[c] = parts[0].lower()
+    return out
+
+
+#: Of words, compatible characters count too (full width letters, raised digits); of letters not.
+WORD_LETTERS, PURE_LETTERS = _plain_letters("NFKD"), _plain_letters("NFD")
 #: The language names that headers use, and their codes.
 LANGUAGES = {
     "spanish": "es", "español": "es", "espanol": "es", "english": "en", "french": "fr", "français": "fr",
@@ -31,9 +45,10 @@ def stripped(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
-def unaccented(x: Column) -> Column:
-    """Lower case without accents: Latin letters, and combining marks anywhere."""
-    return F.regexp_replace(F.translate(F.lower(x), ACCENTED, BASE), r"\p{Mn}", "")
+def unaccented(x: Column, letters: dict[str, str] = WORD_LETTERS) -> Column:
+    """Lower case without accents: characters that come apart into a letter or digit and
+    marks are that letter or digit, and combining marks go."""
+    return F.regexp_replace(F.translate(F.lower(x), "".join(letters), "".join(letters.values())), r"\p{M}", "")
 
 
 def word_key(x: Column) -> Column:
@@ -42,7 +57,7 @@ def word_key(x: Column) -> Column:
 
 
 def letters_key(x: Column) -> Column:
-    return F.regexp_replace(unaccented(x), "[^a-z]", "")
+    return F.regexp_replace(unaccented(x, PURE_LETTERS), "[^a-z]", "")
 
 
 def display(x: Column) -> Column:

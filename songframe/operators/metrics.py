@@ -1,8 +1,8 @@
 """Aggregates: distributions, errors, rates, votes, strata.
 
 Groups are by chart or another key; all are plain aggregates, so that Spark adds
-up before the shuffle where a function allows it. Exact percentiles hold a group's
-values together; groups are charts or a metric's samples.
+up before the shuffle where a function allows it. Exact percentiles hold a chart's
+values together; those of a whole library are found by ranks (see ranks).
 """
 
 from __future__ import annotations
@@ -11,15 +11,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songframe.functions.timing import ratio
+from songframe.operators import ranks
 
 PERCENTS = (10, 25, 50, 75, 90, 95, 99)
 
 
 def distribution(samples: DataFrame, by: str = "metric", value: str = "value") -> DataFrame:
     """n, mean and percentiles (linear between neighbours) of each group, rounded to 3."""
-    out = samples.where(F.col(value).isNotNull()).groupBy(by)
-    out = out.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.array(*(F.lit(p / 100) for p in PERCENTS))).alias("p"))
-    return out.select(by, "n", F.round("mean", 3).alias("mean"), *(F.round(F.col("p")[i], 3).alias(f"p{p}") for i, p in enumerate(PERCENTS)))
+    out = ranks.quantiles(samples, [by], value, [p / 100 for p in PERCENTS])
+    return out.select(by, "n", F.round("mean", 3).alias("mean"), *(F.round(F.col("q")[i], 3).alias(f"p{p}") for i, p in enumerate(PERCENTS)))
+
+
+def summary(rows: DataFrame, *metrics: str) -> DataFrame:
+    """(metric, n, median, mean) of the named columns, rounded to 3; nulls do not count."""
+    out = ranks.quantiles(pooled(rows, *metrics), ["metric"], "value", [0.5])
+    return out.select("metric", "n", F.round(F.col("q")[0], 3).alias("median"), F.round("mean", 3).alias("mean"))
+
+
+def group_medians(rows: DataFrame, by: str, *metrics: str) -> DataFrame:
+    """(by, n, medians rounded to 3) of each group; n counts all rows."""
+    names = [f"m{i}" for i in range(len(metrics))]
+    sizes = rows.groupBy(F.col(by).alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.array(*(F.struct(F.lit(a).alias("metric"), F.col(m).cast("double").alias("value")) for a, m in zip(names, metrics, strict=True)))
+    long = rows.select(F.col(by).alias("group"), F.explode(pairs).alias("x")).select("group", "x.metric", "x.value")
+    found = ranks.quantiles(long, ["group", "metric"], "value", [0.5]).groupBy("group").agg(*(F.max(F.when(F.col("metric") == a, F.round(F.col("q")[0], 3))).alias(a) for a in names))
+    found = found.withColumnRenamed("group", "of")
+    out = sizes.join(found, F.col("group").eqNullSafe(F.col("of")), "left")
+    return out.select(F.col("group").alias(by), "n", *(F.col(a).alias(m) for a, m in zip(names, metrics, strict=True)))
+
+
+def language_medians(rows: DataFrame, *metrics: str, lang: str = "lang") -> DataFrame:
+    """group_medians() by language; no rows where there is but one."""
+    out = group_medians(rows, lang, *metrics)
+    return out.withColumn("languages", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).where("languages > 1").drop("languages")
+
+
+def report(rows: DataFrame, *columns: str, width: int = 28) -> DataFrame:
+    """(row, line) of lines to read: a column's name, padded, and its value; rows are
+    named by the first column, null values are -."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("k"), F.coalesce(F.col(c).cast("string"), F.lit("-")).alias("v")) for c in columns[1:]))
+    lines = rows.select(F.col(columns[0]).alias("row"), F.explode(pairs).alias("x"))
+    return lines.select("row", F.concat(F.rpad("x.k", width, " "), F.lit(" "), "x.v").alias("line"))
 
 
 def pooled(rows: DataFrame, *metrics: str) -> DataFrame:
@@ -84,12 +116,9 @@ def match_rates(counts: DataFrame) -> DataFrame:
 
 
 def strata_medians(rows: DataFrame, *metrics: str) -> DataFrame:
-    """Medians over all rows, by lang, and by band, as grouping sets; `stratum` names
-    the set."""
-    out = rows.groupingSets([[], ["lang"], ["band"]], "lang", "band")
-    out = out.agg(F.grouping("lang").alias("gl"), F.grouping("band").alias("gb"), F.count(F.lit(1)).alias("n"), *(F.round(median(m), 3).alias(m) for m in metrics))
-    name = F.when((F.col("gl") == 1) & (F.col("gb") == 1), F.lit("ALL")).when(F.col("gl") == 0, F.concat(F.lit("lang="), F.coalesce("lang", F.lit("")))).otherwise(F.concat(F.lit("band="), F.coalesce(F.col("band").cast("string"), F.lit(""))))
-    return out.select(name.alias("stratum"), "n", *metrics)
+    """Medians over all rows, by lang, and by band; `stratum` names the set."""
+    named = F.array(F.lit("ALL"), F.concat(F.lit("lang="), F.coalesce("lang", F.lit(""))), F.concat(F.lit("band="), F.coalesce(F.col("band").cast("string"), F.lit(""))))
+    return group_medians(rows.select(F.explode(named).alias("stratum"), *metrics), "stratum", *metrics)
 
 
 def with_results(sample: DataFrame, results: DataFrame, errors: DataFrame, key: str) -> DataFrame:

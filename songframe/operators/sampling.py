@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from songframe.operators import ranks
+
 
 def lot(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
@@ -16,15 +18,11 @@ def uniform(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def terciles(rows: DataFrame, value: str) -> tuple[float, float]:
-    """The values at a third and at two thirds of the sorted rows (0 if none): an
-    exact rank, found as a percentile at that place between rows, which needs no
-    sort in one task."""
-    n = rows.count()
-    if not n:
-        return 0.0, 0.0
-    at = [F.lit((k * n // 3) / (n - 1) if n > 1 else 0.0) for k in (1, 2)]
-    low, high = rows.agg(F.percentile(value, F.array(*at)).alias("p")).first().p
-    return low, high
+    """The values at ranks n // 3 and 2 n // 3 of the sorted rows (0 if none); nulls do
+    not count."""
+    n = F.col("n")
+    found = ranks.at_ranks(rows, [], value, [F.floor(n / 3), F.floor(2 * n / 3)]).first()
+    return tuple(found.at) if found and found.n else (0.0, 0.0)
 
 
 def allocation(sizes: dict, n: int) -> dict:
@@ -32,7 +30,7 @@ def allocation(sizes: dict, n: int) -> dict:
     largest allocation gives, or the stratum with most rows left takes, until the sum
     is n. A few strata on the driver."""
     total = sum(sizes.values())
-    keys = sorted(sizes)
+    keys = sorted(sizes, key=lambda k: [(x is None, x) for x in (k if isinstance(k, tuple) else (k,))])
     out = {k: max(1, round(n * sizes[k] / total)) for k in keys}
     while sum(out.values()) > n:
         out[max(keys, key=out.__getitem__)] -= 1
@@ -48,11 +46,19 @@ def with_band(rows: DataFrame, value: str) -> DataFrame:
 
 
 def stratified(rows: DataFrame, key: str, group: str, value: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows over group and band in proportion to their rows."""
-    banded = with_band(rows, value)
+    """n rows over group (null is one) and band in proportion to their rows.
+
+    The lot of the last row that a stratum gives is found by rank; only rows with a lot
+    up to it are sorted, which are as many as are asked for, and repeated keys."""
+    banded = with_band(rows, value).withColumns({"lot of the row": lot(key, seed), "stratum": F.struct(F.col(group).alias("g"), F.col("band").alias("b"))})
     sizes = {(r[group], r["band"]): r["count"] for r in banded.groupBy(group, "band").count().collect()}
     if not sizes:
-        return banded
-    plan = rows.sparkSession.createDataFrame([(g, b, k) for (g, b), k in allocation(sizes, n).items()], f"`{group}` string, band int, share int")
-    rank = F.row_number().over(Window.partitionBy(group, "band").orderBy(lot(key, seed), key))
-    return banded.withColumn("rank", rank).join(F.broadcast(plan), [group, "band"]).where("rank <= share").drop("rank", "share")
+        return banded.drop("lot of the row", "stratum")
+    shares = sorted({min(k, sizes[s]) for s, k in allocation(sizes, n).items()} | {1})
+    plan = rows.sparkSession.createDataFrame([(g, b, min(k, sizes[g, b])) for (g, b), k in allocation(sizes, n).items()], "`plan group` string, `plan band` int, share int")
+    found = ranks.at_ranks(banded, [group, "band"], "lot of the row", [F.lit(k - 1) for k in shares])
+    last = found.select(F.col(group).cast("string").alias("of group"), F.col("band").alias("of band"), F.map_from_arrays(F.array(*map(F.lit, shares)), F.col("at")).alias("lots"))
+    plan = plan.join(last, F.col("plan group").eqNullSafe(F.col("of group")) & (F.col("plan band") == F.col("of band"))).select("plan group", "plan band", "share", F.try_element_at("lots", F.col("share")).alias("last lot"))
+    near = banded.join(F.broadcast(plan), F.col(group).cast("string").eqNullSafe(F.col("plan group")) & (F.col("band") == F.col("plan band"))).where(F.col("lot of the row") <= F.col("last lot"))
+    rank = F.row_number().over(Window.partitionBy("stratum").orderBy("lot of the row", key))
+    return near.withColumn("rank in stratum", rank).where(F.col("rank in stratum") <= F.col("share")).select(*rows.columns, "band")

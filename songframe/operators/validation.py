@@ -6,13 +6,11 @@ was in order."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songframe.functions.text import stripped
 
-PROBLEM = "chart_id long, track int, line_no int, rule string"
 LEAST_BPM = 1.0
 
 
@@ -30,31 +28,33 @@ def header_problems(charts: DataFrame) -> DataFrame:
 
 
 def note_problems(charts: DataFrame, notes: DataFrame) -> DataFrame:
-    """notes: chart_id, track, line_no, note_index, start_beat, duration, kind."""
+    """notes: chart_id, track, line_no, note_index, start_beat, duration, kind.
+
+    A fold over a track's notes in order, in the row of the track: the last beat that was
+    in order, the line that already has its problem, and the problems."""
     none = F.lit(None).cast("int")
-    empty = charts.join(notes, "chart_id", "left_anti").select("chart_id", none.alias("track"), none.alias("line_no"), F.lit("no notes").alias("rule"))
-    free = notes.groupBy("chart_id").agg(F.bool_and(F.col("kind") == "freestyle").alias("all")).where("all")
-    free = free.select("chart_id", none.alias("track"), none.alias("line_no"), F.lit("all freestyle").alias("rule"))
-
-    def fold(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["line_no", "note_index"])
-        last, bad, out = -1, None, []
-        for line, beat, length in zip(x["line_no"], x["start_beat"], x["duration"], strict=True):
-            if line == bad:
-                continue
-            if beat < last:
-                out.append((line, "beat order"))
-                bad = line
-                continue
-            last = beat
-            if length < 1:
-                out.append((line, "duration"))
-                bad = line
-        own = pd.DataFrame(out, columns=["line_no", "rule"])
-        return own.assign(chart_id=x["chart_id"].iloc[0], track=x["track"].iloc[0])[["chart_id", "track", "line_no", "rule"]]
-
-    slim = notes.select("chart_id", "track", "line_no", "note_index", "start_beat", "duration")
-    return empty.unionByName(free).unionByName(slim.groupBy("chart_id", "track").applyInPandas(fold, PROBLEM))
+    found = "array<struct<track:int,line_no:int,rule:string>>"
+    start = F.struct(F.lit(-1).alias("last"), none.alias("bad"), F.array().cast(found).alias("found"))
+
+    def step(state: Column, x: Column) -> Column:
+        skip = state["bad"].eqNullSafe(x["line_no"])
+        late = F.coalesce(x["start_beat"] < state["last"], F.lit(False))
+        short = F.coalesce(x["duration"] < 1, F.lit(False))
+        wrong = F.when(late, F.lit("beat order")).when(short, F.lit("duration"))
+        last = F.when(skip | late, state["last"]).otherwise(F.coalesce(x["start_beat"], state["last"]))
+        problem = F.array(F.struct(F.col("track").cast("int").alias("track"), x["line_no"].cast("int").alias("line_no"), wrong.alias("rule")))
+        new = ~skip & wrong.isNotNull()
+        return F.struct(last.alias("last"), F.when(new, x["line_no"].cast("int")).otherwise(state["bad"]).alias("bad"), F.when(new, F.concat(state["found"], problem)).otherwise(state["found"]).alias("found"))
+
+    row = F.struct(*(F.col(c).cast("int").alias(c) for c in ("line_no", "note_index", "start_beat", "duration")))
+    tracks = notes.groupBy("chart_id", "track").agg(F.array_sort(F.collect_list(row)).alias("notes"), F.bool_and(F.col("kind") == "freestyle").alias("free"))
+    tracks = tracks.select("chart_id", "free", F.aggregate("notes", start, step)["found"].alias("found"))
+    whole = tracks.groupBy("chart_id").agg(F.bool_and("free").alias("free"), F.flatten(F.collect_list("found")).alias("found"))
+    rows = charts.select("chart_id").join(whole.withColumnRenamed("chart_id", "of"), F.col("chart_id") == F.col("of"), "full")
+    on_chart = lambda rule: F.array(F.struct(none.alias("track"), none.alias("line_no"), F.lit(rule).alias("rule"))).cast(found)
+    more = F.when(F.col("of").isNull(), on_chart("no notes")).when(F.col("free"), on_chart("all freestyle")).otherwise(F.array().cast(found))
+    rows = rows.select(F.coalesce("chart_id", "of").alias("chart_id"), F.explode(F.concat(more, F.coalesce("found", F.array().cast(found)))).alias("x"))
+    return rows.select("chart_id", "x.track", "x.line_no", "x.rule")
 
 
 def problems(charts: DataFrame, notes: DataFrame) -> DataFrame:

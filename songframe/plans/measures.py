@@ -147,13 +147,13 @@ def strata_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add("SELECT lang, count(*) AS n, median(n_chars) AS n_chars FROM documents GROUP BY lang")
 def language_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.read(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), M.median("n_chars").alias("n_chars"))
+    return M.language_medians(T.read(spark, sf_dir, "documents").select("lang", "n_chars"), "n_chars")
 
 
 @Q.add("SELECT metric, count(value) AS n, round(median(value), 3) AS median, round(avg(value), 3) AS mean FROM (SELECT unnest(['quantity', 'price', 'discount']) AS metric, unnest([l_quantity, l_extendedprice, l_discount]) AS value FROM lineitem) GROUP BY metric")
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.read(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"))
-    return M.pooled(rows, "quantity", "price", "discount").groupBy("metric").agg(F.count("value").alias("n"), F.round(M.median("value"), 3).alias("median"), F.round(F.avg("value"), 3).alias("mean"))
+    return M.summary(rows, "quantity", "price", "discount")
 
 
 @Q.add("SELECT l_orderkey AS chart_id, round(sum(l_discount * l_quantity) / CASE WHEN sum(l_quantity) = 0 THEN 1 ELSE sum(l_quantity) END, 10) AS score, round(avg(l_discount) FILTER (l_discount > 0), 6) AS mean_score, round(avg((l_discount > 0)::INT), 6) AS aligned FROM lineitem GROUP BY l_orderkey")

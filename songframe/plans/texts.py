@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from songframe.functions import arrow, text
 from songframe.operators import lyrics, metrics
-from songframe.operators.sequences import bracketed
 from songframe.plans import tables as T
 from songframe.plans.book import Book
 from songframe.sources import library
@@ -28,7 +27,7 @@ TOKENS = DEPTH + ", tokens AS (SELECT *, " + KEY.format(x="text") + " AS key FRO
 
 @Q.add("WITH " + DEPTH + "SELECT chart_id, line_index, word_index, depth::BIGINT AS depth, adlib FROM b")
 def bracket_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bracketed(lyrics.raw_words(T.lines(spark, sf_dir))).select("chart_id", "line_index", "word_index", "depth", "adlib")
+    return lyrics.bracketed_words(T.lines(spark, sf_dir)).select("chart_id", "line_index", "word_index", "depth", "adlib")
 
 
 @Q.add("WITH " + TOKENS + "SELECT chart_id, line_index, word_index, text, key, new_line, adlib FROM tokens")

@@ -1,12 +1,13 @@
 """Chart files: text to notes and headers, and back.
 
-A file is one row (chart_id, text). Parsing is plain columns and one window over a
-file's lines; malformed note lines drop out, the last of repeated headers counts.
+A file is one row (chart_id, text) and is taken apart within its row: up to its end
+mark, at the first note, at track and line marks; nothing is shuffled. Malformed
+note lines drop out, the last of repeated headers counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from songframe.functions.arrow import decoded
@@ -14,6 +15,8 @@ from songframe.functions.text import number_of, number_text, stripped
 
 #: The sign of each kind of note.
 KINDS = {":": "normal", "*": "golden", "F": "freestyle", "R": "rap", "G": "rapgolden"}
+#: Where a line of a file ends.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 NOTE = r"^.\s+(-?\d+)\s+(\d+)\s+(-?\d+)\s?(.*)$"
 #: Header tags in the order in which they are written, and their columns.
 HEADER_TAGS = (
@@ -31,27 +34,24 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.where(~name.rlike("license|readme")).select("path", decoded("content").alias("text"))
 
 
-def _body(files: DataFrame) -> DataFrame:
-    """The lines of each file up to its end mark, with their place and first sign."""
-    whole = Window.partitionBy("chart_id")
-    rows = files.select("chart_id", F.posexplode(F.split("text", "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]")).alias("at", "line"))
-    rows = rows.where(stripped(F.col("line")) != "").withColumn("sign", F.substring("line", 1, 1))
-    rows = rows.withColumn("stop", F.min(F.when(F.col("sign") == "E", F.col("at"))).over(whole)).where("stop IS NULL OR at < stop")
-    begins = F.min(F.when(F.col("sign").isin(*KINDS, "-", "P", "p"), F.col("at"))).over(whole)
-    return rows.withColumn("header", (F.col("sign") == "#") & F.coalesce(F.col("at") < begins, F.lit(True))).drop("stop")
+def _split(files: DataFrame) -> DataFrame:
+    """(chart_id, head, body): what comes before and from the first note, line or track
+    mark, up to the end mark; a line end stands before each line."""
+    whole = F.concat(F.lit("\n"), F.regexp_replace("text", LINE_END, "\n"))
+    halves = F.split(F.get(F.split(whole, "\nE", 2), F.lit(0)), r"(?=\n[:*FRG\-Pp])", 2)
+    rows = files.select("chart_id", halves.alias("halves"))
+    return rows.select("chart_id", F.get("halves", F.lit(0)).alias("head"), F.get("halves", F.lit(1)).alias("body"))
 
 
 def headers(files: DataFrame) -> DataFrame:
     """One row a file: title, artist, bpm, gap_ms, audio and more; bpm is 0 without one,
     unreadable numbers are null."""
-    rows = _body(files).where(F.col("header") & (F.instr("line", ":") > 0))
-    tag = F.upper(stripped(F.regexp_extract("line", "^#([^:]*):", 1)))
-    rows = rows.select("chart_id", "at", tag.alias("tag"), stripped(F.regexp_extract("line", r"^#[^:]*:([\s\S]*)$", 1)).alias("value"))
-    last = rows.groupBy("chart_id", "tag").agg(F.max_by("value", "at").alias("value"))
-    maps = last.groupBy("chart_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "value"))).alias("m"))
-    of = lambda t: F.try_element_at("m", F.lit(t))
+    lines = F.filter(F.split("head", "\n"), lambda x: x.rlike("^#[^:]*:"))
+    entry = lambda x: F.struct(F.upper(stripped(F.regexp_extract(x, "^#([^:]*):", 1))).alias("tag"), stripped(F.regexp_extract(x, r"^#[^:]*:([\s\S]*)$", 1)).alias("value"))
+    rows = _split(files).select("chart_id", F.coalesce(F.transform(lines, entry), F.array().cast("array<struct<tag:string,value:string>>")).alias("entries"))
+    of = lambda t: F.try_element_at(F.filter("entries", lambda x: x["tag"] == t), F.lit(-1))["value"]
     full = lambda t: F.nullif(of(t), F.lit(""))
-    return files.select("chart_id").join(maps, "chart_id", "left").select(
+    return rows.select(
         "chart_id",
         F.coalesce(of("TITLE"), F.lit("")).alias("title"), F.coalesce(of("ARTIST"), F.lit("")).alias("artist"),
         F.when(of("BPM").isNull(), 0.0).otherwise(number_of(of("BPM"))).alias("bpm"), number_of(F.coalesce(of("GAP"), F.lit("0"))).alias("gap_ms"),
@@ -63,25 +63,29 @@ def headers(files: DataFrame) -> DataFrame:
 def notes(files: DataFrame, keep_tracks: bool = False) -> DataFrame:
     """chart_id, track, line_no, note_index, break_beat, start_beat, duration, pitch,
     text, kind. Without keep_tracks duets are one track, and a track's first line
-    joins the line before it; with it, notes before the first track of a duet go."""
-    rows = _body(files).where(~F.col("header"))
-    upto = Window.partitionBy("chart_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    marks = F.sum(F.col("sign").isin("P", "p").cast("int")).over(upto) if keep_tracks else F.lit(0)
-    rows = rows.withColumn("mark", marks)
-    own = Window.partitionBy("chart_id", "mark").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    note = F.col("sign").isin(*KINDS) & F.col("line").rlike(NOTE)
-    rows = rows.withColumns({"breaks": F.sum((F.col("sign") == "-").cast("int")).over(own), "note": note})
-    early = F.coalesce(F.max(F.when(F.col("note"), F.col("breaks") == 0)).over(Window.partitionBy("chart_id", "mark")), F.lit(True))
-    breaks = F.last(F.when(F.col("sign") == "-", F.struct(F.regexp_extract("line", r"^\S+\s+(-?\d+)", 1).try_cast("int").alias("beat"))), True).over(own)
+    joins the line before it; with it, notes before the first track of a duet go.
+
+    A track mark starts a piece of the body, a line mark a group of the piece; notes before
+    the first line mark, if there are any, are line 0."""
+    sung = lambda g: F.filter(F.split(g, "\n"), lambda x: F.substring(x, 1, 1).isin(*KINDS) & x.rlike(NOTE))
+    pieces = F.split("body", r"(?=\n[Pp])") if keep_tracks else F.array("body")
+    rows = _split(files).where(F.col("body").isNotNull()).select("chart_id", F.posexplode(F.filter(pieces, lambda p: p != "")).alias("piece", "p"), F.col("body").rlike(r"^\n[Pp]").cast("int").alias("marked"), F.size(F.filter(pieces, lambda p: p != "")).alias("pieces"))
+    if keep_tracks:
+        mark = F.col("piece") + F.col("marked")
+        rows = rows.withColumn("mark", mark).where("mark > 0 OR pieces + marked = 1")
+    else:
+        rows = rows.withColumn("mark", F.lit(0))
+    rows = rows.select("chart_id", F.greatest(F.lit(0), F.col("mark") - 1).cast("int").alias("track"), F.filter(F.split("p", r"(?=\n-)"), lambda g: g != "").alias("groups"))
+    first = F.get("groups", F.lit(0))
+    opens = F.startswith(first, F.lit("\n-"))  # the first group has a mark too
+    rows = rows.withColumns({"opens": opens.cast("int"), "early": ~opens & (F.size(sung(first)) > 0)})
+    rows = rows.select("chart_id", "track", "early", "opens", F.posexplode("groups").alias("group", "g"))
+    breaks = F.col("group") + F.col("opens")
+    beat = F.when(breaks > 0, F.regexp_extract("g", r"^\n-\S*\s+(-?\d+)", 1).try_cast("int"))
+    rows = rows.select("chart_id", "track", (breaks - F.when(F.col("early"), 0).otherwise(1)).cast("int").alias("line_no"), beat.alias("break_beat"), F.posexplode(sung(F.col("g"))).alias("note_index", "line"))
     part = lambda i: F.regexp_extract("line", NOTE, i)
-    rows = rows.withColumns({"line_no": F.col("breaks") - F.when(early, 0).otherwise(1), "break": breaks, "marks": F.max("mark").over(Window.partitionBy("chart_id"))})
-    rows = rows.where("note AND (mark > 0 OR marks = 0)").select(
-        "chart_id", F.greatest(F.lit(0), F.col("mark") - 1).cast("int").alias("track"), F.col("line_no").cast("int").alias("line_no"), "at", F.col("break.beat").alias("break_beat"),
-        part(1).try_cast("int").alias("start_beat"), part(2).try_cast("int").alias("duration"), part(3).try_cast("int").alias("pitch"), part(4).alias("text"),
-        F.element_at(F.create_map(*(F.lit(v) for p in KINDS.items() for v in p)), F.col("sign")).alias("kind"),
-    )
-    index = F.row_number().over(Window.partitionBy("chart_id", "track", "line_no").orderBy("at")) - 1
-    return rows.withColumn("note_index", index).drop("at")
+    kind = F.element_at(F.create_map(*(F.lit(v) for p in KINDS.items() for v in p)), F.substring("line", 1, 1))
+    return rows.select("chart_id", "track", "line_no", "note_index", "break_beat", part(1).try_cast("int").alias("start_beat"), part(2).try_cast("int").alias("duration"), part(3).try_cast("int").alias("pitch"), part(4).alias("text"), kind.alias("kind"))
 
 
 def _header_lines(columns: list[str], duet: Column) -> Column:
