@@ -48,6 +48,16 @@ def prepared(words: DataFrame, frames: DataFrame, drop_adlibs: bool = False) ->
     return rest.unionByName(fresh)
 
 
+def left_empty(words: DataFrame, drop_adlibs: bool = False) -> DataFrame:
+    """(chart_id, error) of charts that no word is left of: all are blank, or asides
+    that are to be dropped. Such charts have no notes and are reported here."""
+    stays = stripped(F.coalesce("text", F.lit(""))) != ""
+    if drop_adlibs:
+        stays &= ~F.coalesce("adlib", F.lit(False))
+    out = words.groupBy("chart_id").agg(F.bool_or(stays).alias("some"))
+    return out.where("NOT some").select("chart_id", F.lit("no words left").alias("error"))
+
+
 def syllable_rows(words: DataFrame) -> DataFrame:
     """A row for each syllable: part_index, part, part_start, part_end and sid, its place
     in the chart; cut at the letters' times if known, else in proportion."""

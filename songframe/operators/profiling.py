@@ -49,7 +49,19 @@ def samples(charts: DataFrame, notes: DataFrame) -> DataFrame:
     return out
 
 
+def first_skipped(files: DataFrame, n: int = 20) -> DataFrame:
+    """The first n (by chart_id) of the files that usable() leaves out: a report's list."""
+    return usable(files)[1].orderBy("chart_id").limit(n)
+
+
 def profile(files: DataFrame) -> DataFrame:
     """The distribution of every measure over the usable files."""
     good, _ = usable(files)
     return metrics.distribution(samples(chart_text.headers(good), chart_text.notes(good)))
+
+
+def as_json(profile: DataFrame) -> DataFrame:
+    """One row `value`: a JSON object of the distributions by metric; a few rows in all."""
+    fields = F.struct(*(c for c in profile.columns if c != "metric"))
+    entries = F.array_sort(F.collect_list(F.struct("metric", fields.alias("of"))))
+    return profile.agg(F.to_json(F.map_from_entries(entries)).alias("value"))

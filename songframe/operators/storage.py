@@ -21,10 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, below one of the application's own."""
+    return f"{shared_folder(spark)}/songframe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, below one of the application's own."""
+    """df as a table at a new_place()."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/songframe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_place(spark, name)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from songframe.operators import assembly, evaluation, recurrences, validation
+from songframe.operators import assembly, evaluation, manifest, profiling, recurrences, validation
 from songframe.operators import sequences as S
-from songframe.operators.storage import kept
+from songframe.operators.storage import kept, new_place
 from songframe.plans import tables as T
 from songframe.plans.book import Book
+from songframe.plans.joins import PAIRINGS
+from songframe.plans.measures import MATCHED
 from songframe.plans.sequences import LINED, in_beats, lined
 from songframe.sources import chart_text, library
 
@@ -67,19 +69,28 @@ def chart_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @Q.add(
-    "WITH " + CHART + """,
+    "WITH RECURSIVE " + CHART.replace("e AS (", "e AS MATERIALIZED (", 1) + """,
 h AS (SELECT DISTINCT chart_id FROM chart_notes),
-o AS (SELECT chart_id, track, line_no, note_index, start_beat, duration FROM chart_notes),
-f AS (SELECT *, row_number() OVER (PARTITION BY chart_id, track, line_no ORDER BY note_index) AS k FROM o WHERE duration < 1)
+n AS MATERIALIZED (SELECT chart_id, track, line_no, note_index, duration, kind, start_beat - CASE WHEN start_beat % 4 = 1 THEN 60 ELSE 0 END AS beat, row_number() OVER (PARTITION BY chart_id, track ORDER BY line_no, note_index) AS k FROM chart_notes WHERE chart_id % 11 <> 0),
+r AS (SELECT chart_id, track, k, CASE WHEN beat < -1 THEN -1 ELSE beat END AS last, CASE WHEN beat < -1 OR duration < 1 THEN line_no END AS bad, line_no, CASE WHEN beat < -1 THEN 'beat order' WHEN duration < 1 THEN 'duration' END AS rule FROM n WHERE k = 1
+      UNION ALL
+      SELECT chart_id, track, k, CASE WHEN skip OR beat < last THEN last ELSE beat END, CASE WHEN NOT skip AND (beat < last OR duration < 1) THEN line_no ELSE bad END, line_no, CASE WHEN skip THEN NULL WHEN beat < last THEN 'beat order' WHEN duration < 1 THEN 'duration' END
+      FROM (SELECT n.*, r.last, r.bad, n.line_no IS NOT DISTINCT FROM r.bad AS skip FROM n JOIN r ON n.chart_id = r.chart_id AND n.track = r.track AND n.k = r.k + 1))
 SELECT chart_id, NULL::INT AS track, NULL::INT AS line_no, 'artist' AS rule FROM h WHERE chart_id % 4 = 0
+UNION ALL SELECT chart_id, NULL, NULL, 'title' FROM h WHERE chart_id % 7 = 0
 UNION ALL SELECT chart_id, NULL, NULL, 'audio' FROM h WHERE chart_id % 6 = 0
 UNION ALL SELECT chart_id, NULL, NULL, 'bpm' FROM h WHERE chart_id % 5 = 0
-UNION ALL SELECT chart_id, NULL, NULL, 'all freestyle' FROM chart_notes GROUP BY chart_id HAVING bool_and(kind = 'freestyle')
-UNION ALL SELECT chart_id, track, line_no::INT, 'duration' FROM f WHERE k = 1"""
+UNION ALL SELECT chart_id, NULL, NULL, 'no notes' FROM h WHERE chart_id % 11 = 0
+UNION ALL SELECT chart_id, NULL, NULL, 'all freestyle' FROM n GROUP BY chart_id HAVING bool_and(kind = 'freestyle')
+UNION ALL SELECT chart_id, track, line_no::INT, rule FROM r WHERE rule IS NOT NULL"""
 )
 def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beats of events are in order, so only durations break rules on notes."""
-    return validation.problems(*charts_of(spark, sf_dir))
+    """Every seventh chart has a blank title, every eleventh no notes, and notes on certain
+    beats come early."""
+    charts, notes = charts_of(spark, sf_dir)
+    charts = charts.withColumn("title", F.when(F.col("chart_id") % 7 == 0, "\t ").otherwise(F.col("title")))
+    early = F.when(F.col("start_beat") % 4 == 1, 60).otherwise(0)
+    return validation.problems(charts, notes.where("chart_id % 11 <> 0").withColumn("start_beat", F.col("start_beat") - early))
 
 
 WORDS = CHART + """,
@@ -141,6 +152,34 @@ def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.scores(_flat(gen), _flat(ref))
 
 
+@Q.add(
+    "WITH RECURSIVE " + MATCHED + """,
+p AS (SELECT pairs.chart_id, error, round_even(coalesce(g.midi, 60), 0) AS g, round_even(coalesce(r.midi, 60), 0) AS r FROM pairs JOIN gen g ON g.chart_id = pairs.chart_id AND g.pos = gen_pos JOIN ref r ON r.chart_id = pairs.chart_id AND r.pos = ref_pos),
+q AS (SELECT *, g - median(g) OVER (PARTITION BY chart_id) AS gm, r - median(r) OVER (PARTITION BY chart_id) AS rm FROM p),
+m AS (SELECT chart_id, count(*) AS matched, round(median(abs(error)) * 1000, 1) AS med, round(avg(abs(error)) * 1000, 1) AS mean, round(coalesce(covar_pop(gm, rm) / nullif(stddev_pop(gm) * stddev_pop(rm), 0), 0), 3) AS corr, round(avg((abs(gm - rm) <= 2)::INT), 3) AS within FROM q GROUP BY chart_id),
+a AS (SELECT chart_id, count(*) AS n, round(arg_max(end_s, pos) - arg_min(start_s, pos), 1) AS span FROM gen GROUP BY chart_id),
+b AS (SELECT chart_id, count(*) AS n, round(arg_max(end_s, pos) - arg_min(start_s, pos), 1) AS span FROM ref GROUP BY chart_id)
+SELECT coalesce(a.chart_id, b.chart_id) AS chart_id, coalesce(a.n, 0) AS gen_notes, coalesce(b.n, 0) AS ref_notes, CASE WHEN coalesce(b.n, 0) = 0 THEN 0 ELSE round(coalesce(a.n, 0) / b.n, 3) END AS note_count_ratio, coalesce(matched, 0) AS matched,
+       CASE WHEN coalesce(b.n, 0) = 0 THEN 0 ELSE round(coalesce(matched, 0) / b.n, 3) END AS match_rate_vs_ref, med AS onset_err_ms_median, mean AS onset_err_ms_mean, coalesce(corr, 0) + 0 AS pitch_contour_corr, coalesce(within, 0) AS pitch_within_2st_rate, coalesce(a.span, 0) AS gen_span_s, coalesce(b.span, 0) AS ref_span_s
+FROM a FULL JOIN b ON a.chart_id = b.chart_id LEFT JOIN m ON m.chart_id = coalesce(a.chart_id, b.chart_id)"""
+)
+def evaluate_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """evaluate without the similarity of lyrics."""
+    return evaluate(spark, sf_dir).drop("lyric_similarity")
+
+
+@Q.add(
+    "WITH RECURSIVE " + PAIRINGS + """,
+d AS (SELECT chart_id, count(*) FILTER (event_type IN ('view', 'click')) > 0 AS lead FROM notes GROUP BY chart_id HAVING count(*) FILTER (event_type = 'signup') > 0 AND count(*) FILTER (event_type = 'purchase') > 0),
+o AS (SELECT d.chart_id, x.pairing, coalesce(p.matched, 0) AS p1_matched, coalesce(q.matched, 0) AS p2_matched FROM d, (VALUES ('direct'), ('swap')) AS x(pairing)
+      LEFT JOIN hits p ON p.chart_id = d.chart_id AND p.pairing = x.pairing AND p.r = 'click' LEFT JOIN hits q ON q.chart_id = d.chart_id AND q.pairing = x.pairing AND q.r = 'purchase' WHERE x.pairing = 'swap' OR lead)
+SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY chart_id ORDER BY p1_matched + p2_matched DESC, pairing) = 1"""
+)
+def duet_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """evaluate_duet without what rests on lyrics."""
+    return evaluate_duet(spark, sf_dir).select("chart_id", "pairing", "p1_matched", "p2_matched")
+
+
 @Q.add()
 def evaluate_duet(spark: SparkSession, sf_dir: str) -> DataFrame:
     gen, ref = T.sides(T.notes(spark, sf_dir))
@@ -155,17 +194,32 @@ def flatten_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chart_id", "pos", "track", F.round("start_s", 6).alias("start_s"), F.col("kind").isin("normal", "golden").alias("gold"))
 
 
-@Q.add("SELECT d.doc_id AS stem, d.n_chars AS n_gold_words, l.quality::DOUBLE AS w_recall, l.toxic::DOUBLE AS fa_score, l.quality = 1 AS fa_ok FROM documents d LEFT JOIN labels l USING (doc_id)")
+#: Measures of a replay record and what stands for them: n for n_chars, q and t for labels.
+FLAT = {
+    "w_recall": "q", "w_onset_med_ms": "n", "w_onset_mae_ms": "n + 1", "w_onset_p90_ms": "n + 2", "w_bias_ms": "n + 3", "fa_score": "t", "fa_aligned_frac": "n + 4", "fa_recall": "n + 5",
+    "fa_onset_med_ms": "n + 6", "fa_onset_mae_ms": "n + 7", "fa_onset_p90_ms": "n + 8", "fa_bias_ms": "n + 9", "syll_prop_med_ms": "n + 10", "syll_fa_med_ms": "n + 11", "pitch_coverage": "n + 12", "pitch_within_2st": "n + 13",
+    "pitch_corr": "n + 14", "bpm_est": "n + 15", "bpm_mult": "n + 16", "bpm_dev": "n + 17",
+}
+
+
+@Q.add(
+    "WITH d AS (SELECT d.doc_id AS stem, d.n_chars AS n, l.quality::DOUBLE AS q, l.toxic::DOUBLE AS t, l.doc_id IS NOT NULL AS known FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT stem, n AS n_gold_words, CASE WHEN known THEN q = 1 END AS fa_ok, CASE WHEN known THEN n * 2 END AS syll_n_words, "
+    + ", ".join(f"CASE WHEN known THEN ({x})::DOUBLE END AS {c}" for c, x in FLAT.items()) + " FROM d"
+)
 def flat_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested replay records with labels for measures; most parts are null."""
-    rows = T.read(spark, sf_dir, "documents").join(T.read(spark, sf_dir, "labels"), "doc_id", "left")
-    stats = "struct<median_ms:double,mae_ms:double,p90_ms:double,bias_ms:double>"
-    empty = {"syll": "struct<n_words:bigint,prop_median_ms:double,fa_median_ms:double>", "pitch": "struct<coverage:double,within_2st:double,contour_corr:double>", "bpm": "struct<est:double,mult:double,dev:double>"}
-    none = F.lit(None).cast(stats)
-    whisper = F.struct(F.col("quality").cast("double").alias("recall"), none.alias("onset"))
-    fa = F.struct((F.col("quality") == 1).alias("ok"), F.col("toxic").cast("double").alias("score"), F.lit(None).cast("double").alias("aligned_frac"), F.lit(None).cast("double").alias("recall"), none.alias("onset"))
-    rows = rows.select(F.col("doc_id").alias("stem"), F.col("n_chars").alias("n_gold_words"), whisper.alias("whisper"), fa.alias("fa"), *(F.lit(None).cast(k).alias(c) for c, k in empty.items()))
-    return library.flat_metrics(rows).select("stem", "n_gold_words", "w_recall", "fa_score", "fa_ok")
+    """Nested replay records; those of documents without labels lack all measures."""
+    rows = T.read(spark, sf_dir, "documents").join(T.read(spark, sf_dir, "labels").withColumn("known", F.lit(True)), "doc_id", "left")
+    rows = rows.select(F.col("doc_id").alias("stem"), F.col("n_chars").alias("n"), F.col("quality").alias("q"), F.col("toxic").alias("t"), "known")
+    of = lambda column, name: F.expr(f"cast({FLAT[column]} as double)").alias(name)
+    onset = lambda p: F.struct(of(f"{p}_onset_med_ms", "median_ms"), of(f"{p}_onset_mae_ms", "mae_ms"), of(f"{p}_onset_p90_ms", "p90_ms"), of(f"{p}_bias_ms", "bias_ms")).alias("onset")
+    parts = {
+        "whisper": F.struct(of("w_recall", "recall"), onset("w")),
+        "fa": F.struct((F.col("q") == 1).alias("ok"), of("fa_score", "score"), of("fa_aligned_frac", "aligned_frac"), of("fa_recall", "recall"), onset("fa")),
+        "syll": F.struct((F.col("n") * 2).alias("n_words"), of("syll_prop_med_ms", "prop_median_ms"), of("syll_fa_med_ms", "fa_median_ms")),
+        "pitch": F.struct(of("pitch_coverage", "coverage"), of("pitch_within_2st", "within_2st"), of("pitch_corr", "contour_corr")),
+        "bpm": F.struct(of("bpm_est", "est"), of("bpm_mult", "mult"), of("bpm_dev", "dev")),
+    }
+    return library.flat_metrics(rows.select("stem", F.col("n").alias("n_gold_words"), *(F.when(F.col("known"), x).alias(c) for c, x in parts.items())))
 
 
 @Q.add(
@@ -182,3 +236,60 @@ def pitch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.notes(spark, sf_dir)
     spans = T.segments(rows).select("chart_id", F.col("seg").alias("pos"), F.col("s").alias("start_s"), (F.col("e") + 2).alias("end_s"), (60 + F.col("seg") % 12).alias("pitch"))
     return evaluation.pitch_scores(spans, rows.select("chart_id", F.col("start_s").alias("t"), "f0", "conf"))
+
+
+@Q.add(
+    "WITH " + WORDS + """,
+x AS (SELECT chart_id, line_no, word_no, min(start_beat) AS a, max(start_beat + duration) AS b FROM v WHERE track = 0 GROUP BY ALL),
+y AS (SELECT chart_id, count(*) AS n_words, (arg_max(b, line_no * 1000000 + word_no) - arg_min(a, line_no * 1000000 + word_no)) * 0.0625::DOUBLE AS span FROM x GROUP BY chart_id)
+SELECT chart_id, CASE WHEN chart_id % 3 = 0 THEN 'es' WHEN chart_id % 3 = 1 THEN 'en' ELSE 'other' END AS lang_group, n_words, round(span, 6) AS span_s, round(n_words / (span / 60), 6) AS wpm FROM y WHERE n_words >= 20 AND span >= 40 AND chart_id % 9 <> 0 AND chart_id % 13 <> 0"""
+)
+def replay_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts with 20 words and 40 seconds or more, as events have few; every ninth is marked
+    relative, every thirteenth has no tempo."""
+    charts, notes = charts_of(spark, sf_dir)
+    language = F.when(F.col("chart_id") % 3 == 0, "Spanish").when(F.col("chart_id") % 3 == 1, "English").otherwise("German")
+    charts = charts.withColumns({"language": language, "bpm": F.when(F.col("chart_id") % 13 == 0, 0.0).otherwise(240.0)})
+    files = chart_text.rendered(charts, notes)
+    files = files.withColumn("text", F.concat(F.when(F.col("chart_id") % 9 == 0, F.lit("#relative : Yes\n")).otherwise(""), "text"))
+    beats = notes.where("track = 0").select("chart_id", "line_no", "note_index", "text", (F.col("start_beat") * 0.0625).alias("start_s"), ((F.col("start_beat") + F.col("duration")) * 0.0625).alias("end_s"))
+    out = manifest.manifest(files, S.word_table(S.song_words(beats)), fewest=20, least=40.0)
+    return out.withColumns({"span_s": F.round("span_s", 6), "wpm": F.round("wpm", 6)})
+
+
+@Q.add("WITH " + CHART + "SELECT chart_id::BIGINT AS chart_id, track, line_no::INT AS line_no, note_index::INT AS note_index, break_beat, start_beat, duration, pitch, text, kind FROM chart_notes WHERE duration >= 0")
+def chart_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts written to files of their own, found in their folders and read again."""
+    path = new_place(spark, "chart-files")
+    chart_text.write_charts(chart_text.rendered(*charts_of(spark, sf_dir)), path)
+    files = chart_text.read_files(spark, path).select(F.regexp_extract("path", r"chart_id=(\d+)", 1).cast("long").alias("chart_id"), "text")
+    return chart_text.notes(files, keep_tracks=True).where("duration >= 0")
+
+
+@Q.add("SELECT doc_id, quality, toxic, CASE WHEN quality IS NOT NULL THEN quality + toxic END AS both, l.doc_id IS NULL AS pending FROM documents d LEFT JOIN labels l USING (doc_id)")
+def metric_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics written as JSON and as CSV, read again from both, and joined with the sample."""
+    labels, path = T.read(spark, sf_dir, "labels"), new_place(spark, "metric-files")
+    library.write_json(labels.select("doc_id", "quality", F.struct("toxic").alias("more")), f"{path}/json")
+    library.write_csv(labels, f"{path}/csv", "doc_id", "quality", "toxic")
+    back = library.read_json(spark, f"{path}/json", "doc_id long, quality int, more struct<toxic:int>, absent double")
+    lines = spark.read.option("header", "true").schema("doc_id long, quality int, toxic int").csv(f"{path}/csv").select("doc_id", (F.col("quality") + F.col("toxic")).alias("both"))
+    rows = back.select("doc_id", "quality", "more.toxic").join(lines, "doc_id").withColumn("done", F.lit(True))
+    return T.read(spark, sf_dir, "documents").select("doc_id").join(rows, "doc_id", "left").select("doc_id", "quality", "toxic", "both", F.col("done").isNull().alias("pending"))
+
+
+@Q.add("WITH " + T.NOTES + "SELECT chart_id, 'no words left' AS error FROM notes GROUP BY chart_id HAVING count(*) FILTER (chart_id % 3 = 0 OR event_type NOT IN ('view', 'click', 'error')) = 0 OR chart_id % 10 = 0")
+def assemble_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In two of three charts views and clicks are asides and errors blank; every tenth is blank."""
+    rows = T.notes(spark, sf_dir)
+    third, type_ = F.col("chart_id") % 3 == 0, F.col("event_type")
+    blank = (F.col("chart_id") % 10 == 0) | ~third & (type_ == "error")
+    words = rows.select("chart_id", "pos", F.when(blank, " \t").otherwise("la").alias("text"), (~third & type_.isin("view", "click")).alias("adlib"))
+    return assembly.left_empty(words, drop_adlibs=True)
+
+
+@Q.add("SELECT doc_id AS chart_id, CASE WHEN contains(upper(string_split(upper(text), 'E' || chr(10))[1]), '#RELATIVE') THEN 'relative beats' ELSE 'no lines or tempo' END AS reason FROM documents ORDER BY doc_id LIMIT 20")
+def skipped_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty documents: none is a chart. That limit is the feature of the list."""
+    docs = T.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chart_id"), "text")
+    return profiling.first_skipped(docs)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from songframe.functions import timing
 from songframe.operators import intervals as I
-from songframe.operators import metrics, recurrences
+from songframe.operators import evaluation, lyrics, metrics, recurrences
 from songframe.plans import tables as T
 from songframe.plans.book import Book
 
@@ -93,7 +93,21 @@ def singer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.singer_accuracy(same, other)
 
 
-@Q.add()
+#: Greedy matching of each pairing's tracks, by a recursive walk over reference notes.
+PAIRINGS = T.NOTES.replace("e AS (", "e AS MATERIALIZED (", 1) + """,
+c AS (SELECT * FROM (VALUES ('direct', 'view', 'click'), ('direct', 'signup', 'purchase'), ('swap', 'signup', 'click'), ('swap', 'view', 'purchase')) AS x(pairing, g, r)),
+ro AS MATERIALIZED (SELECT c.pairing, c.g, c.r, chart_id, pos, start_s, row_number() OVER (PARTITION BY c.pairing, c.r, chart_id ORDER BY start_s, pos) AS k FROM notes JOIN c ON event_type = c.r),
+near AS MATERIALIZED (SELECT ro.pairing, ro.r, ro.chart_id, ro.k, list({'d': abs(g.start_s - ro.start_s), 's': g.start_s, 'p': g.pos} ORDER BY abs(g.start_s - ro.start_s), g.start_s, g.pos) FILTER (g.pos IS NOT NULL) AS c
+         FROM ro LEFT JOIN notes g ON g.chart_id = ro.chart_id AND g.event_type = ro.g AND abs(g.start_s - ro.start_s) < 0.3 GROUP BY ALL),
+walk AS (SELECT pairing, r, chart_id, k, CASE WHEN c[1] IS NULL THEN []::BIGINT[] ELSE [c[1].p] END AS used FROM near WHERE k = 1
+         UNION ALL
+         SELECT pairing, r, chart_id, k, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit.p) END
+         FROM (SELECT n.pairing, n.r, n.chart_id, n.k, w.used, list_filter(coalesce(n.c, []), lambda x: NOT list_contains(w.used, x.p))[1] AS hit FROM near n JOIN walk w ON n.pairing = w.pairing AND n.r = w.r AND n.chart_id = w.chart_id AND n.k = w.k + 1)),
+hits AS (SELECT pairing, r, chart_id, max(len(used)) AS matched FROM walk GROUP BY ALL)
+"""
+
+
+@Q.add("WITH RECURSIVE " + PAIRINGS + "SELECT chart_id, pairing, sum(matched)::BIGINT AS matched FROM hits GROUP BY chart_id, pairing HAVING sum(matched) > 0 QUALIFY row_number() OVER (PARTITION BY chart_id ORDER BY sum(matched) DESC, pairing) = 1")
 def duet_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which generated track goes with which reference track: more matches, direct on ties."""
     gen, ref = T.sides(T.notes(spark, sf_dir))
@@ -151,7 +165,18 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chart_id", "pos", "start_s", "end_s", F.rint("midi").cast("int").alias("midi"), F.col("conf").alias("amplitude"), speaker.alias("speaker"))
 
 
-@Q.add()
+@Q.add(
+    "WITH RECURSIVE " + T.NOTES.replace("e AS (", "e AS MATERIALIZED (", 1) + """,
+v AS MATERIALIZED (SELECT chart_id, pos, round_even(midi, 0)::INT AS midi, CASE WHEN event_type IN ('purchase', 'signup') THEN event_type END AS speaker, row_number() OVER (PARTITION BY chart_id ORDER BY start_s, round_even(midi, 0), pos) AS k FROM notes WHERE voiced),
+r AS (SELECT chart_id, pos, k, speaker, CASE WHEN speaker = 'purchase' THEN [midi] ELSE []::INT[] END AS p, CASE WHEN speaker = 'signup' THEN [midi] ELSE []::INT[] END AS s, speaker AS first FROM v WHERE k = 1
+      UNION ALL
+      SELECT chart_id, pos, k, a, CASE WHEN a = 'purchase' THEN list_append(p, midi) ELSE p END, CASE WHEN a = 'signup' THEN list_append(s, midi) ELSE s END, coalesce(first, a)
+      FROM (SELECT v.chart_id, v.pos, v.k, v.midi, r.p, r.s, r.first,
+                   coalesce(v.speaker, CASE WHEN len(p) + len(s) = 0 THEN NULL WHEN len(s) = 0 THEN 'purchase' WHEN len(p) = 0 THEN 'signup'
+                            WHEN abs(list_aggregate(p, 'median') - v.midi) < abs(list_aggregate(s, 'median') - v.midi) THEN 'purchase' WHEN abs(list_aggregate(p, 'median') - v.midi) > abs(list_aggregate(s, 'median') - v.midi) THEN 'signup' ELSE first END) AS a
+            FROM v JOIN r ON v.chart_id = r.chart_id AND v.k = r.k + 1))
+SELECT chart_id, pos::INT AS pos, speaker FROM r"""
+)
 def register_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voiced events without speaker go to the closest voice so far."""
     return recurrences.by_register(_events(spark, sf_dir))
@@ -176,3 +201,46 @@ def voice_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add("WITH " + T.NOTES + "SELECT chart_id, pos, round(440 * pow(2, (midi - 69) / 12), 4) AS hz FROM notes WHERE voiced")
 def pitch_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.notes(spark, sf_dir).where("voiced").select("chart_id", "pos", F.round(timing.hz_of(F.col("midi")), 4).alias("hz"))
+
+
+@Q.add("WITH " + T.NOTES + ", h AS (SELECT chart_id, pos, row_number() OVER (PARTITION BY chart_id ORDER BY pos) - 1 AS right_pos FROM notes WHERE event_id % 5 <> 0) SELECT chart_id, pos::INT AS left_pos, right_pos::INT AS right_pos FROM h")
+def word_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as words that are all different; every fifth was not heard. What was
+    heard lines up with itself."""
+    gold, heard = _words(spark, sf_dir)
+    return lyrics.matched_words(gold, heard)
+
+
+def _words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = T.notes(spark, sf_dir).withColumn("key", F.concat(F.lit("w"), "pos"))
+    rows = rows.withColumns({c: F.rint(F.col(c) * 64) / 64 for c in ("start_s", "end_s")})  # no error in sums
+    gold, late = rows.select("chart_id", F.col("pos").cast("int").alias("pos"), "key", "start_s", "end_s"), (F.col("event_id") % 7) / 64
+    heard = rows.where("event_id % 5 <> 0").withColumn("new", F.row_number().over(Window.partitionBy("chart_id").orderBy("pos")).cast("int") - 1)
+    return gold, heard.select("chart_id", F.col("new").alias("pos"), "key", (F.col("start_s") + late).alias("start_s"), (F.col("end_s") - late).alias("end_s"))
+
+
+@Q.add(
+    "WITH " + T.NOTES + """,
+h AS (SELECT chart_id, (event_id % 7) / 64 AS late, event_id % 5 <> 0 AS heard FROM notes),
+s AS (SELECT chart_id, count(*) AS words, count(*) FILTER (heard) AS n, list_sort(list(late) FILTER (heard)) AS a, avg(late) FILTER (heard) AS mae, median(late) FILTER (heard) AS bias FROM h GROUP BY chart_id)
+SELECT chart_id, round(n / words, 3) AS recall, CASE WHEN n > 0 THEN n END AS n, round(a[n // 2 + 1] * 1000, 1)::DOUBLE AS median_ms, round(mae * 1000, 1)::DOUBLE AS mae_ms, round(a[floor(0.9 * (n - 1))::INT + 1] * 1000, 1)::DOUBLE AS p90_ms, round(bias * 1000, 1)::DOUBLE AS onset_bias_ms, round(-bias * 1000, 1)::DOUBLE AS end_bias_ms FROM s"""
+)
+def word_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of words that were heard, and how far their times are off."""
+    gold, heard = _words(spark, sf_dir)
+    out = evaluation.timing_scores(gold, heard, lyrics.matched_words(gold, heard))
+    return out.select("chart_id", "recall", "onset.n", "onset.median_ms", "onset.mae_ms", "onset.p90_ms", F.col("onset.bias_ms").alias("onset_bias_ms"), F.col("end.bias_ms").alias("end_bias_ms"))
+
+
+@Q.add(
+    """WITH w AS (SELECT p_size AS chart_id, p_partkey AS pos, 1 + (p_partkey % 7) / 10 AS stop, 0.3 + (p_partkey % 5) / 20 AS onset, p_partkey % 2 = 0 AS fits FROM part),
+e AS (SELECT chart_id, abs(stop / 2 - onset) AS even, CASE WHEN fits THEN abs(0.4 - onset) END AS cut FROM w)
+SELECT chart_id, count(*) AS n_words, count(even) AS n_prop, count(cut) AS n_fa, round(median(even) * 1000, 1) AS prop_median_ms, round(median(cut) * 1000, 1) AS fa_median_ms FROM e GROUP BY chart_id"""
+)
+def syllable_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as words of two syllables, every other with the times of its letters."""
+    key, stop, onset = F.col("p_partkey"), 1 + (F.col("p_partkey") % 7) / 10, 0.3 + (F.col("p_partkey") % 5) / 20
+    part = lambda t, a, b: F.struct(F.lit(t).alias("text"), a.alias("start_s"), b.alias("end_s"))
+    words = T.read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("chart_id"), key.alias("pos"), F.lit("mano").alias("text"), F.lit(0.0).alias("start_s"), stop.alias("end_s"), F.array(part("ma", F.lit(0.0), onset), part("no", onset, stop)).alias("syllables"))
+    letters = words.where("pos % 2 = 0").select("chart_id", "pos", F.lit("mano").alias("norm"), F.array(*(F.struct(F.lit(i / 5).alias("s"), F.lit((i + 1) / 5).alias("e")) for i in range(4))).alias("char_spans"))
+    return evaluation.syllable_scores(words, letters)

@@ -201,8 +201,26 @@ def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.uniform(T.read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 30)
 
 
-@Q.add()
+@Q.add(
+    """WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN lang IN ('es', 'en') THEN lang ELSE 'other' END AS lang_group, n_chars::DOUBLE AS n_chars FROM documents),
+z AS (SELECT list_sort(list(n_chars)) AS v, count(*) AS n FROM d),
+b AS MATERIALIZED (SELECT d.*, CASE WHEN n_chars < v[n // 3 + 1] THEN 0 WHEN n_chars < v[2 * n // 3 + 1] THEN 1 ELSE 2 END AS band FROM d, z),
+k AS (SELECT list({'g': lang_group, 'b': band} ORDER BY lang_group, band) AS keys, list(c ORDER BY lang_group, band) AS sizes FROM (SELECT lang_group, band, count(*) AS c FROM b GROUP BY ALL)),
+a AS (SELECT keys, sizes, list_transform(sizes, lambda c: greatest(1, round_even(100 * c / list_sum(sizes), 0)::BIGINT)) AS n FROM k
+      UNION ALL
+      SELECT keys, sizes, CASE WHEN list_sum(n) > 100 THEN list_transform(n, lambda x, i: x - (i = list_position(n, list_max(n)))::INT)
+                               ELSE list_transform(n, lambda x, i: x + (i = list_position(room, list_max(room)))::INT) END
+      FROM (SELECT *, list_transform(sizes, lambda c, i: c - n[i]) AS room FROM a) WHERE list_sum(n) <> 100),
+p AS (SELECT unnest(keys, recursive := true), unnest(n) AS share FROM a WHERE list_sum(n) = 100)
+SELECT doc_id, lang_group, n_chars, band FROM b JOIN p ON lang_group = g AND band = p.b QUALIFY row_number() OVER (PARTITION BY lang_group, band ORDER BY md5(doc_id || ':0'), doc_id) <= share"""
+)
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampling operator: a hundred documents over language group and length."""
     docs = T.read(spark, sf_dir, "documents").select("doc_id", text.language_group(F.col("lang")).alias("lang_group"), F.col("n_chars").cast("double").alias("n_chars"))
     return sampling.stratified(docs, "doc_id", "lang_group", "n_chars", 100)
+
+
+@Q.add("WITH r AS (SELECT l_linestatus AS row, count(*) AS lines, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY l_linestatus) SELECT row, rpad('lines', 28, ' ') || ' ' || lines AS line FROM r UNION ALL SELECT row, rpad('discount', 28, ' ') || ' ' || discount FROM r")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.read(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("row")).agg(F.count(F.lit(1)).alias("lines"), F.round(F.avg("l_discount"), 6).alias("discount"))
+    return M.report(rows, "row", "lines", "discount")

@@ -226,7 +226,20 @@ def jitter_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("midi", F.round("midi", 6))
 
 
-@Q.add()
+#: Where a line from note lo to before note hi is cut; lists count from 1.
+CUT = """CASE WHEN (s[{hi}] + d[{hi}] - s[{lo} + 1]) * 0.0625 > 6.0 AND {hi} - {lo} >= 4 THEN list_sort(list_transform(list_filter(range({lo} + 1, {hi}), lambda i: t[i + 1] <> '~'), lambda i: {{'g': s[i] + d[i] - s[i + 1], 'm': abs(i - 1 - ({lo} + ({hi} - {lo}) // 2)), 'i': i}}))[1].i END"""
+
+
+@Q.add(
+    "WITH RECURSIVE " + LINED.replace("> 0.6", "> 3.0") + """,
+b AS MATERIALIZED (SELECT chart_id, line_no, pos, greatest(0, round_even(start_s / 0.0625, 0)::INT) AS beat, greatest(1, greatest(0, round_even(end_s / 0.0625, 0)::INT) - greatest(0, round_even(start_s / 0.0625, 0)::INT)) AS dur,
+             CASE WHEN kind = 'golden' THEN '~' ELSE 'la' END AS txt, row_number() OVER (PARTITION BY chart_id, line_no ORDER BY pos) - 1 AS i FROM lined),
+l AS MATERIALIZED (SELECT chart_id, line_no, list(beat ORDER BY i) AS s, list(dur ORDER BY i) AS d, list(txt ORDER BY i) AS t, count(*) AS n FROM b GROUP BY ALL),
+c AS (SELECT chart_id, line_no, s, d, t, 0::BIGINT AS lo, n AS hi, """ + CUT.format(lo="0", hi="n") + """ AS cut FROM l
+      UNION ALL
+      SELECT chart_id, line_no, s, d, t, x.lo, x.hi, """ + CUT.format(lo="x.lo", hi="x.hi") + """ FROM (SELECT chart_id, line_no, s, d, t, unnest([{'lo': lo, 'hi': cut}, {'lo': cut, 'hi': hi}]) AS x FROM c WHERE cut IS NOT NULL))
+SELECT b.chart_id, b.pos::INT AS pos, (count(*) - 1)::INT AS part FROM b JOIN c ON c.chart_id = b.chart_id AND c.line_no = b.line_no AND c.cut IS NULL AND c.lo <= b.i GROUP BY b.chart_id, b.pos"""
+)
 def long_line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by silences over 3 s, so that some are long."""
     rows = in_beats(S.with_lines(T.notes(spark, sf_dir), gap=3.0)).withColumn("duration", F.greatest(F.lit(1), F.col("endbeat") - F.col("beat")))
@@ -234,14 +247,38 @@ def long_line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrences.short_lines(rows, T.BPM)
 
 
-@Q.add()
+@Q.add(
+    "WITH RECURSIVE " + LINED.replace("e AS (", "e AS MATERIALIZED (", 1) + """,
+f AS (SELECT chart_id, line_no, coalesce(last_value(midi IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(midi IGNORE NULLS) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 60) AS midi FROM lined WINDOW o AS (PARTITION BY chart_id ORDER BY pos)),
+v AS MATERIALIZED (SELECT chart_id, line_no, median(midi) AS value FROM f GROUP BY ALL),
+r AS (SELECT chart_id, list(value) AS x, min(value) AS lo, max(value) AS hi, 0 AS k FROM v GROUP BY chart_id
+      UNION ALL
+      SELECT chart_id, x, coalesce(list_avg(list_filter(x, lambda y: NOT abs(y - hi) < abs(y - lo))), lo), coalesce(list_avg(list_filter(x, lambda y: abs(y - hi) < abs(y - lo))), hi), k + 1 FROM r WHERE k < 25)
+SELECT chart_id, line_no::INT AS pos, (abs(value - hi) < abs(value - lo))::INT AS label, round(lo, 6) AS low, round(hi, 6) AS high FROM v JOIN r USING (chart_id) WHERE k = 25"""
+)
 def register_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two means of the pitches of each chart's lines."""
     rows = S.filled(lined(spark, sf_dir), "midi", 60.0).groupBy("chart_id", "line_no").agg(metrics.median("midi").alias("value"))
     return recurrences.two_registers(rows.withColumn("pos", F.col("line_no").cast("int"))).withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
 
 
-@Q.add()
+@Q.add(
+    "WITH RECURSIVE " + T.NOTES.replace("e AS (", "e AS MATERIALIZED (", 1) + """,
+f AS (SELECT *, round_even(m, 0) AS near FROM (SELECT chart_id, floor(start_s / 4)::INT AS pos, start_s AS t, f0, 69 + 12 * log2(f0 / 440) AS m FROM notes WHERE f0 > 0) QUALIFY count(*) OVER (PARTITION BY chart_id, pos) >= 8),
+g AS (SELECT *, coalesce(near <> lag(near) OVER (PARTITION BY chart_id, pos ORDER BY t, f0), TRUE) AS new FROM f),
+h AS (SELECT *, sum(new::INT) OVER (PARTITION BY chart_id, pos ORDER BY t, f0 ROWS UNBOUNDED PRECEDING) AS run FROM g),
+runs AS (SELECT chart_id, pos, run, min(t) AS a, max(t) AS b, list(m) AS m FROM h GROUP BY ALL),
+heads AS (SELECT *, sum((run = 1 OR b - a >= 0.25)::INT) OVER (PARTITION BY chart_id, pos ORDER BY run) AS part FROM runs),
+parts AS (SELECT chart_id, pos, part, min(a) AS a, max(b) AS b, flatten(list(m)) AS m FROM heads GROUP BY ALL),
+named AS (SELECT *, CASE WHEN part = 1 AND b - a < 0.25 AND count(*) OVER (PARTITION BY chart_id, pos) > 1 THEN 2 ELSE part END AS own FROM parts),
+q AS MATERIALIZED (SELECT chart_id, pos, min(a) AS a, flatten(list(m)) AS m, row_number() OVER (PARTITION BY chart_id, pos ORDER BY own) AS k FROM named GROUP BY chart_id, pos, own),
+r AS (SELECT chart_id, pos, k, 1 AS no, a, m FROM q WHERE k = 1
+      UNION ALL
+      SELECT q.chart_id, q.pos, q.k, CASE WHEN same THEN no ELSE no + 1 END, CASE WHEN same THEN q.ra ELSE q.a END, CASE WHEN same THEN list_concat(q.rm, q.m) ELSE q.m END
+      FROM (SELECT q.*, r.no, r.a AS ra, r.m AS rm, round_even(list_aggregate(q.m, 'median'), 0) = round_even(list_aggregate(r.m, 'median'), 0) AS same FROM q JOIN r ON q.chart_id = r.chart_id AND q.pos = r.pos AND q.k = r.k + 1) q),
+d AS (SELECT * FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY chart_id, pos, no ORDER BY k DESC) = 1) QUALIFY count(*) OVER (PARTITION BY chart_id, pos) >= 2)
+SELECT chart_id, pos, no - 1 AS part, round(CASE WHEN no = 1 THEN pos * 4.0 ELSE a END, 6) AS part_start, round(coalesce(lead(a) OVER (PARTITION BY chart_id, pos ORDER BY no), pos * 4.0 + 4), 6) AS part_end, round(list_aggregate(m, 'median'), 6) AS midi FROM d"""
+)
 def held_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sustained pitches over windows of four chart seconds, all events voiced."""
     rows = T.notes(spark, sf_dir).where("f0 > 0").withColumn("pos", F.floor(F.col("start_s") / 4).cast("int"))

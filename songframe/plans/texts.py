@@ -104,15 +104,15 @@ def lyric_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @Q.add(
-    """WITH l AS (SELECT conv_id AS key, turn, text, (turn // 60) AS m, turn % 60 AS s FROM conversations WHERE length(trim(split_part(text, chr(10), 1))) > 0)
-SELECT key, (m * 60 + s + 0.5)::DOUBLE AS t, count(*) AS n FROM l GROUP BY ALL"""
+    r"""WITH l AS (SELECT conv_id AS key, turn, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM conversations)
+SELECT key, ((turn // 60) * 60 + turn % 60 + 0.5)::DOUBLE AS t, text FROM l WHERE text <> ''"""
 )
 def lrc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of turns as a timed lyric of their conversation, and read again."""
-    turns = T.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.element_at(F.split("text", "\n"), 1).alias("s"))
+    """Whole turns, each on a line, as a timed lyric of their conversation, and read again."""
+    turns = T.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"\s+", " ").alias("s"))
     stamp = F.format_string("[%02d:%02d.50] ", F.floor(F.col("turn") / 60).cast("int"), (F.col("turn") % 60).cast("int"))
     whole = turns.groupBy(F.col("conv_id").alias("key")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", F.concat(stamp, "s").alias("l"))))["l"], "\n").alias("text"))
-    return library.timed_lyrics(whole).groupBy("key", "t").agg(F.count(F.lit(1)).alias("n"))
+    return library.timed_lyrics(whole).select("key", "t", "text")
 
 
 @Q.add("SELECT n_nationkey AS key, lower(r_name) AS tag, n_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -167,7 +167,15 @@ def relative_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.relative_beats(F.replace(F.upper("text"), F.lit("APACHE"), F.lit("#RELATIVE"))).alias("relative"))
 
 
-@Q.add()
+@Q.add(
+    "WITH " + TOKENS.replace("FROM documents)", "FROM documents WHERE lang = 'es')", 1) + """,
+w AS (SELECT DISTINCT text FROM tokens),
+c AS (SELECT text, list_transform(range(1, length(text) + 1), lambda i: substr(text, i, 1)) AS c, list_transform(range(1, length(text) + 1), lambda i: contains('aeiouáéíóúüAEIOUÁÉÍÓÚÜ', substr(text, i, 1))) AS v FROM w),
+-- a vowel that another one stands before, with others between: the cut is before what goes with it
+n AS (SELECT *, list_filter(range(3, len(c) + 1), lambda i: v[i] AND NOT v[i - 1] AND list_contains(v[1:i - 2], TRUE)) AS nuclei FROM c),
+k AS (SELECT *, list_transform(nuclei, lambda i: i - 1 - list_contains(['pr', 'br', 'tr', 'dr', 'cr', 'gr', 'fr', 'pl', 'bl', 'cl', 'gl', 'fl', 'll', 'rr', 'ch'], lower(c[i - 2] || c[i - 1]))::INT) AS cuts FROM n)
+SELECT text, array_to_string(list_transform(c, lambda x, i: CASE WHEN list_contains(cuts, i) THEN '-' || x ELSE x END), '') AS parts FROM k"""
+)
 def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spanish words and their syllables, of Spanish documents."""
     rows = T.lines(spark, sf_dir).join(T.read(spark, sf_dir, "documents").where("lang = 'es'").select(F.col("doc_id").alias("chart_id")), "chart_id")

@@ -63,6 +63,11 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Metric records of write_json(), one a line; columns that a record lacks are null."""
+    return spark.read.schema(schema).json(path)
+
+
 def write_csv(rows: DataFrame, path: str, *columns: str) -> None:
     """The named columns, in this order, under a header."""
     rows.select(*columns).write.mode("overwrite").option("header", "true").csv(path)

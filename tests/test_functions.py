@@ -83,3 +83,17 @@ def test_syllables(word, parts):
 def test_decoded(spark):
     rows = spark.createDataFrame([(bytearray("ñ".encode("utf-8-sig")),), (bytearray("ñ".encode("cp1252")),), (bytearray(b"\x81"),), (None,)], "b binary")
     assert [r.x for r in rows.select(arrow.decoded("b").alias("x")).collect()] == ["ñ", "ñ", "\x81", None]
+
+
+def test_word_keys_of_many_alphabets(spark):
+    """Against the decomposition of each word."""
+    import unicodedata
+
+    words = ["čas", "Ōkami", "şarkı", "Žluťoučký", "ĐĐ", "ǎǐ", "Ｆｕｌｌ", "x²", "naïve", "ệ", "Ｉ", "İstanbul", "e\u0301té", "日本", "ﾊﾟ", "Ắ", "ø", "ß", "ŉ"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.word_key(F.col("w")).alias("k"), text.letters_key(F.col("w")).alias("l")).collect()
+    for r in rows:
+        apart = lambda form: "".join(c for c in unicodedata.normalize(form, r.w.lower()) if not unicodedata.combining(c))
+        if r.w == "ŉ":  # two characters, one of them no letter
+            continue
+        assert r.k == "".join(c for c in apart("NFKD") if c in "abcdefghijklmnopqrstuvwxyz0123456789"), r
+        assert r.l == "".join(c for c in apart("NFD") if c in "abcdefghijklmnopqrstuvwxyz"), r

@@ -1,12 +1,15 @@
 """Operators against loops written here, and on the scenarios of FIXTURES.md."""
 
+import json
+import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from songframe.operators import evaluation, intervals, lyrics, metrics, profiling, recurrences, sampling, sequences, validation
-from songframe.operators.assembly import assembled
+from songframe.operators import evaluation, intervals, lyrics, manifest, metrics, profiling, ranks, recurrences, sampling, sequences, storage, validation
+from songframe.operators.assembly import assembled, left_empty
 from songframe.sources import chart_text, library
 
 WORD = "chart_id long, pos int, text string, start_s double, end_s double"
@@ -170,6 +173,123 @@ def test_terciles_are_ranks(spark):
     assert sampling.terciles(spark.createDataFrame([], "v double"), "v") == (0.0, 0.0)
 
 
+@pytest.mark.parametrize("n", [1, 2, 278, 380, 584])
+def test_terciles_are_the_values_themselves(spark, n):
+    values = [float(i) for i in range(n)]
+    frame = spark.createDataFrame([(v,) for v in reversed(values)] + [(None,)], "v double")
+    assert sampling.terciles(frame, "v") == (values[n // 3], values[2 * n // 3])
+    bands = [r.band for r in sampling.with_band(frame.where("v IS NOT NULL"), "v").orderBy("v").collect()]
+    assert bands == [0 if i < n // 3 else 1 if i < 2 * n // 3 else 2 for i in range(n)]
+
+
+def test_quantiles_against_sorted_values(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), float(rng.choice((1, 2, 2, 5, 9.5, rng.random())))) for _ in range(900)] + [("one", 4.0), ("none", None)]
+    got = {r.k: r for r in ranks.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", [0, 0.1, 0.5, 0.77, 1]).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for k, r in got.items():
+        own = sorted(v for a, v in rows if a == k and v is not None)
+        assert r.n == len(own) and r.mean == pytest.approx(sum(own) / len(own))
+        for share, q in zip((0, 0.1, 0.5, 0.77, 1), r.q, strict=True):
+            place = (len(own) - 1) * share
+            low, high = own[int(place)], own[min(int(place) + 1, len(own) - 1)]
+            assert q == pytest.approx(low + (high - low) * (place - int(place)))
+
+
+def test_stratified_sample_with_null_groups_and_repeated_keys(spark):
+    rows = [(i // 2, ["x", None, "y"][i % 3], float(i % 50)) for i in range(600)]
+    got = sampling.stratified(spark.createDataFrame(rows, "id long, g string, v double"), "id", "g", "v", 60).collect()
+    assert len(got) == 60 and {r.g for r in got} == {"x", None, "y"} and {r.band for r in got} == {0, 1, 2}
+    assert sampling.stratified(spark.createDataFrame([], "id long, g string, v double"), "id", "g", "v", 60).count() == 0
+    few = sampling.stratified(spark.createDataFrame(rows[:5], "id long, g string, v double"), "id", "g", "v", 60)
+    assert few.count() == 5
+
+
+def test_bracketed_words_are_the_clamped_sum_too(spark):
+    random.seed(9)
+    lines = [" ".join("".join(random.choice("(a)bc") for _ in range(random.randint(1, 4))) for _ in range(random.randint(0, 12))) for _ in range(80)] + ["", "  ", "plain words only"]
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(lines)] + [(99, 0, None)], "chart_id long, line_index int, text string")
+    got = {(r.chart_id, r.word_index): (r.word, r.depth, r.adlib) for r in lyrics.bracketed_words(df).collect()}
+    want = {}
+    for i, t in enumerate(lines):
+        depth = 0
+        for j, w in enumerate(t.split()):
+            inside = depth > 0 or "(" in w or ")" in w
+            depth = max(0, depth + w.count("(") - w.count(")"))
+            want[i, j] = (w, depth, inside)
+    assert got == want
+
+
+def test_held_notes_against_a_walk(spark):
+    """Runs, short runs, and neighbours of one pitch, walked frame by frame."""
+    rng, rows = random.Random(11), []
+    for span in range(60):
+        t, pitch = 0.0, 60.0
+        for _ in range(rng.randint(3, 60)):
+            if rng.random() < 0.15:
+                pitch = float(rng.choice((59, 60, 60.4, 61, 62, 62.6)))
+            rows.append((1, span, 0.0, 9.0, t, 440 * 2 ** ((pitch + rng.random() / 10 - 69) / 12)))
+            t += 0.05
+    frame = spark.createDataFrame(rows, "chart_id long, pos int, start_s double, end_s double, t double, f0 double")
+    got = {}
+    for r in recurrences.held_parts(frame).orderBy("pos", "part").collect():
+        got.setdefault(r.pos, []).append((round(r.part_start, 6), round(r.part_end, 6), round(r.midi, 6)))
+    want = {}
+    for span in range(60):
+        own = [(t, 69 + 12 * math.log2(f / 440)) for _, p, _, _, t, f in rows if p == span]
+        if len(own) < 8:
+            continue
+        parts = []
+        i = 0
+        while i < len(own):
+            j = i
+            while j + 1 < len(own) and round(own[j + 1][1]) == round(own[i][1]):
+                j += 1
+            if not parts or own[j][0] - own[i][0] >= 0.25:
+                parts.append([])
+            parts[-1] += own[i : j + 1]
+            i = j + 1
+        if len(parts) > 1 and parts[0][-1][0] - parts[0][0][0] < 0.25:
+            parts[:2] = [parts[0] + parts[1]]
+        merged = []
+        for p in parts:
+            if merged and round(statistics.median(m for _, m in p)) == round(statistics.median(m for _, m in merged[-1])):
+                merged[-1] = merged[-1] + p
+            else:
+                merged.append(p)
+        if len(merged) > 1:
+            starts = [0.0, *(p[0][0] for p in merged[1:]), 9.0]
+            want[span] = [(round(starts[k], 6), round(starts[k + 1], 6), round(statistics.median(m for _, m in p), 6)) for k, p in enumerate(merged)]
+    assert got == want and len(want) > 10
+
+
+def test_manifest_and_empty_charts(spark):
+    files = spark.createDataFrame([(1, "#BPM:240\n#LANGUAGE:Español\n"), (2, "#TITLE:x\n#relative : yes\n#BPM:240\n"), (3, "#TITLE:x\n"), (4, "#BPM:9\n"), (5, None)], "chart_id long, text string")
+    words_ = spark.createDataFrame([(c, 0, i, 2.0 * i, 2.0 * i + 1) for c in (1, 2, 3, 5) for i in range(31)] + [(4, 0, i, 0.1 * i, 0.1 * i + 0.1) for i in range(31)], "chart_id long, line_no int, word_no int, start_s double, end_s double")
+    got = manifest.manifest(files, words_).collect()
+    assert [(r.chart_id, r.lang_group, r.n_words, r.span_s) for r in got] == [(1, "es", 31, 61.0)]
+    left = spark.createDataFrame([(1, " ", False), (1, "a", True), (2, "a", None), (3, None, None)], "chart_id long, text string, adlib boolean")
+    assert sorted(r.chart_id for r in left_empty(left, drop_adlibs=True).collect()) == [1, 3]
+    assert sorted(r.chart_id for r in left_empty(left).collect()) == [3]
+
+
+def test_metric_files_and_stages(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.5, (7,)), (2, None, None)], "id long, score double, more struct<n:int>")
+    library.write_json(rows, str(tmp_path / "json"))
+    back = library.read_json(spark, str(tmp_path / "json"), "id long, score double, more struct<n:int>, absent string")
+    assert sorted(map(tuple, back.select("id", "score", "more.n", "absent").collect())) == [(1, 0.5, 7, None), (2, None, None, None)]
+    library.write_csv(rows, str(tmp_path / "csv"), "score", "id")
+    assert sorted(map(tuple, spark.read.option("header", "true").csv(str(tmp_path / "csv")).collect()), key=str) == [("0.5", "1"), (None, "2")]
+    stage = str(tmp_path / "stage")
+    first = storage.once(rows.select("id"), stage).collect()
+    assert sorted(first) == sorted(storage.once(spark.createDataFrame([(9,)], "id long"), stage).collect())  # the second run reuses the first
+    shape = profiling.as_json(spark.createDataFrame([("a", 2, 1.5), ("b", 1, 3.0)], "metric string, n long, mean double")).first().value
+    assert json.loads(shape) == {"a": {"n": 2, "mean": 1.5}, "b": {"n": 1, "mean": 3.0}}
+    one = spark.createDataFrame([("es", 1.0), ("es", 2.0)], "lang string, v double")
+    assert metrics.language_medians(one, "v").count() == 0
+    assert sorted(map(tuple, metrics.language_medians(one.union(spark.createDataFrame([(None, 5.0)], one.schema)), "v").collect()), key=str) == [("es", 2, 1.5), (None, 1, 5.0)]
+
+
 CHART = "﻿#TITLE:Old\r\n#TITLE: New \r\n#ARTIST:Ana\r\n#BPM:240,5\r\n#GAP:1000\r\n#MP3:a.mp3\r\n#DUETSINGERP1:A\r\nP 1\r\n: 0 2 5 Ho\r\n: 3 x 5 bad\r\n* 3 2 6 la \r\n- 8\r\n: 9 1 7  hi\r\n#late:1\r\nP 2\r\nF 0 4 0 ~\r\nE\r\n: 99 1 1 no\r\n".lstrip("﻿")
 
 

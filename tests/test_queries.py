@@ -58,3 +58,10 @@ def test_entry_without_text_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'style_profile' in q and not any(k.startswith('op1') for k in e.oracle_sql())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    work = code + """
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+assert e.entry(spark).count() == 8
+assert all(q[n](spark, "/root/testdata/sf0.001").count() for n in ("tokenize", "validate", "greedy_match"))
+"""
+    subprocess.run([sys.executable, "-c", work], cwd=tmp_path, check=True)
