@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,12 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, group_key: str, bou
     return first.unionByName(rest.join(groups.where(~hot).drop("n"), match).drop(group_key))
 
 
+def few_rows(spark: SparkSession, name: str, values: Sequence[str]) -> DataFrame:
+    """A table of a bounded list of strings, as literals of the plan."""
+    cell = F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    return spark.range(1).select(F.explode(cell).alias(name))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

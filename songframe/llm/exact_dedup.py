@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songframe.llm.common import SPACE, small, staged, table, text_of
+from songframe.llm.common import SPACE, few_rows, small, staged, table, text_of
 
 #: Digests that the sketch returns, and counters that it keeps.
 TRACKED, COUNTERS = 512, 8192
@@ -41,8 +41,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
     named = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(digest, {TRACKED}, {COUNTERS})").alias("top")).first()
     least = max(2, int(named.n * SHARE))
-    likely = [(x["item"],) for x in named.top or [] if x["count"] >= least]
-    likely = rows.sparkSession.createDataFrame(likely, "digest string")
+    likely = few_rows(rows.sparkSession, "digest", [x["item"] for x in named.top or [] if x["count"] >= least])
     winners = rows.join(F.broadcast(likely), "digest").groupBy("digest").agg(*_stays()).where(F.col("group_size") >= least)
     winners = staged(winners, "heavy")
     light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")

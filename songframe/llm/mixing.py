@@ -41,21 +41,19 @@ def chance(key: Column, seed: int = SEED) -> Column:
 
 def _numbered(rows: DataFrame, name: str, by: list[Column], *sums: str) -> DataFrame:
     """rows in the order `by`, dealt out by its ranges, as a stored table, with `before`
-    (how many rows stand before each) and before_<c> (the sum of c over these).
-
-    A row for each range comes to the driver, never one for each source."""
+    (how many rows stand before each) and before_<c> (the sum of c over these): within
+    its range by a window, and before it by a window over the ranges, a row each."""
     spark = rows.sparkSession
     rows = staged(rows.repartitionByRange(partitions(spark), *by).withColumn("part", F.spark_partition_id()), name)
     names = ["before", *(f"before_{c}" for c in sums)]
-    starts, so_far = [], [0] * len(names)
-    for part, *found in rows.groupBy("part").agg(F.count(F.lit(1)), *(F.sum(F.col(c).cast("long")) for c in sums)).orderBy("part").collect():
-        starts.append((part, *so_far))
-        so_far = [a + (b or 0) for a, b in zip(so_far, found, strict=True)]
-    starts = spark.createDataFrame(starts, "part int, " + ", ".join(f"s{i} long" for i in range(len(names))))
-    own = Window.partitionBy("part").orderBy(*by)
-    upto = own.rowsBetween(Window.unboundedPreceding, -1)
-    within = [F.row_number().over(own) - 1, *(F.coalesce(F.sum(F.col(c).cast("long")).over(upto), F.lit(0)) for c in sums)]
-    return rows.join(F.broadcast(starts), "part").select(*rows.drop("part").columns, *((w + F.col(f"s{i}")).alias(names[i]) for i, w in enumerate(within)))
+    values = [F.lit(1).cast("long"), *(F.col(c).cast("long") for c in sums)]
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("part").agg(*(F.sum(v).alias(f"s{i}") for i, v in enumerate(values)))
+    starts = ranges.select(F.col("part").alias("of"), *(F.coalesce(F.sum(f"s{i}").over(earlier), F.lit(0)).alias(f"s{i}") for i in range(len(names))))
+    upto = Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    within = [F.coalesce(F.sum(v).over(upto), F.lit(0)) for v in values]
+    joined = rows.join(F.broadcast(starts), F.col("part") == F.col("of"))  # as many rows as there are partitions
+    return joined.select(*rows.drop("part").columns, *((w + F.col(f"s{i}")).alias(names[i]) for i, w in enumerate(within)))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:

@@ -25,7 +25,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songframe.llm.common import staged, table, with_group
+from songframe.llm.common import few_rows, staged, table, with_group
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
@@ -126,7 +126,7 @@ def judge(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str =
 
 def default_list(spark: SparkSession) -> DataFrame:
     """The list that ships with the package, a column url."""
-    return spark.createDataFrame([(u,) for u in LIST_FILE.read_text().split()], "url string")
+    return few_rows(spark, "url", LIST_FILE.read_text().split())
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
