@@ -389,7 +389,7 @@ def _link_similar(batches: Iterator[pd.DataFrame], radius: int, least: float, me
 def _compared(dealt: DataFrame, sets: DataFrame, *how) -> DataFrame:
     """Edges (a, b) within each (k, i, j) of dealt (k, i, j, side, fp, sig): between its
     two sides where it has both, else among all its rows."""
-    rows = dealt.join(sets, "sig").select(*PLACE, "side", "fp", "sig", "own")
+    rows = dealt.join(sets.hint("merge"), "sig").select(*PLACE, "side", "fp", "sig", "own")
     rows = rows.repartition(partitions(dealt.sparkSession), *PLACE).sortWithinPartitions(*PLACE)
     return rows.mapInPandas(lambda x: _link_similar(x, *how), "a long, b long").distinct()
 
@@ -462,12 +462,11 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y")).where("n > 1")
     shared = staged(members.groupBy("n", "x", "y").agg(F.min("k").alias("own")).select("own", "n", F.col("n").alias("size")), "shared")
     keys = staged(with_group(keys, shared, "k", "own", BROADCAST_ROWS).withColumnRenamed("size", "n"), "shared-keys")
-    asked = keys.select("sig").distinct()
-    sets = staged(rows.select("sig", "own").join(asked, "sig").groupBy("sig").agg(F.first("own").alias("own")), "asked-sets")
+    sets = rows.groupBy("sig").agg(F.first("own").alias("own"))  # shuffled by sig, as the join with them is
     edges = _compared(_dealt(keys.where(F.col("n") <= most), "n", most), sets, radius, least, measure)
     large = keys.where(F.col("n") > most)
     if shared.where(F.col("n") > most).count():
-        edges = edges.unionByName(large_edges(large, sets, most, radius, least, measure))
+        edges = edges.unionByName(large_edges(large, staged(sets, "own-sets"), most, radius, least, measure))
     nodes = staged(components(edges).withColumnRenamed("node", "sig").join(first.select("sig", "first"), "sig"), "nodes")
     ids = nodes.groupBy("root").agg(F.min("first").alias("least"))
     named = first.join(nodes.join(ids, "root").select("sig", "least"), "sig", "left").select("sig", F.coalesce("least", "first").alias("component_id"))
