@@ -243,25 +243,31 @@ def links(fps: DataFrame, radius: int, blocks: int, most: int = MOST_IN_TREE, no
     return spark.read.schema("a long, b long").parquet(path).distinct()
 
 
+def _with_least(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """edges (a, b) with m, the least neighbour of a or a itself; and (own, n, m) of every
+    a, as a stored table. The many edges of a star's centre meet its m by broadcast."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = staged(least.select(F.col("a").alias("own"), "n", F.least("a", "m").alias("m")), name)
+    return with_group(edges, least, "a", "own", BROADCAST_ROWS), least
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge; root is the least node that it
     reaches. Large and small stars in turn (each keeps what is connected and
     halves heights) until nothing changes."""
-    edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    downward = lambda x: x.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = staged(downward(edges), "edges")
     state = None
     while True:
         mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == state or not mark[0]:
             break
         state = mark
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = staged(large, "large-star").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(least, "a")
-        new = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = staged(new.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small-star")
+        both, _ = _with_least(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "least-of-all")
+        large = both.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        met, least = _with_least(downward(staged(large, "large-star")), "least-below")
+        new = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("own").alias("a"), F.col("m").alias("b")))
+        edges = staged(downward(new.where("a <> b")).distinct(), "small-star")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 

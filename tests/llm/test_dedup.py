@@ -213,3 +213,22 @@ def test_large_shards_against_all_pairs(spark, measure):
         rows = simhash.similar_components(frame, measure=measure, most=most, bands=30).collect()
         assert [r.component_id for r in sorted(rows, key=lambda r: r.id)] == roots
     assert 6 <= len(set(roots)) < 200
+
+
+def test_components_of_random_graphs_and_a_large_star(spark):
+    rng = random.Random(1)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(280)] + [(1000, 1000 + i) for i in range(1, 900)] + [(1500, 5000), (5000, 5001)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
