@@ -7,8 +7,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from songframe.llm import bpe, token_index
-from songframe.llm.common import table
+from songframe.llm import bpe, files, token_index
+from songframe.llm.common import shared_dir, table
+from songframe.llm.words import Recent
 
 
 def library(name):
@@ -102,3 +103,29 @@ def test_documents_are_found_by_id_alone(spark, hard_dir, docs, tmp_path):
             assert np.frombuffer(r.ids, "<u4").tolist() == [*t.encode(f"own {r.id}", add_special_tokens=False).ids, 1]
     keys = token_index.keys_of(frame, chunk=7)
     assert keys.count() == len(many) == token_index.look_up(keys, index, buckets).count()
+
+
+def test_memory_of_words_is_bounded_in_bytes():
+    own, made = token_index.encoder(public_tokenizers.path("word_bpe_49k.json"), "<u2"), []
+    before = len(own.of_word), len(own.of_part)
+    want = library("word_bpe_49k.json")
+    for i in range(50):
+        word = f"{i}" + "aGk7+/" * 200
+        assert own.encode(word) == np.array(want.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+    assert (len(own.of_word), len(own.of_part)) == before
+    recent = Recent(lambda w: made.append(w) or len(w), 3)
+    assert [recent[w] for w in ("a", "b", "a", "c", "d", "a", "x" * 65, "x" * 65)] == [1, 1, 1, 1, 1, 1, 65, 65]
+    assert made == ["a", "b", "c", "d", "x" * 65, "x" * 65] and len(recent) <= 3
+
+
+def test_addresses_and_shared_folders():
+    assert files.address("s3a://bucket/a") == "s3://bucket/a" and files.address("/tmp/a") == "file:///tmp/a" == files.address("file:/tmp/a")
+    with pytest.raises(ValueError, match="wasb"):
+        files.address("wasb://x/y")
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(Session)
