@@ -45,10 +45,22 @@ def stripped(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def plain(x: Column) -> Column:
+    """ASCII only, which most words are: as many bytes as characters."""
+    return F.octet_length(x) == F.char_length(x)
+
+
+def has_key(x: Column) -> Column:
+    """word_key(x) is not empty; asked of plain words without making the key."""
+    return F.when(plain(x), x.rlike("[A-Za-z0-9]")).otherwise(word_key(x) != "")
+
+
 def unaccented(x: Column, letters: dict[str, str] = WORD_LETTERS) -> Column:
     """Lower case without accents: characters that come apart into a letter or digit and
     marks are that letter or digit, and combining marks go."""
-    return F.regexp_replace(F.translate(F.lower(x), "".join(letters), "".join(letters.values())), r"\p{M}", "")
+    low = F.lower(x)
+    apart = F.regexp_replace(F.translate(low, "".join(letters), "".join(letters.values())), r"\p{M}", "")
+    return F.when(plain(low), low).otherwise(apart)
 
 
 def word_key(x: Column) -> Column:

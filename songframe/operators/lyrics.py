@@ -20,33 +20,35 @@ def raw_words(lines: DataFrame) -> DataFrame:
     return lines.select("chart_id", "line_index", F.posexplode(words).alias("word_index", "word"))
 
 
-def bracketed_words(lines: DataFrame) -> DataFrame:
+def bracketed_words(lines: DataFrame, shown: bool = False) -> DataFrame:
     """raw_words() with depth (open brackets after the word, never below zero) and adlib
     (inside brackets, or with one): a fold over the words of the row that hold a
-    bracket, which split the others into stretches of one depth. Lines are not shuffled."""
+    bracket, which split the others into stretches of one depth. Lines are not shuffled.
+    With shown also text, the word as it is displayed."""
     count = lambda w, c: F.char_length(w) - F.char_length(F.translate(w, c, ""))
-    rows = lines.select("chart_id", "line_index", F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "").alias("words"))
+    rows = lines.select("chart_id", "line_index", F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "").alias("words"), F.col("text").rlike("[()]").alias("some"))
     marks = F.transform("words", lambda w, i: F.struct(i.alias("at"), (count(w, "(") - count(w, ")")).alias("opens"), F.contains(w, F.lit("(")).alias("a"), F.contains(w, F.lit(")")).alias("b")))
     start = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("depth")))
     fold = F.aggregate(F.filter(marks, lambda m: m["a"] | m["b"]), start, lambda done, m: F.concat(done, F.array(F.struct(m["at"].alias("at"), F.greatest(F.lit(0), F.element_at(done, -1)["depth"] + m["opens"]).alias("depth")))))
-    rows = rows.select("*", F.when(F.exists("words", lambda w: w.rlike("[()]")), fold).otherwise(start).alias("marks"))
-    word = lambda at, w, depth, adlib: F.struct(at.alias("word_index"), w.alias("word"), depth.alias("depth"), adlib.alias("adlib"))
+    rows = rows.select("*", F.when(F.col("some"), fold).otherwise(start).alias("marks"))
+    word = lambda at, w, depth, adlib: F.struct(at.alias("word_index"), w.alias("word"), depth.alias("depth"), adlib.alias("adlib"), *([T.display(w).alias("text")] if shown else []))
 
     def stretch(m: Column, i: Column) -> Column:
         end = F.coalesce(F.get("marks", i + 1)["at"], F.size("words"))
         rest = F.transform(F.slice("words", m["at"] + 2, end - m["at"] - 1), lambda w, j: word(m["at"] + 1 + j, w, m["depth"], m["depth"] > 0))
         return F.when(i == 0, rest).otherwise(F.concat(F.array(word(m["at"], F.get("words", m["at"]), m["depth"], F.lit(True))), rest))
 
-    return rows.select("chart_id", "line_index", F.explode(F.flatten(F.transform("marks", stretch))).alias("w")).select("chart_id", "line_index", "w.*")
+    simple = F.transform("words", lambda w, i: word(i, w, F.lit(0), F.lit(False)))
+    found = F.when(F.col("some"), F.flatten(F.transform("marks", stretch))).otherwise(simple)
+    return rows.select("chart_id", "line_index", F.explode(found).alias("w")).select("chart_id", "line_index", "w.*")
 
 
 def tokens(lines: DataFrame) -> DataFrame:
     """(chart_id, line_index, word_index, text, key, new_line, adlib): words without
     outer marks; those without letter or digit drop out."""
-    rows = bracketed_words(lines).withColumn("text", T.display(F.col("word")))
-    rows = rows.withColumn("key", T.word_key(F.col("text")))
+    rows = bracketed_words(lines, shown=True).withColumn("key", T.word_key(F.col("text")))
     first = (F.col("word_index") == 0) & (F.col("line_index") > 0)
-    return rows.where(F.col("key") != "").select("chart_id", "line_index", "word_index", "text", "key", first.alias("new_line"), "adlib")
+    return rows.where(T.has_key(F.col("text"))).select("chart_id", "line_index", "word_index", "text", "key", first.alias("new_line"), "adlib")
 
 
 def _pairs(a: list[str], b: list[str], least: float = 0.5) -> list[tuple[int, int]]:
