@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from songframe.llm import bpe, exact_dedup, host_rules, mixing, pii, quality, simhash, token_index, url_filter, warc
+from songframe.llm import bpe, cross_tokens, exact_dedup, host_rules, mixing, pii, quality, simhash, token_counts, token_index, url_filter, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_cross_tokens": cross_tokens.op11_cross_tokens,
+    "op13_token_counts": token_counts.op13_token_counts,
 }
 ORACLES = {
     "op3_host_rules": host_rules.OP3_SQL,
