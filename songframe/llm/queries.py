@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from songframe.llm import bpe, cross_tokens, exact_dedup, host_rules, mixing, pii, quality, simhash, token_counts, token_index, url_filter, warc
+from songframe.llm import bpe, cross_tokens, exact_dedup, host_rules, mixing, pii, quality, simhash, token_counts, token_index, turn_repair, url_filter, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_cross_tokens": cross_tokens.op11_cross_tokens,
+    "op12_turn_repair": turn_repair.op12_turn_repair,
     "op13_token_counts": token_counts.op13_token_counts,
 }
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_warc": warc.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op12_turn_repair": turn_repair.OP12_SQL,
 }
