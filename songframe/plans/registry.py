@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from songframe.plans import charts, joins, measures, sequences, texts
+from songframe.plans import charts, joins, measures, sequences, signals, texts
 
-PARTS = (sequences, measures, joins, texts, charts)
+PARTS = (sequences, measures, joins, texts, charts, signals)
 QUERIES = {name: f for part in PARTS for name, f in part.Q.queries.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.Q.sql.items()}
