@@ -38,13 +38,22 @@ def hard_dir(tmp_path_factory):
     urls = ["https://www.example.com/en/1?utm_source=a", "http://Example.COM/en/2", "http://m.ads-track.example.org/x/?b=2&a=1", None, "no scheme", "http://a.net/es/", "http://a.net/esx", "http://x.org", "ftp://a.b://c/d#e", "http://example.com.evil.org/en/", "http://m.ads-track.example.org/x?a=1&b=2#f", ""]
     pages = {"page_id": [*range(11), None], "url": urls, "html": [html, html, "short", "short", None, "", html, "é" * 600, "é" * 600, "y" * 999, "y" * 999, html], "id": [1] * 12, "host": ["h"] * 12, "digest": ["d"] * 12}
     pq.write_table(pa.table(pages, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("id", pa.int64()), ("host", pa.string()), ("digest", pa.string())])), folder / "pages.parquet")
+    turns = [
+        (1, 0, "system", "Be kind."), (1, 1, "user", "Hi?"), (1, 1, "user", "Hi?"), (1, 2, "assistant", "Yes!\n "), (2, 5, "assistant", "No end"), (2, None, "user", "One."), (2, 9, None, "Two."), (2, 9, "tool", None),
+        (None, 0, "user", "A."), (None, None, "user", "A."), (3, 0, "", " \t\n"), (3, 3, "user", "\u2003"), (3, -4, "user", "x" * 300_000 + "."), (4, 1, "assistant", "b."), (4, 0, "assistant", "b."), (4, 0, "assistant", "a.\u2028"),
+        *[(5, i, ["user", "assistant", "system"][i % 5 % 3], f"t{i % 17}.") for i in range(90)], *[(6 + i % 9, i // 9, ["user", "assistant"][i // 9 % 2], f"w{i}" + "!?."[i % 3]) for i in range(60)],
+    ]
+    turns = [*turns, turns[0], turns[-1]]
+    names = ("conv_id", "turn", "role", "text")
+    talk = dict(zip(names, map(list, zip(*turns)))) | {c: [1] * len(turns) for c in ("conv", "fault", "digest", "row", "pid", "part", "lot", "col")}
+    pq.write_table(pa.table(talk, pa.schema([(c, pa.string() if c in ("role", "text") else pa.int64()) for c in talk])), folder / "conversations.parquet")
     return str(folder)
 
 
 @pytest.fixture(scope="session")
 def empty_dir(hard_dir, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "conversations"):
         pq.write_table(pq.read_table(f"{hard_dir}/{t}.parquet").slice(0, 0), folder / f"{t}.parquet")
     return str(folder)
 

@@ -5,7 +5,7 @@ import pytest
 
 from songframe.llm.queries import ORACLES, QUERIES
 
-ROWS = {"op7_warc": "pages", "op10_url_filter": "pages"}
+ROWS = {"op7_warc": "pages", "op10_url_filter": "pages", "op12_turn_repair": "(SELECT DISTINCT conv_id FROM conversations)"}
 
 
 def norm(v):
@@ -17,7 +17,7 @@ def test_hard_tables(spark, hard_dir, name):
     got = QUERIES[name](spark, hard_dir)
     rows = got.collect()
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{hard_dir}/{t}.parquet'")
     if name == "op7_warc":  # its SQL says nothing on null keys
         con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{hard_dir}/pages.parquet' WHERE page_id IS NOT NULL")
