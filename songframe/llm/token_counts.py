@@ -3,13 +3,14 @@ r"""Token counts without token ids.
 A text is cut into pre-tokens that no piece of the vocabulary can span: a run of
 spaces with what follows up to the next space or line end, and each line end by
 itself. So a text has as many tokens as its pre-tokens have together. Each document
-becomes the frequencies of its distinct pre-tokens; each distinct pre-token of all
-documents has its pieces counted once, by the public library; counts and frequencies
-meet in a join, and their products are summed by document.
+becomes the frequencies of its distinct pre-tokens. The distinct pre-tokens of a batch of
+documents have their pieces counted once, by the public library; counts and
+frequencies meet in a join by the pre-token's place among the distinct ones, and
+their products are summed by document.
 
-A pre-token of over LONGEST characters is no key of the join: it would be as costly
-to move as to count, and is counted in the task that finds it. Memory is bounded by
-one batch of documents.
+The join stays within a batch, so that nothing is shuffled: a word costs less to count
+again than to send to its one place in the corpus and back. Memory is bounded by one
+batch of documents.
 
 Null text counts as empty and has no tokens. Rows may repeat, ids too, each row is
 counted; an empty table gives an empty result; other columns are never read.
@@ -23,14 +24,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songframe.llm import keyed_sums
-from songframe.llm.common import small_batches, staged, table, text_of
+from songframe.llm.common import small_batches, table, text_of
 
-#: Characters of the longest pre-token that is a key.
-LONGEST = 64
 #: Tokens that a context of the model has room for.
 LIMIT = 4096
 #: The space as the vocabulary writes it.
@@ -71,49 +70,40 @@ def vocabulary_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def frequencies(docs: DataFrame, key: str, text: str, vocabulary: str, longest: int) -> DataFrame:
-    """row, id, n_bytes, long_tokens, and the distinct pre-tokens of each document (keys)
-    with their frequencies (times). long_tokens: tokens in pre-tokens that are no keys."""
+def frequencies(texts: list[str], pieces: Pieces) -> pa.Table:
+    """doc (place among the texts), word and times: the distinct pre-tokens of each text."""
+    docs, words, times = [], [], []
+    for doc, text in enumerate(texts):
+        found = Counter(pieces.pre_tokens(text))
+        docs += [doc] * len(found)
+        words += found.keys()
+        times += found.values()
+    return pa.table({"doc": pa.array(docs, pa.int64()), "word": pa.array(words, pa.string()).dictionary_encode(), "times": pa.array(times, pa.int64())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(vocabulary)
-        for batch in batches:
-            keys, times, ends, long_tokens = [], [], [0], []
-            for text in batch["t"]:
-                found = Counter(pieces.pre_tokens(text.as_py()))
-                long = [w for w in found if len(w) > longest]
-                long_tokens.append(sum(n * found.pop(w) for w, n in zip(long, pieces.counts(long), strict=True)))
-                keys += found.keys()
-                times += found.values()
-                ends.append(len(keys))
-            ends = pa.array(ends, pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(keys, pa.string())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], batch["n_bytes"], pa.array(long_tokens, pa.int64()), *lists], ["row", "id", "n_bytes", "long_tokens", "keys", "times"])
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.octet_length(text_of(text)).cast("long").alias("n_bytes"), text_of(text).alias("t"))
-    return rows.mapInArrow(run, "row long, id long, n_bytes long, long_tokens long, keys array<string>, times array<long>")
+def totals(found: pa.Table, pieces: Pieces) -> dict[int, int]:
+    """Tokens of each doc that has any: counts of the distinct words, joined and summed."""
+    words = found["word"].combine_chunks()
+    counts = pa.array(pieces.counts(words.dictionary.to_pylist()), pa.int64())
+    found = found.append_column("tokens", pc.multiply(found["times"], pc.take(counts, words.indices)))
+    sums = found.group_by("doc").aggregate([("tokens", "sum")])
+    return dict(zip(sums["doc"].to_pylist(), sums["tokens_sum"].to_pylist(), strict=True))
 
 
-def piece_counts(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """of, n (rows that hold it) and pieces of every distinct pre-token."""
+def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, limit: int = LIMIT) -> DataFrame:
+    """id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row."""
+    vocabulary = vocabulary or vocabulary_file()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = load(vocabulary)
         for batch in batches:
-            counts = load(vocabulary).counts(batch["of"].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch["of"], batch["n"], pa.array(counts, pa.int64())], ["of", "n", "pieces"])
-
-    return keyed_sums.holders(rows).mapInArrow(run, "of string, n long, pieces long")
-
+            found = totals(frequencies(batch["t"].to_pylist(), pieces), pieces)
+            n = pa.array([found.get(doc, 0) for doc in range(batch.num_rows)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["n_bytes"], n, pc.greater(n, limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
-def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, limit: int = LIMIT, longest: int = LONGEST) -> DataFrame:
-    """id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row."""
-    vocabulary = vocabulary or vocabulary_file()
-    rows = staged(frequencies(docs, key, text, vocabulary, longest), "pre-tokens")
-    said = staged(piece_counts(rows, vocabulary), "pieces")
-    found = keyed_sums.with_sums(rows, said, {"tokens": F.col("times") * F.col("pieces")})
-    n = F.col("tokens") + F.col("long_tokens")
-    return found.select("id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.octet_length(text_of(text)).cast("long").alias("n_bytes"), text_of(text).alias("t"))
+    return rows.mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
