@@ -3,10 +3,13 @@ the tables by Spark, and what the operators make of them."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songframe.operators import letter_alignment
+from songframe.functions import timing
+from songframe.operators import letter_alignment, pitch_track
 from songframe.plans import tables as T
 from songframe.plans.book import Book
 
@@ -88,3 +91,28 @@ def alignment_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which alignments can be believed; an event's pitch is that of its frame."""
     frames = T.notes(spark, sf_dir).select("chart_id", (F.col("pos") * HOP_S).alias("t"), "f0", "conf")
     return letter_alignment.trusted(_aligned(spark, sf_dir), frames).withColumn("score", F.round("score", 6))
+
+
+#: Samples a second, samples of an event, and how pitch is looked for in these.
+RATE, EVENT_SAMPLES = 8000, 1024
+PITCH = pitch_track.Settings(rate=RATE, hop=256, window=512)
+
+
+def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chart_id, at, samples): each event is a block of a tone with two overtones at its
+    frequency, or of silence."""
+    angle = lambda i: 2 * math.pi * F.col("f0") * i / RATE
+    tone = lambda i: F.sin(angle(i)) + 0.5 * F.sin(2 * angle(i) + 1) + 0.25 * F.sin(3 * angle(i) + 2)
+    samples = F.transform(F.sequence(F.lit(0), F.lit(EVENT_SAMPLES - 1)), lambda i: tone(i).cast("float"))
+    return T.notes(spark, sf_dir).select("chart_id", (F.col("pos") * EVENT_SAMPLES).alias("at"), samples.alias("samples"))
+
+
+@Q.add("WITH " + T.NOTES + "SELECT chart_id, pos * 4 + k AS frame, round((pos * 4 + k) * 0.032::DOUBLE, 6) AS t, f0 > 0 AS voiced, CASE WHEN f0 > 0 THEN TRUE END AS near FROM notes, (SELECT unnest([0, 1]) AS k)")
+def pitch_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that see one event only: have they a pitch, and is it within a semitone of the
+    event's? The SQL states what was rendered."""
+    truth = T.notes(spark, sf_dir).select(F.col("chart_id").alias("of"), "pos", F.col("f0").alias("true"))
+    frames = pitch_track.pitch_track(event_samples(spark, sf_dir), PITCH).where("frame % 4 < 2")
+    rows = frames.join(truth, (F.col("chart_id") == F.col("of")) & (F.floor(F.col("frame") / 4) == F.col("pos")))
+    near = F.when(F.col("f0") > 0, F.abs(timing.midi_of(F.col("f0")) - timing.midi_of(F.col("true"))) < 1)
+    return rows.select("chart_id", "frame", F.round("t", 6).alias("t"), timing.voiced(F.col("f0"), F.col("conf")).alias("voiced"), near.alias("near"))

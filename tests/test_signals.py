@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from songframe.operators import letter_alignment as letters
+from songframe.operators import pitch_track
 
 
 def every_path(scores, own):
@@ -105,3 +106,83 @@ def test_trust(spark):
     got = {r.chart_id: (r.n, r.hit, r.passes) for r in letters.trusted(words, frames).collect()}
     assert got == {1: (2, 2, True), 2: (2, 1, False), 3: (1, 1, False)}
     assert math.isclose(letters.trusted(words, frames).where("chart_id = 1").first().score, 0.45)
+
+
+PITCH = pitch_track.Settings(rate=8000, hop=256, window=512)
+
+
+def tone(f, n, rate=8000, overtones=(1, 0.5, 0.25)):
+    return sum(a * np.sin(2 * np.pi * f * (k + 1) * np.arange(n) / rate + k) for k, a in enumerate(overtones))
+
+
+def test_differences_equal_sums():
+    rng = np.random.default_rng(3)
+    frames = rng.normal(size=(4, 60))
+    frames[3] = 0
+    got = pitch_track.differences(frames, 40)
+    for x, row in zip(frames, got):
+        sums = [sum((x[j] - x[j + lag]) ** 2 for j in range(40)) for lag in range(21)]
+        want = [1.0] + [sums[lag] / (sum(sums[1 : lag + 1]) / lag) if sum(sums[1 : lag + 1]) else 1.0 for lag in range(1, 21)]
+        assert row == pytest.approx(want)
+
+
+def test_path_of_candidates_equals_enumeration():
+    rng, s = np.random.default_rng(4), pitch_track.Settings(most=2)
+    for _ in range(60):
+        n = rng.integers(1, 6)
+        f0, depth = 2.0 ** rng.uniform(6.5, 9.5, (n, 2)), rng.uniform(0, 0.6, (n, 2))
+        gone = rng.random((n, 2)) < 0.3
+        f0[gone], depth[gone] = np.nan, np.nan
+
+        def cost(path):
+            total, before = 0.0, None
+            for i, k in enumerate(path):
+                if k < 0:
+                    total += s.none
+                else:
+                    deep = [j for j in range(2) if depth[i, j] <= np.nanmin(depth[i]) + s.alike]
+                    total += depth[i, k] + s.below * max(0.0, math.log2(max(f0[i, j] for j in deep) / f0[i, k]))
+                if i and (k < 0) != (before < 0):
+                    total += s.turn
+                if i and k >= 0 and before >= 0:
+                    total += s.leap * min(2.0, abs(math.log2(f0[i, k] / f0[i - 1, before])))
+                before = k
+            return total
+
+        every = [p for p in itertools.product((-1, 0, 1), repeat=n) if all(k < 0 or not gone[i, k] for i, k in enumerate(p))]
+        assert cost(pitch_track.best_path(f0, depth, s).tolist()) == pytest.approx(min(map(cost, every)))
+
+
+def blocks(chart, x, sizes):
+    at, rows = 0, []
+    for size in itertools.cycle(sizes):
+        if at >= len(x):
+            return rows
+        rows.append((chart, at, x[at : at + size].tolist()))
+        at += size
+
+
+def test_tones_and_silence(spark):
+    """A melody with rests and noise, in blocks of any size."""
+    rng = np.random.default_rng(5)
+    melody = [220, 220, 330, 0, 90, 880, 440, 0, 66, 999]
+    x = np.concatenate([tone(f, 4096) if f else rng.normal(size=4096) * (i == 3) for i, f in enumerate(melody)])
+    rows = blocks(1, x, [4096]) + blocks(2, x, [1000, 1700, 701]) + blocks(3, x[:300], [300]) + [(4, 0, None), (5, 0, [])] + blocks(6, x, [4096])[1:2]
+    found = pitch_track.pitch_track(spark.createDataFrame(rows, "chart_id long, at long, samples array<float>"), PITCH).collect()
+    by = {c: sorted((r.frame, r.t, r.f0, r.conf) for r in found if r.chart_id == c) for c in range(1, 7)}
+    assert len(by[1]) == 160 and len(by[3]) == 2 and not by[4] and not by[5]
+    assert [r[0] for r in by[6]] == list(range(16, 32))  # a chart without its first block
+    assert [r[:2] for r in by[2]] == [r[:2] for r in by[1]]
+    assert np.allclose([r[2:] for r in by[1]], [r[2:] for r in by[2]], atol=1e-6)
+    for frame, t, f0, conf in by[1]:
+        assert t == pytest.approx(frame * 0.032)
+        true = melody[frame // 16]
+        if frame % 16 < 13:
+            assert (f0 > 0 and conf > 0.5 and abs(12 * math.log2(f0 / true)) < 1) if true else f0 == conf == 0.0, (frame, f0, true)
+
+
+def test_a_glide_is_followed(spark):
+    t = np.arange(16000) / 8000
+    x = np.sin(2 * np.pi * (150 * t + 75 * t**2))  # 150 to 450 Hz
+    got = sorted((r.t, r.f0) for r in pitch_track.pitch_track(spark.createDataFrame(blocks(1, x, [8000]), "chart_id long, at long, samples array<float>"), PITCH).collect())
+    assert all(abs(12 * math.log2(f / (150 + 150 * (s + 0.032)))) < 1 for s, f in got[:-4])
