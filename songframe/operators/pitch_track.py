@@ -8,12 +8,8 @@ candidate costs its dip, and more the further it is below the highest of those a
 deep (a lag's multiples are as deep as itself); no pitch costs a constant; so does each
 change between pitch and none; leaps cost by their octaves.
 
-Samples come in blocks, (chart_id, at, samples), where `at` is the number of the first
-sample; each block but a chart's last has at least as many as a frame looks at. A block meets
-the head of the next one by a join, so that a chart's blocks are worked on by many
-tasks; only the path, over a few numbers a frame, takes a chart into one. A block that
-is missing, or null, is silence to the block before and has no frames of its own. A
-frame that looks beyond a chart's end sees silence there.
+Samples come in blocks (see sample_blocks) that many tasks work on; only the path, over
+a few numbers a frame, takes a chart into one.
 """
 
 from __future__ import annotations
@@ -26,7 +22,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from songframe.operators.sample_blocks import arrays, frames_of, with_heads
 
 
 @dataclass(frozen=True)
@@ -93,34 +90,21 @@ def dips(curves: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return f0, np.where(np.isinf(depth), np.nan, depth)
 
 
-def frames_of(samples: np.ndarray, after: np.ndarray, skip: int, s: Settings) -> np.ndarray:
-    """Rows of `reach` samples, one every hop of the block's own samples from `skip` on."""
-    n = max(0, -(-(len(samples) - skip) // s.hop))
-    whole = np.zeros(max(0, n - 1) * s.hop + s.reach)
-    both = np.concatenate((samples[skip:], after))[: len(whole)]
-    whole[: len(both)] = both
-    return np.lib.stride_tricks.sliding_window_view(whole, s.reach)[:: s.hop][:n]
-
-
 def candidates(samples: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(chart_id, frame, f0, depth): frequencies and depths of the dips of every frame."""
     names = ["chart_id", "frame", "f0", "depth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chart, at, own, after in zip(*(batch.column(i) for i in range(4)), strict=True):
-                own, after = (x.values.to_numpy().astype(float) if x.is_valid else np.zeros(0) for x in (own, after))
-                first = -(-at.as_py() // s.hop)
-                f0, depth = dips(differences(frames_of(own, after, first * s.hop - at.as_py(), s), s.window), s)
+            for chart, at, own, after in arrays(batch):
+                first = -(-at // s.hop)
+                f0, depth = dips(differences(frames_of(own, after, first * s.hop - at, s.hop, s.reach), s.window), s)
                 found = ~np.isnan(f0)
                 ends = pa.array(np.concatenate(([0], np.cumsum(found.sum(axis=1)))), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x[found], pa.float64())) for x in (f0, depth)]
-                yield pa.RecordBatch.from_arrays([pa.array([chart.as_py()] * len(f0), pa.int64()), pa.array(first + np.arange(len(f0)), pa.int64()), *lists], names)
+                yield pa.RecordBatch.from_arrays([pa.array([chart] * len(f0), pa.int64()), pa.array(first + np.arange(len(f0)), pa.int64()), *lists], names)
 
-    own = samples.where("size(samples) > 0").select("chart_id", F.col("at").cast("long").alias("at"), "samples")
-    heads = own.select(F.col("chart_id").alias("of"), F.col("at").alias("next"), F.slice("samples", 1, s.reach).alias("after"))
-    rows = own.join(heads, (F.col("chart_id") == F.col("of")) & (F.col("at") + F.size("samples") == F.col("next")), "left")
-    return rows.select("chart_id", "at", "samples", "after").mapInArrow(run, "chart_id long, frame long, f0 array<double>, depth array<double>")
+    return with_heads(samples, s.reach).mapInArrow(run, "chart_id long, frame long, f0 array<double>, depth array<double>")
 
 
 def best_path(f0: np.ndarray, depth: np.ndarray, s: Settings) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from songframe.functions import timing
-from songframe.operators import letter_alignment, pitch_track
+from songframe.operators import letter_alignment, pitch_track, speakers, storage, tempo
 from songframe.plans import tables as T
 from songframe.plans.book import Book
 
@@ -104,7 +104,8 @@ def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     angle = lambda i: 2 * math.pi * F.col("f0") * i / RATE
     tone = lambda i: F.sin(angle(i)) + 0.5 * F.sin(2 * angle(i) + 1) + 0.25 * F.sin(3 * angle(i) + 2)
     samples = F.transform(F.sequence(F.lit(0), F.lit(EVENT_SAMPLES - 1)), lambda i: tone(i).cast("float"))
-    return T.notes(spark, sf_dir).select("chart_id", (F.col("pos") * EVENT_SAMPLES).alias("at"), samples.alias("samples"))
+    rows = T.notes(spark, sf_dir).select("chart_id", (F.col("pos") * EVENT_SAMPLES).alias("at"), samples.alias("samples"))
+    return storage.kept(rows, "samples")  # a table, as recordings are
 
 
 @Q.add("WITH " + T.NOTES + "SELECT chart_id, pos * 4 + k AS frame, round((pos * 4 + k) * 0.032::DOUBLE, 6) AS t, f0 > 0 AS voiced, CASE WHEN f0 > 0 THEN TRUE END AS near FROM notes, (SELECT unnest([0, 1]) AS k)")
@@ -116,3 +117,68 @@ def pitch_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frames.join(truth, (F.col("chart_id") == F.col("of")) & (F.floor(F.col("frame") / 4) == F.col("pos")))
     near = F.when(F.col("f0") > 0, F.abs(timing.midi_of(F.col("f0")) - timing.midi_of(F.col("true"))) < 1)
     return rows.select("chart_id", "frame", F.round("t", 6).alias("t"), timing.voiced(F.col("f0"), F.col("conf")).alias("voiced"), near.alias("near"))
+
+
+#: Samples a second and of an event, where an event is half a second of a beat.
+BEAT_RATE, BEAT_SAMPLES = 2000, 1024
+TEMPO = tempo.Settings(rate=BEAT_RATE, hop=32, window=128)
+
+
+def beat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chart_id, at, samples): clicks at a tempo that the chart's number gives."""
+    after = lambda i: F.pmod((F.col("pos") * BEAT_SAMPLES + i) / BEAT_RATE, 60.0 / F.col("true_bpm"))
+    samples = F.transform(F.sequence(F.lit(0), F.lit(BEAT_SAMPLES - 1)), lambda i: (F.exp(-40 * after(i)) * F.sin(2 * math.pi * 400 * after(i))).cast("float"))
+    rows = T.notes(spark, sf_dir).withColumn("true_bpm", 70.0 + F.col("chart_id") * 37 % 100)
+    return storage.kept(rows.select("chart_id", (F.col("pos") * BEAT_SAMPLES).alias("at"), samples.alias("samples")), "samples")
+
+
+@Q.add("SELECT DISTINCT user_id AS chart_id, 70.0::DOUBLE + user_id * 37 % 100 AS true_bpm, TRUE AS within FROM events")
+def tempo_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is the tempo that is heard, in its octave, within 2 percent of the clicks'? The SQL states what was rendered."""
+    true = 70.0 + F.col("chart_id") * 37 % 100
+    return tempo.tempo(beat_samples(spark, sf_dir), TEMPO).select("chart_id", true.alias("true_bpm"), F.coalesce(timing.tempo_deviation(F.col("bpm"), true, None) < 0.02, F.lit(False)).alias("within"))
+
+
+#: Windows of a chart, and the mean cosine distance up to which voices are one.
+CHART_WINDOWS, VOICE_LIMIT = 25, 0.85
+
+
+def voice_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chart_id, pos, start_s, end_s, vector): 25 vectors are a chart, one every second and a half, each
+    of two seconds."""
+    rows = T.read(spark, sf_dir, "embeddings")
+    pos = (F.col("vec_id") % CHART_WINDOWS).cast("int")
+    return rows.select(F.floor(F.col("vec_id") / CHART_WINDOWS).alias("chart_id"), pos.alias("pos"), (pos * 1.5).alias("start_s"), (pos * 1.5 + 2).alias("end_s"), F.col("embedding").alias("vector"))
+
+
+#: CTE named: speakers of windows, by merging the closest pair of clusters again and again.
+VOICES = """
+w AS MATERIALIZED (SELECT vec_id // 25 AS chart_id, (vec_id % 25)::INT AS pos, embedding::DOUBLE[] AS v FROM embeddings),
+apart AS MATERIALIZED (SELECT a.chart_id, a.pos AS i, b.pos AS j, 1 - list_cosine_similarity(a.v, b.v) AS d FROM w a JOIN w b USING (chart_id) WHERE a.pos <> b.pos),
+groups AS (SELECT chart_id, 0 AS step, pos, pos AS own FROM w
+           UNION ALL
+           SELECT g.chart_id, g.step + 1, g.pos, CASE WHEN g.own = m.pair.b THEN m.pair.a ELSE g.own END
+           FROM groups g JOIN (SELECT chart_id, arg_min({'a': a, 'b': b}, d) AS pair, min(d) AS d
+                               FROM (SELECT x.chart_id, x.own AS a, y.own AS b, avg(d) AS d FROM groups x JOIN apart p ON p.chart_id = x.chart_id AND p.i = x.pos JOIN groups y ON y.chart_id = x.chart_id AND y.pos = p.j
+                                     WHERE x.own < y.own GROUP BY ALL) GROUP BY chart_id) m ON m.chart_id = g.chart_id AND {stop}),
+last AS (SELECT chart_id, pos, own FROM groups QUALIFY step = max(step) OVER (PARTITION BY chart_id)),
+named AS (SELECT chart_id, pos, chr((64 + dense_rank() OVER (PARTITION BY chart_id ORDER BY own))::INT) AS speaker FROM last)
+"""
+
+
+@Q.add("WITH RECURSIVE " + VOICES.replace("{stop}", f"m.d <= {VOICE_LIMIT}") + "SELECT * FROM named")
+def voice_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speakers.speakers(voice_windows(spark, sf_dir), limit=VOICE_LIMIT)
+
+
+@Q.add(
+    "WITH RECURSIVE " + VOICES.replace("{stop}", "g.step < (SELECT count(*) FROM w WHERE w.chart_id = g.chart_id) - 2") + """,
+c AS (SELECT *, coalesce(speaker <> lag(speaker) OVER (PARTITION BY chart_id ORDER BY pos), FALSE) AS new FROM named),
+s AS (SELECT *, sum(new::INT) OVER (PARTITION BY chart_id ORDER BY pos) AS seg FROM c)
+SELECT chart_id, seg::INT AS seg, min(pos) * 1.5::DOUBLE AS s, max(pos) * 1.5::DOUBLE + 2 AS e, min(speaker) AS speaker FROM s GROUP BY chart_id, seg"""
+)
+def voice_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of two speakers."""
+    windows = voice_windows(spark, sf_dir)
+    named = speakers.speakers(windows, number=2)
+    return speakers.segments(windows.select("chart_id", "pos", "start_s", "end_s").join(named, ["chart_id", "pos"]))

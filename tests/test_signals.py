@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from songframe.operators import letter_alignment as letters
-from songframe.operators import pitch_track
+from songframe.operators import pitch_track, speakers, tempo
 
 
 def every_path(scores, own):
@@ -186,3 +186,93 @@ def test_a_glide_is_followed(spark):
     x = np.sin(2 * np.pi * (150 * t + 75 * t**2))  # 150 to 450 Hz
     got = sorted((r.t, r.f0) for r in pitch_track.pitch_track(spark.createDataFrame(blocks(1, x, [8000]), "chart_id long, at long, samples array<float>"), PITCH).collect())
     assert all(abs(12 * math.log2(f / (150 + 150 * (s + 0.032)))) < 1 for s, f in got[:-4])
+
+
+BEATS = tempo.Settings(rate=2000, hop=32, window=128)
+
+
+def clicks(bpm, seconds, rate=2000, start=0.0):
+    after = np.mod(np.arange(int(seconds * rate)) / rate - start, 60.0 / bpm)
+    return np.where(np.arange(int(seconds * rate)) / rate >= start, np.exp(-40 * after) * np.sin(2 * np.pi * 400 * after), 0.0)
+
+
+def test_best_row_of_beats_equals_enumeration():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        x, beat = rng.random(rng.integers(1, 12)), float(rng.uniform(2, 4))
+        got = tempo.beats(x, beat, BEATS)
+        scaled, low, high = x / (x.std() or 1.0), max(1, round(beat / 2)), max(2, round(2 * beat))
+
+        def worth(row):
+            return sum(scaled[i] for i in row) - sum(BEATS.tight * math.log((b - a) / beat) ** 2 for a, b in zip(row, row[1:]))
+
+        rows = [r for k in range(1, len(x) + 1) for r in itertools.combinations(range(len(x)), k) if all(low <= b - a <= high for a, b in zip(r, r[1:]))]
+        assert worth(tuple(got.tolist())) == pytest.approx(max(map(worth, rows)))
+
+
+@pytest.mark.parametrize("bpm", [61, 77, 100, 123.4, 150, 180])
+def test_tempo_of_clicks(spark, bpm):
+    x = clicks(bpm, 25, start=0.7) + np.random.default_rng(1).normal(size=50_000) * 0.01
+    rows = blocks(1, x, [2048]) + blocks(2, x, [700, 1100, 333])
+    got = {r.chart_id: r for r in tempo.tempo(spark.createDataFrame(rows, "chart_id long, at long, samples array<float>"), BEATS).collect()}
+    for r in got.values():
+        octave = 2.0 ** round(math.log2(bpm / r.bpm))
+        assert abs(r.bpm * octave / bpm - 1) < 0.02
+    assert got[1].bpm == pytest.approx(got[2].bpm) and got[1].n_beats == got[2].n_beats
+
+
+def test_no_onsets_no_tempo(spark):
+    rows = blocks(1, np.zeros(40_000), [2048]) + blocks(2, clicks(120, 1), [2048]) + [(3, 0, None)]
+    got = {r.chart_id: (r.bpm, r.n_beats, r.first_s) for r in tempo.tempo(spark.createDataFrame(rows, "chart_id long, at long, samples array<float>"), BEATS).collect()}
+    assert got == {1: (None, 0, None), 2: (None, 0, None)}
+
+
+def closest_pair_first(apart, limit, number):
+    """All pairs of clusters compared before each merge."""
+    own = [[i] for i in range(len(apart))]
+    while len(own) > (number or 1):
+        height, a, b = min((np.mean([apart[i][j] for i in x for j in y]), p, q) for (p, x), (q, y) in itertools.combinations(enumerate(own), 2))
+        if not number and height > limit:
+            break
+        own[a] += own.pop(b)
+        own.sort(key=min)
+    return [next(k for k, c in enumerate(sorted(own, key=min)) if i in c) for i in range(len(apart))]
+
+
+def test_chains_equal_closest_pair_first():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 7, 20, 40):
+        for limit, number in ((0.3, None), (0.8, None), (1.1, None), (None, 1), (None, 2), (None, 5)):
+            x = rng.normal(size=(n, 4))
+            assert speakers.labels(x, limit, number) == closest_pair_first(speakers.distances(x), limit, number)
+
+
+def test_ties_and_empty_vectors(spark):
+    """Voices that are alike are one at any limit; missing, zero and misshapen vectors are alone."""
+    rows = [(1, 0, [1.0, 0.0]), (1, 1, [0.0, 2.0]), (1, 2, [2.0, 0.0]), (1, 3, None), (1, 4, [0.0, 0.0]), (1, 5, [1.0]), (1, 6, [0.0, 1.0]), (2, 0, None)]
+    windows = spark.createDataFrame(rows, "chart_id long, pos int, vector array<float>")
+    got = {(r.chart_id, r.pos): r.speaker for r in speakers.speakers(windows, limit=0.2).collect()}
+    assert got == {(1, 0): "A", (1, 1): "B", (1, 2): "A", (1, 3): "C", (1, 4): "D", (1, 5): "E", (1, 6): "B", (2, 0): "A"}
+    assert speakers.speakers(windows.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        speakers.speakers(windows, limit=None)
+
+
+def test_many_speakers_have_names():
+    assert [speakers.name(k) for k in (0, 25, 26, 27, 701, 702)] == ["A", "Z", "AA", "AB", "ZZ", "AAA"]
+
+
+def test_segments_of_voices(spark):
+    """Two voices in turn: windows become segments, and segments name the words' singers."""
+    from songframe.operators import intervals
+
+    rng = np.random.default_rng(8)
+    voices = {"A": rng.normal(size=16), "B": rng.normal(size=16)}
+    turns = "AAABBAABBB"
+    rows = [(1, i, 1.0 * i, i + 1.0, (voices[v] + 0.1 * rng.normal(size=16)).tolist()) for i, v in enumerate(turns)]
+    windows = spark.createDataFrame(rows, "chart_id long, pos int, start_s double, end_s double, vector array<float>")
+    named = windows.join(speakers.speakers(windows, number=2), ["chart_id", "pos"])
+    got = speakers.segments(named)
+    assert sorted((r.seg, r.s, r.e, r.speaker) for r in got.collect()) == [(0, 0.0, 3.0, "A"), (1, 3.0, 5.0, "B"), (2, 5.0, 7.0, "A"), (3, 7.0, 10.0, "B")]
+    words = spark.createDataFrame([(1, 0, 0.5, 1.5), (1, 1, 2.8, 4.0), (1, 2, 5.2, 6.0)], "chart_id long, pos int, start_s double, end_s double")
+    assert {r.pos: r.speaker for r in intervals.dominant_speaker(words, got).collect()} == {0: "A", 1: "B", 2: "A"}
