@@ -6,8 +6,8 @@ pair of owners changes, a new pair of overlapping tokens begins: a link. Where b
 owners change at once, both tokens end: a cut, and the tokens between two cuts are a
 group. Of each pair of ids the corpus counts the documents that hold it linked.
 
-A is a byte-level BPE (encoded as in llm.bpe, without its added tokens), whose entries
-are decoded to bytes; B is a vocabulary of
+A is a byte-level BPE, whose entries are decoded to bytes (a public library merges by the
+ids, which are in the order of the merges); B is a vocabulary of
 pieces, with a mark for the space and entries for single bytes. Strings of special
 tokens are plain text to both. Both encode a space and the text.
 
@@ -48,8 +48,15 @@ class Bytes:
 
 class Tokenizers:
     def __init__(self, byte_vocabulary: str, pattern: str, piece_vocabulary: str):
-        self.bpe = bpe.load(byte_vocabulary, pattern)
-        self.a = Bytes([self.bpe.bytes.get(i, b"") for i in range(max(self.bpe.bytes) + 1)])
+        import tiktoken
+
+        spec = bpe.load(byte_vocabulary, pattern)
+        merged = [new for _, new in sorted(spec.merges.values())]
+        if merged != sorted(merged):
+            raise ValueError("ids of this vocabulary are not in the order of its merges")
+        ranks = {name: i for i, name in spec.bytes.items() if i not in spec.added.values()}
+        self.byte_library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.a = Bytes([spec.bytes.get(i, b"") for i in range(max(spec.bytes) + 1)])
         self.pieces = pieces_of(piece_vocabulary).library
         ids = range(self.pieces.get_piece_size())
         self.b = Bytes([bytes([int(self.pieces.id_to_piece(i)[3:-1], 16)]) if self.pieces.is_byte(i) else self.pieces.id_to_piece(i).replace(SPACE_MARK, " ").encode() for i in ids])
@@ -60,7 +67,7 @@ class Tokenizers:
         """Ids of A and of B; none where either does not give the text back."""
         if text:
             whole = " " + text
-            a = np.frombuffer(self.bpe.ordinary(whole), np.uint32).astype(np.int64)
+            a = np.array(self.byte_library.encode_ordinary(whole), np.int64)
             b = np.array(self.pieces.encode(text), np.int64)
             want = whole.encode("utf-8")
             if self.a.joined(a) == want and self.b.joined(b) == want:
