@@ -160,10 +160,39 @@ def test_intra_line_gap_is_not_negative(spark):
     assert [r.gap_ms for r in got] == [0.0, 500.0, None]
 
 
-def test_allocation():
-    assert sampling.allocation({"a": 50, "b": 30, "c": 20}, 10) == {"a": 5, "b": 3, "c": 2}
-    assert sum(sampling.allocation({i: 1 for i in range(9)}, 4).values()) == 4
-    assert sampling.allocation({"a": 2, "b": 1}, 10) == {"a": 7, "b": 3}
+def allocated(spark, sizes, n):
+    rows = sampling.allocation(spark.createDataFrame(list(sizes.items()), "k string, size long"), n, "k").collect()
+    return {r.k: r.share for r in rows}
+
+
+def test_allocation(spark):
+    assert allocated(spark, {"a": 50, "b": 30, "c": 20}, 10) == {"a": 5, "b": 3, "c": 2}
+    assert allocated(spark, {"a": 2, "b": 1}, 10) == {"a": 7, "b": 3}
+    # nine rounded up to one each: the first five by name give theirs back
+    assert allocated(spark, {c: 1 for c in "abcdefghi"}, 4) == {c: int(c > "e") for c in "abcdefghi"}
+    # 2.5 and 2.5 are even both ways; the stratum with more rows left takes the last one
+    assert allocated(spark, {"a": 25, "b": 25}, 5) == {"a": 3, "b": 2}
+    # null is a name of its own, the last
+    assert allocated(spark, {None: 1, "a": 1, "b": 1}, 2) == {"a": 0, "b": 1, None: 1}
+    assert allocated(spark, {}, 5) == {}
+
+
+def test_allocation_is_near_proportion(spark):
+    rng = random.Random(9)
+    for _ in range(12):
+        sizes = {f"s{i}": rng.randint(1, 60) for i in range(rng.randint(1, 9))}
+        n = rng.randint(1, sum(sizes.values()))
+        got, total = allocated(spark, sizes, n), sum(sizes.values())
+        assert sum(got.values()) == n
+        first = {k: max(1, round(n * v / total)) for k, v in sizes.items()}
+        off = sum(first.values()) - n
+        moved = {k: got[k] - first[k] for k in sizes}
+        assert sum(map(abs, moved.values())) == abs(off)
+        if off > 0:  # who gave had more, before its last row went, than all others have now
+            assert all(got[k] + 1 >= got[j] for k in sizes if moved[k] for j in sizes)
+        if off < 0:
+            left = {k: sizes[k] - got[k] for k in sizes}
+            assert all(left[k] + 1 >= left[j] for k in sizes if moved[k] for j in sizes)
 
 
 def test_terciles_are_ranks(spark):
