@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from songframe.operators import assembly, evaluation, manifest, profiling, recurrences, validation
+from songframe.operators import assembly, evaluation, manifest, profiling, recurrences, storage, validation
 from songframe.operators import sequences as S
 from songframe.operators.storage import kept, new_place
 from songframe.plans import tables as T
@@ -293,3 +293,27 @@ def skipped_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty documents: none is a chart. That limit is the feature of the list."""
     docs = T.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chart_id"), "text")
     return profiling.first_skipped(docs)
+
+
+@Q.add("WITH " + T.NOTES + """, v AS (SELECT *, value + CASE WHEN chart_id % 7 = 0 THEN 1 ELSE 0 END AS v FROM notes JOIN (SELECT event_id, value FROM events) USING (event_id))
+SELECT chart_id, event_type, count(*) AS n, round(sum(v), 4) AS total, CASE WHEN chart_id % 7 = 0 THEN 'second' ELSE 'first' END AS run FROM v WHERE chart_id % 11 <> 0 GROUP BY ALL""")
+def stage_by_song(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of every chart by a stage that is run twice: between the runs the values of every
+    seventh chart change, and only those are computed again. Every eleventh has no result."""
+    path = new_place(spark, "stage")
+    events = T.read(spark, sf_dir, "events").select(F.col("user_id").alias("chart_id"), "event_id", "event_type", "value")
+
+    def songs(shift: float) -> DataFrame:
+        moved = F.col("value") + F.when(F.col("chart_id") % 7 == 0, shift).otherwise(0.0)
+        entry = F.struct("event_id", "event_type", moved.alias("v"))
+        return events.groupBy("chart_id").agg(F.array_sort(F.collect_list(entry)).alias("x"))
+
+    def totals(run: str):
+        def stage(rows: DataFrame) -> DataFrame:
+            own = rows.where("chart_id % 11 <> 0").select("chart_id", F.explode("x").alias("x"))
+            return own.groupBy("chart_id", F.col("x.event_type").alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x.v"), 4).alias("total")).withColumn("run", F.lit(run))
+
+        return stage
+
+    storage.by_song(songs(0.0), "chart_id", totals("first"), path)
+    return storage.by_song(songs(1.0), "chart_id", totals("second"), path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from songframe.functions import timing
-from songframe.operators import letter_alignment, pitch_track, speakers, storage, tempo
+from songframe.operators import letter_alignment, note_events, pitch_track, recurrences, speakers, storage, tempo
 from songframe.plans import tables as T
 from songframe.plans.book import Book
 
@@ -182,3 +182,40 @@ def voice_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = voice_windows(spark, sf_dir)
     named = speakers.speakers(windows, number=2)
     return speakers.segments(windows.select("chart_id", "pos", "start_s", "end_s").join(named, ["chart_id", "pos"]))
+
+
+#: Frames of an event in the grid, and between the onsets of two.
+GRID_FRAMES, GRID_STEP = 14, 4
+
+
+def loudness_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chart_id, frame, midi, amplitude, onset): events of a chart sound one after the other
+    in twelve semitones, overlapping, with a loudness that a hash gives to each frame."""
+    rows = T.notes(spark, sf_dir).select("chart_id", "pos", "event_id", (48 + F.col("event_id") % 12).cast("int").alias("midi"), F.explode(F.sequence(F.lit(0), F.lit(GRID_FRAMES - 1))).alias("k"))
+    loud = ((F.col("event_id") * 31 + F.col("k") * F.col("k") * 7) % 64 + F.when(F.col("event_id") % 3 == 0, 36).otherwise(0)) / 100.0
+    onset = F.when(F.col("k") == 0, (F.col("event_id") % 10) / 10.0).otherwise(0.0)
+    return rows.select("chart_id", (F.col("pos") * GRID_STEP + F.col("k")).alias("frame"), "midi", loud.alias("amplitude"), onset.alias("onset"))
+
+
+GRID = T.NOTES + f""",
+raw AS (SELECT chart_id, pos * {GRID_STEP} + k AS frame, (48 + event_id % 12)::INT AS midi, ((event_id * 31 + k * k * 7) % 64 + CASE WHEN event_id % 3 = 0 THEN 36 ELSE 0 END) / 100.0::DOUBLE AS amplitude,
+               CASE WHEN k = 0 THEN event_id % 10 / 10.0::DOUBLE ELSE 0.0 END AS onset FROM notes, (SELECT unnest(range({GRID_FRAMES})) AS k)),
+loud AS (SELECT chart_id, midi, frame, max(amplitude) AS amplitude, max(onset) AS onset FROM raw WHERE amplitude >= 0.3 GROUP BY ALL),
+o AS (SELECT *, coalesce(frame - lag(frame) OVER w > 1 OR (onset >= 0.5 AND lag(onset) OVER w < 0.5), TRUE)::INT AS new FROM loud WINDOW w AS (PARTITION BY chart_id, midi ORDER BY frame)),
+st AS (SELECT *, sum(new) OVER (PARTITION BY chart_id, midi ORDER BY frame) AS stretch FROM o),
+sung AS (SELECT chart_id, midi, min(frame) AS a, max(frame) + 1 AS b, avg(amplitude) AS amplitude, max(amplitude) AS peak FROM st GROUP BY chart_id, midi, stretch HAVING max(amplitude) >= 0.5 AND max(frame) - min(frame) >= 5)
+"""
+
+
+@Q.add("WITH " + GRID + "SELECT chart_id, (row_number() OVER (PARTITION BY chart_id ORDER BY a, midi) - 1)::INT AS pos, round(a * 0.016::DOUBLE, 6) AS start_s, round(b * 0.016::DOUBLE, 6) AS end_s, midi, round(amplitude, 6) AS amplitude, peak FROM sung")
+def grid_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = note_events.note_events(loudness_grid(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) for c in ("start_s", "end_s", "amplitude")})
+
+
+@Q.add("WITH " + GRID + ", f AS (SELECT chart_id, midi, unnest(range(a, b)) AS frame FROM sung) SELECT chart_id, midi::VARCHAR AS speaker, frame::INT AS frame FROM f")
+def grid_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of the grid turned back into frames, each semitone a voice of its own: the
+    frames that the notes were found in."""
+    found = note_events.note_events(loudness_grid(spark, sf_dir)).withColumn("speaker", F.col("midi").cast("string"))
+    return recurrences.rasterized(found).where("f0 > 0").select("chart_id", "speaker", "frame")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from songframe.operators import letter_alignment as letters
-from songframe.operators import pitch_track, speakers, tempo
+from songframe.operators import note_events, pitch_track, speakers, tempo
 
 
 def every_path(scores, own):
@@ -276,3 +276,19 @@ def test_segments_of_voices(spark):
     assert sorted((r.seg, r.s, r.e, r.speaker) for r in got.collect()) == [(0, 0.0, 3.0, "A"), (1, 3.0, 5.0, "B"), (2, 5.0, 7.0, "A"), (3, 7.0, 10.0, "B")]
     words = spark.createDataFrame([(1, 0, 0.5, 1.5), (1, 1, 2.8, 4.0), (1, 2, 5.2, 6.0)], "chart_id long, pos int, start_s double, end_s double")
     assert {r.pos: r.speaker for r in intervals.dominant_speaker(words, got).collect()} == {0: "A", 1: "B", 2: "A"}
+
+
+def test_notes_of_a_grid(spark):
+    def row(chart, midi, first, loud, onset=()):
+        return [(chart, first + i, midi, x, 1.0 if i in onset else 0.0) for i, x in enumerate(loud)]
+
+    rows = row(1, 60, 0, [0.3, 0.6, 0.3, 0.3, 0.3, 0.4])  # fades but goes on
+    rows += row(1, 60, 7, [0.9] * 5)  # too short
+    rows += row(1, 62, 0, [0.4] * 20)  # never loud
+    rows += row(1, 64, 0, [0.6] * 12, onset=(6, 7))  # struck again at 6, once
+    rows += row(2, 60, 5, [0.6] * 3 + [0.29] + [0.6] * 6) + [(2, 9, 60, 0.9, 0.0), (2, None, 60, 0.9, 0.0), (2, 30, 60, None, 0.0)]
+    grid = spark.createDataFrame(rows, "chart_id long, frame int, midi int, amplitude double, onset double")
+    got = sorted((r.chart_id, r.pos, round(r.start_s / note_events.HOP_S), round(r.end_s / note_events.HOP_S), r.midi, round(r.amplitude, 3), r.peak) for r in note_events.note_events(grid).collect())
+    assert got == [(1, 0, 0, 6, 60, 0.367, 0.6), (1, 1, 0, 6, 64, 0.6, 0.6), (1, 2, 6, 12, 64, 0.6, 0.6), (2, 0, 9, 15, 60, 0.65, 0.9)]
+    assert note_events.note_events(grid.drop("onset")).where("midi = 64").count() == 1
+    assert note_events.note_events(grid.limit(0)).count() == 0
