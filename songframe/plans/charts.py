@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from songframe.functions.arrow import decoded
 from songframe.operators import assembly, evaluation, manifest, profiling, recurrences, storage, validation
 from songframe.operators import sequences as S
 from songframe.operators.storage import kept, new_place
@@ -13,7 +14,7 @@ from songframe.plans.book import Book
 from songframe.plans.joins import PAIRINGS
 from songframe.plans.measures import MATCHED
 from songframe.plans.sequences import LINED, in_beats, lined
-from songframe.sources import chart_text, library
+from songframe.sources import chart_text, library, packed
 
 Q = Book()
 
@@ -317,3 +318,27 @@ def stage_by_song(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     storage.by_song(songs(0.0), "chart_id", totals("first"), path)
     return storage.by_song(songs(1.0), "chart_id", totals("second"), path)
+
+
+@Q.add(
+    "WITH " + CHART + """, n AS (SELECT chart_id, count(*) AS n FROM chart_notes WHERE duration >= 0 GROUP BY chart_id)
+SELECT DISTINCT c.user_id AS chart_id, 'Canción “' || c.user_id || '”' AS title, coalesce(n, 0) AS notes, md5(repeat('c' || c.user_id, 50)) AS cover FROM events c LEFT JOIN n ON n.chart_id = c.user_id"""
+)
+def packed_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts with a cover each, packed in an archive a song and read back; every third text
+    is in the code page that old files are in."""
+    charts, notes = charts_of(spark, sf_dir)
+    charts = charts.withColumn("title", F.concat(F.lit("Canción “"), F.col("chart_id").cast("string"), F.lit("”")))
+    # the quotes of that code page are control characters of ISO 8859-1
+    old = F.encode(F.translate("text", "“”", "\u0093\u0094"), "ISO-8859-1")
+    song = F.col("chart_id").cast("string").alias("song")
+    texts = chart_text.rendered(charts, notes).select(song, F.lit("song.txt").alias("name"), F.when(F.col("chart_id") % 3 == 0, old).otherwise(F.encode("text", "UTF-8")).alias("content"))
+    covers = charts.select(song, F.lit("cover.jpg").alias("name"), F.encode(F.repeat(F.concat(F.lit("c"), song), F.lit(50)), "UTF-8").alias("content"))
+    path = new_place(spark, "packed")
+    packed.register(spark)
+    packed.by_song(texts.unionByName(covers)).write.format("songs").mode("append").save(path)
+    back = spark.read.format("songs").load(path).withColumn("chart_id", F.col("song").cast("long"))
+    files = back.where("name = 'song.txt'").select("chart_id", decoded("content").alias("text"))
+    counts = chart_text.notes(files, keep_tracks=True).where("duration >= 0").groupBy("chart_id").agg(F.count(F.lit(1)).alias("notes"))
+    rows = chart_text.headers(files).select("chart_id", "title").join(counts, "chart_id", "left").join(back.where("name = 'cover.jpg'").select("chart_id", F.md5("content").alias("cover")), "chart_id")
+    return rows.withColumn("notes", F.coalesce("notes", F.lit(0)))
