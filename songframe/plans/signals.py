@@ -12,6 +12,7 @@ from songframe.functions import timing
 from songframe.operators import letter_alignment, note_events, pitch_track, recurrences, speakers, storage, tempo
 from songframe.plans import tables as T
 from songframe.plans.book import Book
+from songframe.sources import sounds
 
 Q = Book()
 
@@ -219,3 +220,18 @@ def grid_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames that the notes were found in."""
     found = note_events.note_events(loudness_grid(spark, sf_dir)).withColumn("speaker", F.col("midi").cast("string"))
     return recurrences.rasterized(found).where("f0 > 0").select("chart_id", "speaker", "frame")
+
+
+@Q.add("SELECT user_id AS chart_id, count(*) * 0.512::DOUBLE AS seconds, count(*) * 1536 AS samples, TRUE AS within FROM events GROUP BY user_id")
+def sound_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clicks of every chart as a file; its length by its head, its samples at another
+    rate, and whether the tempo of those is still the clicks'."""
+    path, rate = storage.new_place(spark, "sounds"), BEAT_RATE * 3 // 2
+    sounds.write_sounds(beat_samples(spark, sf_dir), path, BEAT_RATE)
+    chart = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("chart_id")
+    files = sounds.found(spark, path)
+    heard = sounds.samples(files, rate, block=8192).select(chart, "at", "samples")
+    counts = heard.groupBy("chart_id").agg(F.sum(F.size("samples")).alias("samples"))
+    true = 70.0 + F.col("chart_id") * 37 % 100
+    beats = tempo.tempo(heard, tempo.Settings(rate=rate, hop=48, window=192)).select("chart_id", F.coalesce(timing.tempo_deviation(F.col("bpm"), true, None) < 0.02, F.lit(False)).alias("within"))
+    return sounds.lengths(files).select(chart, "seconds").join(counts, "chart_id").join(beats, "chart_id")

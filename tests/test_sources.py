@@ -1,13 +1,14 @@
 """Archives of songs and sound files: what is written is what is read."""
 
 import os
+import struct
 import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from songframe.sources import packed
+from songframe.sources import packed, sounds
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +56,74 @@ def test_nothing_written_is_nothing_read(spark, songs, tmp_path):
     path = str(tmp_path / "out")
     songs[0].limit(0).write.format("songs").mode("append").save(path)
     assert read(spark, path) == []
+
+
+def wav(x, rate, code=1, bits=16, extensible=False, odd=False):
+    """A file of samples (rows of channels), laid out by hand."""
+    x = np.atleast_2d(np.asarray(x, float).T).T
+    if (code, bits) == (1, 8):
+        body = np.rint(x * 127 + 128).astype(np.uint8).tobytes()
+    elif (code, bits) == (1, 24):
+        body = b"".join(int(v).to_bytes(3, "little", signed=True) for v in np.rint(x * (2**23 - 1)).ravel())
+    else:
+        body = (np.rint(x * (2 ** (bits - 1) - 1)).astype(f"<i{bits // 8}") if code == 1 else x.astype(f"<f{bits // 8}")).tobytes()
+    fmt = struct.pack("<HHIIHH", 0xFFFE if extensible else code, x.shape[1], rate, 0, x.shape[1] * bits // 8, bits)
+    if extensible:
+        fmt += struct.pack("<HHI", 22, bits, 0) + struct.pack("<H", code) + b"\0" * 14
+    chunks = [(b"fmt ", fmt)] + [(b"LIST", b"odd")] * odd + [(b"data", body), (b"tail", b"xx")]
+    out = b"".join(n + struct.pack("<I", len(b)) + b + b"\0" * (len(b) % 2) for n, b in chunks)
+    return b"RIFF" + struct.pack("<I", 4 + len(out)) + b"WAVE" + out
+
+
+def test_sounds_of_all_kinds(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = rng.uniform(-0.9, 0.9, (1000, 2))
+    kinds = {"a": (1, 8), "b": (1, 16), "c": (1, 24), "d": (1, 32), "e": (3, 32), "f": (3, 64)}
+    for name, (code, bits) in kinds.items():
+        (tmp_path / f"{name}.wav").write_bytes(wav(x, 8000, code, bits, extensible=name in "ce", odd=name in "bc"))
+    whole = wav(x, 8000)
+    broken = {"short": whole[:30], "text": b"hello" * 20, "nodata": whole[:36], "codec": wav(x, 8000)[:20] + b"\x11\0" + whole[22:], "norate": whole[:24] + b"\0" * 4 + whole[28:], "early": whole[:-1000]}
+    for name, content in broken.items():
+        (tmp_path / f"{name}.WAV").write_bytes(content)
+    files = sounds.found(spark, f"file://{tmp_path}")
+    of = lambda p: os.path.basename(p).split(".")[0]
+    length = {of(r.path): r for r in sounds.lengths(files).collect()}
+    assert all(length[k].seconds == 0.125 and length[k].rate == 8000 and length[k].channels == 2 for k in kinds)
+    assert all(length[k].seconds == 0.0 for k in broken if k != "early") and 0.09 < length["early"].seconds < 0.125
+    got = {}
+    for r in sounds.samples(files, rate=8000, block=300).collect():
+        got.setdefault(of(r.path), []).append((r.at, r.samples))
+    assert set(got) == {*kinds, "early"}
+    for name in kinds:
+        parts = sorted(got[name])
+        assert [at for at, _ in parts] == [0, 300, 600, 900]
+        assert np.concatenate([s for _, s in parts]) == pytest.approx(x.mean(axis=1), abs=0.01 if name == "a" else 1e-4)
+    assert sounds.lengths(files.limit(0)).count() == sounds.samples(files.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rate, wanted", [(44100, 16000), (8000, 16000), (22050, 44100), (16000, 8000), (48000, 16000)])
+def test_resampled_tones(rate, wanted):
+    """A tone below both rates is the same tone; one above the lower rate is gone. Stretches do not matter."""
+    t = np.arange(rate) / rate
+    low, high = np.sin(2 * np.pi * 440 * t), np.sin(2 * np.pi * (min(rate, wanted) / 2 * 1.3) * t)
+    got = np.concatenate(list(sounds.resampled(iter([low]), rate, wanted)))
+    assert len(got) == wanted
+    want = np.sin(2 * np.pi * 440 * np.arange(wanted) / wanted)
+    assert np.abs(got - want)[200:-200].max() < 0.01
+    if wanted < rate:
+        assert np.abs(np.concatenate(list(sounds.resampled(iter([high]), rate, wanted))))[200:-200].max() < 0.02
+    pieces = np.split(low, [1, 7, 500, 501, 20000])
+    assert np.concatenate(list(sounds.resampled(iter(pieces), rate, wanted))) == pytest.approx(got, abs=1e-9)
+    for n in (0, 1, 2, 31):
+        assert len(np.concatenate([np.zeros(0), *sounds.resampled(iter([low[:n]]), rate, wanted)])) == -(-n * wanted // rate)
+
+
+@pytest.mark.parametrize("bits", [16, 32])
+def test_files_of_samples(spark, tmp_path, bits):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-1, 1, 2500).astype(np.float32)
+    rows = [(7, at, x[at : at + 1000].tolist()) for at in (2000, 0, 1000)] + [(8, 10, [0.5]), (9, 0, [])]
+    sounds.write_sounds(spark.createDataFrame(rows, "chart_id long, at long, samples array<float>"), f"file://{tmp_path}/out", 8000, bits)
+    got = {os.path.basename(r.path): r.samples for r in sounds.samples(sounds.found(spark, f"file://{tmp_path}/out"), 8000).collect()}
+    assert set(got) == {"7.wav", "8.wav"} and sorted(os.listdir(tmp_path / "out")) == ["7.wav", "8.wav", "9.wav"]
+    assert got["7.wav"] == pytest.approx(x.tolist(), abs=1e-4) and got["8.wav"] == pytest.approx([0.0] * 10 + [0.5], abs=1e-4)
