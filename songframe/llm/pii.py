@@ -250,8 +250,8 @@ class SemiCrf:
     def best(self, line: Line) -> list[Span]:
         """The highest path over segments and outside tokens, from left to right: what is
         held are the scores of tokens that a candidate may still end at, and two numbers
-        for each token and kind to find the way back. Where the text goes on after the
-        line, the next token counts as outside."""
+        for each token and kind to find the way back. What follows the line counts as
+        outside, be it text or its end."""
         at, text, recent = line.at, line.text, self.recent
         n, follow, states = len(at) - 1, self.follow.tolist(), range(len(KINDS) + 1)
         low = [-math.inf] * len(states)
@@ -272,8 +272,7 @@ class SemiCrf:
             now = open_.pop(p + 1, None) or low.copy()
             now[0] = out[0]
             back[(p + 1) * len(states)] = p * len(states) + out[1]
-        goes_on = line.hi < len(text)
-        k = max(states, key=lambda s: now[s] + (follow[s][0] if goes_on else 0.0))
+        k = max(states, key=lambda s: now[s] + follow[s][0])
         out, p = [], n
         while p:
             i, before = divmod(back[p * len(states) + k], len(states))
@@ -296,7 +295,7 @@ class SemiCrf:
             parts = [[_sum(a[segments[c][0]] + self.follow[:, k]) + s[c, k - 1] for k in range(1, states)] for c in ending.get(p, ())]
             if parts:
                 a[p, 1:] = [_sum(x) for x in np.array(parts).T]
-        b[n] = 0
+        b[n] = self.follow[:, 0]  # the end of a line counts as outside
         into: dict[int, list[tuple[int, int]]] = {}
         for c, (i, j) in enumerate(segments):
             into.setdefault(i, []).append((c, j))
@@ -305,8 +304,9 @@ class SemiCrf:
             for c, j in into.get(p, ()):
                 parts += [self.follow[:, k] + s[c, k - 1] + b[j, k] for k in range(1, states)]
             b[p] = [_sum(x) for x in np.array(parts).T]
-        z = _sum(a[n])
+        z = _sum(a[n] + b[n])
         follow, found = np.zeros_like(self.follow), np.zeros_like(s)
+        follow[:, 0] -= np.exp(np.minimum(0, a[n] + b[n] - z))
         for p in range(1, n + 1):
             follow[:, 0] -= np.exp(np.minimum(0, a[p - 1] + self.follow[:, 0] + b[p, 0] - z))
         for c, (i, j) in enumerate(segments):
@@ -324,6 +324,7 @@ class SemiCrf:
                 found[at[start, end], kind] += 1
                 follow[last, kind + 1] += 1
                 last, p = kind + 1, ends[end]
+        follow[last, 0] += 1
         self.follow += rate * follow
         for c, fs in enumerate(line.features):
             if np.abs(found[c]).max() > 1e-4:

@@ -88,7 +88,7 @@ def test_best_path_beats_all_others():
         for k, c in path:
             total += model.follow[last, k + 1 if c is not None else 0] + (s[c, k] if c is not None else 0)
             last = k + 1 if c is not None else 0
-        return total
+        return total + model.follow[last, 0]
 
     def paths(line, p, n):
         if p == n:
@@ -177,3 +177,12 @@ def test_forms_that_the_generator_never_writes():
     assert hits >= 0.7 * (hits + misses), (hits, misses)
     for text in ("345 12 345 12", "rows 12 345 678 90 12 34", "ISBN 978-3-16-148410-0", "order 00012345678", "1 2 3 4 5 6 7 8 9", "12:30:45 2020/12/11", "7 of 9123 4567 8901"):
         assert pii.added_spans(text, pii.base_spans(text), pii.trained()) == []
+
+
+@pytest.mark.parametrize("text", ["ana [at] mail.example.com", "499-555-6503", "10[.]0[.]0[.]1", "write to ana.beto [at] mail [dot] example", "ana [at] mail.example.com\n"])
+def test_data_at_the_end_of_a_text_is_whole(text):
+    """The end counts as outside, as the next word does."""
+    field = pii.trained()
+    own, on = (pii.added_spans(x, pii.base_spans(x), field) for x in (text, text.rstrip() + " today"))
+    assert own and own == on
+    assert own[-1][2] == len(text.rstrip())
