@@ -74,6 +74,13 @@ def labels(vectors: np.ndarray, limit: float | None, number: int | None) -> list
     return [numbers.setdefault(top(i), len(numbers)) for i in range(n)]
 
 
+def named(vectors: list, limit: float | None, number: int | None) -> list[str]:
+    """The speaker of each vector."""
+    given = [np.zeros(0) if v is None else np.nan_to_num(np.asarray(v, float)) for v in vectors]
+    size = next((len(v) for v in given if len(v)), 1)
+    return [name(k) for k in labels(np.array([v if len(v) == size else np.zeros(size) for v in given]), limit, number)]
+
+
 def speakers(windows: DataFrame, limit: float | None = 0.5, number: int | None = None) -> DataFrame:
     """(chart_id, pos, speaker) of windows (chart_id, pos, vector): A, B and so on, by their
     first window. Clusters merge while their mean distance is within the limit, or, where a
@@ -83,10 +90,7 @@ def speakers(windows: DataFrame, limit: float | None = 0.5, number: int | None =
 
     def fold(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("pos")
-        given = [np.zeros(0) if v is None else np.nan_to_num(np.asarray(v, float)) for v in x["vector"]]
-        size = next((len(v) for v in given if len(v)), 1)
-        found = labels(np.array([v if len(v) == size else np.zeros(size) for v in given]), limit, number)
-        return x[["chart_id", "pos"]].assign(speaker=[name(k) for k in found])
+        return x[["chart_id", "pos"]].assign(speaker=named(x["vector"], limit, number))
 
     return windows.select("chart_id", "pos", "vector").groupBy("chart_id").applyInPandas(fold, "chart_id long, pos int, speaker string")
 

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from songframe.functions import timing
-from songframe.operators import metrics, recurrences
+from songframe.operators import metrics, profiling, recurrences
 from songframe.operators import sequences as S
+from songframe.operators.storage import new_place
 from songframe.plans import tables as T
 from songframe.plans.book import Book
+from songframe.sources import library
 
 Q = Book()
 
@@ -56,6 +58,16 @@ def style_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.distribution(samples)
 
 
+@Q.add(Q.sql["style_profile"])
+def profile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile as the one JSON object that a report is, read back from a file."""
+    profile, path = style_profile(spark, sf_dir), new_place(spark, "profile")
+    fields = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in profile.schema if f.name != "metric")
+    library.write_json(profiling.as_json(profile).select("value"), path)
+    text = library.read_json(spark, path, "value string")
+    return text.select(F.explode(F.from_json("value", f"map<string,struct<{fields}>>")).alias("metric", "of")).select("metric", "of.*")
+
+
 @Q.add("WITH " + T.NOTES + "SELECT chart_id, pos, round(0 / 1000 + round_even(start_s / 0.0625, 0)::INT * 15 / 240.0, 6) AS t FROM notes")
 def beat_to_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     beat = F.rint(F.col("start_s") / timing.GRID_S).cast("int")

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songframe.functions import timing
+from songframe.functions import sql, timing
 from songframe.operators import letter_alignment, note_events, pitch_track, recurrences, speakers, storage, tempo
 from songframe.plans import tables as T
 from songframe.plans.book import Book
@@ -235,3 +235,29 @@ def sound_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     true = 70.0 + F.col("chart_id") * 37 % 100
     beats = tempo.tempo(heard, tempo.Settings(rate=rate, hop=48, window=192)).select("chart_id", F.coalesce(timing.tempo_deviation(F.col("bpm"), true, None) < 0.02, F.lit(False)).alias("within"))
     return sounds.lengths(files).select(chart, "seconds").join(counts, "chart_id").join(beats, "chart_id")
+
+
+@Q.add("WITH RECURSIVE " + VOICES.replace("{stop}", f"m.d <= {VOICE_LIMIT}") + "SELECT * FROM named")
+def sql_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The speakers again, by a table function."""
+    sql.register(spark)
+    windows = voice_windows(spark, sf_dir).select("chart_id", "pos", "vector")
+    return spark.sql("SELECT * FROM voice_speakers({limit}, TABLE({windows}) PARTITION BY chart_id ORDER BY pos)", limit=VOICE_LIMIT, windows=windows)
+
+
+@Q.add(
+    "WITH " + T.NOTES + """, b AS (SELECT *, 60 + chart_id % 180 AS bpm, value, pos % 5 AS words FROM notes JOIN (SELECT event_id, value FROM events) USING (event_id))
+SELECT chart_id, pos, round(1.2 + pos * 15.0 / bpm, 6) AS t, greatest(0, round_even((start_s - 0.5) * bpm / 15.0, 0)::INT) AS beat, round(greatest(0, start_s * 1000 - 200), 6) AS gap, round(CASE WHEN f0 > 0 THEN 69 + 12 * log2(f0 / 440) END, 6) AS midi,
+       round(440 * 2 ** ((pos - 69) / 12.0), 6) AS hz, conf > 0.5 AND f0 > 0 AS voiced, round(least(end_s, 30) - greatest(start_s, 10), 6) AS overlap, round(CASE WHEN words > 0 THEN value / words ELSE 0 END, 6) AS ratio,
+       CASE WHEN value > 0 THEN 2.0 ** round_even(log2(bpm / value), 0) END AS multiple, coalesce(start_s > 60 AND words / (start_s / 60) < 15, FALSE) AS few FROM b"""
+)
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of time and pitch, called from SQL."""
+    sql.register(spark)
+    values = T.read(spark, sf_dir, "events").select("event_id", "value")
+    rows = T.notes(spark, sf_dir).join(values, "event_id").withColumns({"bpm": 60 + F.col("chart_id") % 180, "words": F.col("pos") % 5})
+    return spark.sql(
+        """SELECT chart_id, pos, round(beat_to_time(pos, bpm, 1200), 6) AS t, time_to_beat(start_s, 0.5, bpm) AS beat, round(gap_of(start_s), 6) AS gap, round(CASE WHEN f0 > 0 THEN midi_of(f0) END, 6) AS midi, round(hz_of(pos), 6) AS hz,
+        voiced(f0, conf) AS voiced, round(overlap_of(start_s, end_s, 10, 30), 6) AS overlap, round(ratio_of(value, words), 6) AS ratio, tempo_multiple(value, bpm) AS multiple, few_words(words, start_s) AS few FROM {rows}""",
+        rows=rows,
+    )
