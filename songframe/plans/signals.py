@@ -3,6 +3,7 @@ the tables by Spark, and what the operators make of them."""
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from songframe.operators import letter_alignment, note_events, pitch_track, recu
 from songframe.plans import tables as T
 from songframe.plans.book import Book
 from songframe.sources import sounds
+from songframe.streaming import status
 
 Q = Book()
 
@@ -261,3 +263,21 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         voiced(f0, conf) AS voiced, round(overlap_of(start_s, end_s, 10, 30), 6) AS overlap, round(ratio_of(value, words), 6) AS ratio, tempo_multiple(value, bpm) AS multiple, few_words(words, start_s) AS few FROM {rows}""",
         rows=rows,
     )
+
+
+#: Where an event says that a song stands, and how long no news are good news.
+SAYS = {"view": "queued", "signup": "queued", "click": "running", "purchase": "done", "error": "failed"}
+NEWS_S = 6 * 3600
+
+
+@Q.add(
+    f"""WITH e AS (SELECT DISTINCT user_id AS song, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) // 1000 AS ms, CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 ELSE 0 END AS k FROM events),
+n AS (SELECT *, ['queued', 'running', 'done', 'failed'][k + 1] AS status, lead(ms) OVER (PARTITION BY song ORDER BY ms, k) AS next FROM e)
+SELECT song, ms, status FROM n UNION ALL SELECT song, ms + {NEWS_S * 1000}, 'timed out' FROM n WHERE k < 2 AND (next IS NULL OR next > ms + {NEWS_S * 1000})"""
+)
+def song_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each song and when, timeouts included, in milliseconds from the start of the year."""
+    ms = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
+    says = F.element_at(F.create_map(*(F.lit(x) for pair in SAYS.items() for x in pair)), F.col("event_type"))
+    events = T.read(spark, sf_dir, "events").select(F.col("user_id").alias("song"), F.timestamp_micros(ms).alias("at"), says.alias("status"))
+    return status.statuses_of(events, dt.datetime(2000, 1, 1, tzinfo=dt.timezone.utc), NEWS_S).select("song", F.unix_millis("at").alias("ms"), "status")
