@@ -25,6 +25,19 @@ def _plain_letters(form: str) -> dict[str, str]:
 
 #: Of words, compatible characters count too (full width letters, raised digits); of letters not.
 WORD_LETTERS, PURE_LETTERS = _plain_letters("NFKD"), _plain_letters("NFD")
+
+
+def _several_letters() -> dict[str, str]:
+    """Letters and digits of all other characters that come apart into some (ligatures, fractions, units)."""
+    out = {}
+    for c in map(chr, range(0xAA, 0x10000)):
+        letters = "".join(x for x in unicodedata.normalize("NFKD", c).lower() if x.isascii() and x.isalnum())
+        if letters and c not in WORD_LETTERS:
+            out[c] = letters
+    return out
+
+
+SEVERAL_LETTERS = _several_letters()
 #: The language names that headers use, and their codes.
 LANGUAGES = {
     "spanish": "es", "español": "es", "espanol": "es", "english": "en", "french": "fr", "français": "fr",
@@ -33,7 +46,8 @@ LANGUAGES = {
     "swedish": "sv", "finnish": "fi", "russian": "ru", "polish": "pl", "turkish": "tr", "latin": "la",
 }
 #: Marks around a word that are not shown.
-OUTER_MARKS = r'[.,;:!?"“”()¿¡]'
+MARKS = '.,;:!?"“”()¿¡'
+OUTER_MARKS = f"[{MARKS}]"
 #: What stands between performers.
 BETWEEN_ARTISTS = r"(?i)\s+y\s+|\s+e\s+|\s*&\s*|\s*,\s*|\s+feat\.?\s+|\s+ft\.?\s+|\s+con\s+|\s+vs\.?\s+|\s+with\s+|\s+\+\s+|\s+x\s+"
 #: Audio file endings that are kept.
@@ -63,9 +77,17 @@ def unaccented(x: Column, letters: dict[str, str] = WORD_LETTERS) -> Column:
     return F.when(plain(low), low).otherwise(apart)
 
 
+#: ASCII characters that no key has.
+NO_KEY = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+
+
 def word_key(x: Column) -> Column:
-    """What two spellings of a word share: a to z and digits."""
-    return F.regexp_replace(unaccented(x), "[^a-z0-9]", "")
+    """What two spellings of a word share: a to z and digits, of ligatures and the like all of them."""
+    near = unaccented(x)
+    letters = F.create_map(*(F.lit(v) for pair in SEVERAL_LETTERS.items() for v in pair))
+    apart = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(letters, c), c)), "")
+    far = F.regexp_replace(unaccented(apart), "[^a-z0-9]", "")
+    return F.when(plain(near), F.translate(near, NO_KEY, "")).otherwise(far)
 
 
 def letters_key(x: Column) -> Column:
@@ -77,6 +99,11 @@ def display(x: Column) -> Column:
     return stripped(F.regexp_replace(stripped(x), f"^{OUTER_MARKS}+|{OUTER_MARKS}+$", ""))
 
 
+def word_display(x: Column) -> Column:
+    """display() of a word that has no white space: a trim."""
+    return F.btrim(x, F.lit(MARKS))
+
+
 def lyric_text(x: Column) -> Column:
     """Lower case without punctuation, single spaces."""
     return stripped(F.regexp_replace(F.regexp_replace(F.lower(x), r"(?U)[^\w\s]", ""), r"(?U)\s+", " "))

@@ -31,7 +31,7 @@ def bracketed_words(lines: DataFrame, shown: bool = False) -> DataFrame:
     start = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("depth")))
     fold = F.aggregate(F.filter(marks, lambda m: m["a"] | m["b"]), start, lambda done, m: F.concat(done, F.array(F.struct(m["at"].alias("at"), F.greatest(F.lit(0), F.element_at(done, -1)["depth"] + m["opens"]).alias("depth")))))
     rows = rows.select("*", F.when(F.col("some"), fold).otherwise(start).alias("marks"))
-    word = lambda at, w, depth, adlib: F.struct(at.alias("word_index"), w.alias("word"), depth.alias("depth"), adlib.alias("adlib"), *([T.display(w).alias("text")] if shown else []))
+    word = lambda at, w, depth, adlib: F.struct(at.alias("word_index"), w.alias("word"), depth.alias("depth"), adlib.alias("adlib"), *([T.word_display(w).alias("text")] if shown else []))
 
     def stretch(m: Column, i: Column) -> Column:
         end = F.coalesce(F.get("marks", i + 1)["at"], F.size("words"))

@@ -97,3 +97,22 @@ def test_word_keys_of_many_alphabets(spark):
             continue
         assert r.k == "".join(c for c in apart("NFKD") if c in "abcdefghijklmnopqrstuvwxyz0123456789"), r
         assert r.l == "".join(c for c in apart("NFD") if c in "abcdefghijklmnopqrstuvwxyz"), r
+
+
+def test_word_keys_of_characters_that_come_apart(spark):
+    """Against the standard library: taken apart, without marks, a to z and digits of what is left."""
+    import unicodedata
+
+    words = ["ﬁancé", "Ĳs", "½", "Ⅷ", "㎏", "ﬀ", "ŉa", "ǆ", "™x", "a\x00b", "plain-Word_9", "ÅNGSTRÖM", "ß", "ñ̃o", "ＡＢ１", "日本", "№5", "", "…"]
+
+    def key(w):
+        return "".join(c for c in unicodedata.normalize("NFKD", w.lower()).lower() if c.isascii() and c.isalnum())
+
+    got = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").select("i", text.word_key(F.col("w")).alias("k")).orderBy("i").collect()
+    assert [r.k for r in got] == [key(w) for w in words]
+
+
+def test_a_words_display_is_a_trim(spark):
+    words = ["(hola!)", "¿Qué?", "“a.b”", "...", "", "a(b)c", "()x¡", "it's", "—a—", "日本。"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select(text.display(F.col("w")).alias("a"), text.word_display(F.col("w")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
