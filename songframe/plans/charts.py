@@ -342,3 +342,42 @@ def packed_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = chart_text.notes(files, keep_tracks=True).where("duration >= 0").groupBy("chart_id").agg(F.count(F.lit(1)).alias("notes"))
     rows = chart_text.headers(files).select("chart_id", "title").join(counts, "chart_id", "left").join(back.where("name = 'cover.jpg'").select("chart_id", F.md5("content").alias("cover")), "chart_id")
     return rows.withColumn("notes", F.coalesce("notes", F.lit(0)))
+
+
+#: CTEs words (that stay, snapped), syl (syllables with their spans) and laid (settled pitch and
+#: place of every note). Words of under half a second hold no several pitches.
+ASSEMBLED = T.SEGMENTS.replace("e AS (", "e AS MATERIALIZED (", 1) + """,
+said AS (SELECT chart_id, row_number() OVER (PARTITION BY chart_id ORDER BY pos) - 1 AS pos, ['corazón', 'noche', 'luna', 'me', 'quiero'][event_id % 5 + 1] AS text, start_s AS s, greatest(end_s, start_s + 0.08) AS e FROM spoken),
+inside AS (SELECT w.chart_id, w.pos, count(*) AS n, min(v.start_s) AS lo, max(v.start_s) AS hi FROM said w JOIN notes v ON v.chart_id = w.chart_id AND v.voiced AND v.start_s >= w.s AND v.start_s < w.e GROUP BY ALL HAVING count(*) >= 3),
+words AS MATERIALIZED (SELECT w.chart_id, w.pos, text, coalesce(lo, s) AS s, coalesce(greatest(hi, lo + 0.08), e) AS e FROM said w LEFT JOIN inside i ON i.chart_id = w.chart_id AND i.pos = w.pos),
+t AS (SELECT *, coalesce(s - lag(e) OVER o > 0.6, FALSE) AS head, greatest(0, first_value(s) OVER o * 1000 - 200) / 1000 AS t0,
+             CASE text WHEN 'corazón' THEN ['co', 'ra', 'zón'] WHEN 'noche' THEN ['no', 'che'] WHEN 'luna' THEN ['lu', 'na'] WHEN 'me' THEN ['me'] ELSE ['quie', 'ro'] END AS parts FROM words WINDOW o AS (PARTITION BY chart_id ORDER BY pos)),
+cut AS (SELECT chart_id, pos, s, e, head, t0, text, unnest(parts) AS part, generate_subscripts(parts, 1) AS k, length(array_to_string(parts, '')) AS total, parts FROM t),
+syl AS MATERIALIZED (SELECT *, s + (e - s) * (length(array_to_string(parts[:k - 1], '')) / total) AS a, s + (e - s) * (length(array_to_string(parts[:k], '')) / total) AS b, (row_number() OVER (PARTITION BY chart_id ORDER BY pos, k) - 1)::INT AS sid FROM cut),
+heard AS (SELECT y.chart_id, y.sid, count(*) AS n, 69 + 12 * log2(median(v.f0) / 440) AS midi FROM syl y JOIN notes v ON v.chart_id = y.chart_id AND v.voiced AND v.start_s >= y.a AND v.start_s < y.b GROUP BY ALL),
+sung AS (SELECT y.chart_id, y.sid, coalesce(n, 0) AS n, head AND k = 1 AS new, CASE WHEN k = 1 AND pos > 0 AND NOT head THEN ' ' ELSE '' END || part AS text, greatest(0, round_even((a - t0) / 0.0625, 0)::INT) AS beat, greatest(0, round_even((b - t0) / 0.0625, 0)::INT) AS endbeat,
+                coalesce(last_value(midi IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(midi IGNORE NULLS) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 60) AS midi
+         FROM syl y LEFT JOIN heard h ON h.chart_id = y.chart_id AND h.sid = y.sid WINDOW o AS (PARTITION BY y.chart_id ORDER BY y.sid)),
+seen AS MATERIALIZED (SELECT *, round_even(median(midi) OVER (PARTITION BY chart_id), 0)::INT - 12 AS down, lead(midi) OVER o AS after, lead(new) OVER o AS after_new, lead(beat) OVER o AS onset, greatest(2, endbeat - beat) AS wanted FROM sung WINDOW o AS (PARTITION BY chart_id ORDER BY sid)),
+laid AS (SELECT chart_id, sid, midi, beat AS start_beat, greatest(1, coalesce(least(wanted, onset - beat), wanted)) AS duration FROM seen WHERE sid = 0
+         UNION ALL
+         SELECT g.chart_id, g.sid, CASE WHEN after IS NOT NULL AND NOT new AND NOT after_new AND n < 5 AND abs(g.midi - l.midi) >= 5 AND abs(g.midi - after) >= 5 THEN (l.midi + after) / 2 ELSE g.midi END,
+                greatest(beat, l.start_beat + l.duration + 1), greatest(1, coalesce(least(wanted, onset - greatest(beat, l.start_beat + l.duration + 1)), wanted))
+         FROM seen g JOIN laid l ON l.chart_id = g.chart_id AND g.sid = l.sid + 1)
+"""
+
+
+@Q.add("WITH RECURSIVE " + ASSEMBLED + "SELECT chart_id, l.start_beat, l.duration, round_even(l.midi, 0)::INT - down AS pitch, ltrim(text) AS text FROM laid l JOIN seen USING (chart_id, sid)")
+def assemble_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length, pitch and text of assembled notes, whatever their line and track."""
+    return _assembled(spark, sf_dir)[1].select("chart_id", "start_beat", "duration", "pitch", F.ltrim("text").alias("text")).distinct()
+
+
+@Q.add(
+    "WITH RECURSIVE " + ASSEMBLED + """, h AS (SELECT chart_id, min(t0) AS t0 FROM t GROUP BY chart_id), d AS (SELECT chart_id, max(end_s) AS d FROM notes GROUP BY chart_id)
+SELECT chart_id, 'Song ' || chart_id AS title, CASE WHEN chart_id % 2 = 0 THEN 'Ana y Beto' ELSE 'Ana' END AS artist, 'a.mp3' AS audio, 240.0::DOUBLE AS bpm, round(t0 * 1000, 0) AS gap_ms, CASE WHEN d > 0 THEN round_even(least(d * 0.25, greatest(0, t0 + 30 * 0.0625)), 2) END AS preview_start
+FROM h JOIN d USING (chart_id)"""
+)
+def assemble_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of assembled songs, but for those of duets."""
+    return _assembled(spark, sf_dir)[0].select("chart_id", "title", "artist", "audio", "bpm", "gap_ms", "preview_start")
