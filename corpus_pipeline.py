@@ -3,6 +3,14 @@
 STAGES lists (name, function). A function takes (spark, docs, sf_dir) and returns
 a DataFrame; run() writes each result as Parquet in the shared folder and reads it
 again as the next one's docs. All but the last return the columns of documents.
+
+In every stage null text counts as empty, and columns other than doc_id, text and source pass
+unread, whatever their names. The classifier scores empty texts as all others. Exact dedup
+leaves one row of all that are equal, so one of rows that repeat as a whole and one of all
+empty texts; near-dedup one of each group of linked texts. Of rows with one id and
+different texts each is a document of its own, with a null id too. Mixing gives a row as often as its
+source's weight asks for, so that ids may repeat from there on. Ties are broken by the
+smallest doc_id, nulls last. An empty table gives an empty result.
 """
 
 from __future__ import annotations
