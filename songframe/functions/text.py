@@ -52,6 +52,9 @@ OUTER_MARKS = f"[{MARKS}]"
 BETWEEN_ARTISTS = r"(?i)\s+y\s+|\s+e\s+|\s*&\s*|\s*,\s*|\s+feat\.?\s+|\s+ft\.?\s+|\s+con\s+|\s+vs\.?\s+|\s+with\s+|\s+\+\s+|\s+x\s+"
 #: Audio file endings that are kept.
 AUDIO_ENDINGS = (".mp3", ".ogg", ".wav", ".m4a", ".flac", ".opus")
+#: Characters that a path's component may not have, and the header of charts with relative beats.
+UNSAFE = r"[^A-Za-z0-9 ._()'\-áéíóúñüÁÉÍÓÚÑÜ]"
+RELATIVE = r"(?im)^#RELATIVE\s*:\s*yes"
 
 
 def stripped(x: Column) -> Column:
@@ -129,7 +132,7 @@ def base_name(x: Column) -> Column:
 
 def path_part(x: Column, fallback: Column, most: int = 80) -> Column:
     """One safe component of a path; the fallback if nothing is left. Null is empty."""
-    safe = F.regexp_replace(base_name(stripped(F.coalesce(x, F.lit("")))), r"[^A-Za-z0-9 ._()'\-áéíóúñüÁÉÍÓÚÑÜ]", "_")
+    safe = F.regexp_replace(base_name(stripped(F.coalesce(x, F.lit("")))), UNSAFE, "_")
     return F.coalesce(F.nullif(F.substring(F.regexp_replace(safe, "^[ .]+|[ .]+$", ""), 1, most), F.lit("")), fallback)
 
 
@@ -195,4 +198,4 @@ def relative_beats(text: Column) -> Column:
 def relative_header(text: Column) -> Column:
     """The same as the replay tells it: a header within the first 4096 bytes."""
     head = F.decode(F.substring(F.encode(text, "UTF-8"), 1, 4096), "ISO-8859-1")
-    return head.rlike(r"(?im)^#RELATIVE\s*:\s*yes")
+    return head.rlike(RELATIVE)

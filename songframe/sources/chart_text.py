@@ -17,6 +17,7 @@ from songframe.functions.text import number_of, number_text, stripped
 KINDS = {":": "normal", "*": "golden", "F": "freestyle", "R": "rap", "G": "rapgolden"}
 #: Where a line of a file ends.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+#: Fixed value: a line that is a note.
 NOTE = r"^.\s+(-?\d+)\s+(\d+)\s+(-?\d+)\s?(.*)$"
 #: Header tags in the order in which they are written, and their columns.
 HEADER_TAGS = (

@@ -76,6 +76,7 @@ def write_csv(rows: DataFrame, path: str, *columns: str) -> None:
 def flat_metrics(rows: DataFrame) -> DataFrame:
     """Columns of a replay's nested record (stem, n_gold_words, whisper, fa, syll,
     pitch, bpm); missing parts are null."""
+    # fixed values: names of the report's columns and of the record's fields
     named = {
         "w_recall": "whisper.recall", "w_onset_med_ms": "whisper.onset.median_ms", "w_onset_mae_ms": "whisper.onset.mae_ms", "w_onset_p90_ms": "whisper.onset.p90_ms", "w_bias_ms": "whisper.onset.bias_ms",
         "fa_ok": "fa.ok", "fa_score": "fa.score", "fa_aligned_frac": "fa.aligned_frac", "fa_recall": "fa.recall", "fa_onset_med_ms": "fa.onset.median_ms", "fa_onset_mae_ms": "fa.onset.mae_ms", "fa_onset_p90_ms": "fa.onset.p90_ms", "fa_bias_ms": "fa.onset.bias_ms",
