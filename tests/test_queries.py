@@ -7,7 +7,7 @@ import pytest
 
 from songframe.plans import registry
 
-TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
