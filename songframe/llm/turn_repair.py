@@ -20,6 +20,10 @@ ranks of the ways through it are all that the rest must know. One small row for
 part then goes to the task that chains the parts, by the same rule, as if each were one
 turn; with its first and last state known each part is repaired on its own.
 
+The first turn of a role and text is told from its duplicates by a mark sorted just before
+it. A range may end between the two. The mark is then noted with the last part of its range,
+and the turn that opens the next range is a part of its own, for which the chain decides.
+
 Turns are taken by turn number (nulls first), those of the same number by role, then
 SHA-256 of the text; rows that are alike in all of these are copies of one another. A null role
 or text is one space. A turn is blank without a character other than ASCII white space, else
@@ -165,7 +169,7 @@ def facts(turns: list) -> dict:
     return {
         BLANK: faults.count(BLANK), DUPLICATE: faults.count(DUPLICATE), CUT: faults.count(CUT),
         "illegal": sum(a + b not in LEGAL for a, b in zip(initials, initials[1:])), "gaps": sum(map(gap, numbers, numbers[1:])),
-        "first_turn": numbers[0] if numbers else None, "last_turn": numbers[-1] if numbers else None, "first_initial": initials[0], "last_initial": initials[-1],
+        "first_turn": numbers[0] if numbers else None, "last_turn": numbers[-1] if numbers else None, "first_initial": initials[0] if initials else None, "last_initial": initials[-1] if initials else None,
     }
 
 
@@ -188,7 +192,7 @@ def ways_through(turns: list) -> list[dict]:
 
 SHARED = f"part long, parts long, {BLANK} long, {DUPLICATE} long, {CUT} long, illegal long, gaps long, cost long, audit string, repaired array<struct<edit: string, role: string, text: string>>"
 PARTS = (
-    f"pid int, no long, open boolean, {SHARED}, first_turn long, last_turn long, first_initial string, last_initial string, "
+    f"pid int, no long, open boolean, marked boolean, opening string, {SHARED}, first_turn long, last_turn long, first_initial string, last_initial string, "
     "ways array<struct<before: int, after: int, cost: long, rank: int>>, turns array<struct<turn: long, role: string, text: string, fault: string>>"
 )
 
@@ -218,7 +222,9 @@ def ordered(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> Dat
 
 def cut(rows: DataFrame, part_rows: int, part_chars: int) -> DataFrame:
     """The parts of all conversations: repaired where the conversation is no longer (open
-    is false), else with their turns and ways through."""
+    is false), else with their turns and ways through. The last of a range is marked where the
+    mark of the turn after it came before the end; it may have no turns. A part of the one turn
+    that opens a range has as opening the fault of that turn if it is no duplicate."""
     conv = rows.select("conv").schema
     result = with_conv(conv, PARTS)
 
@@ -226,14 +232,14 @@ def cut(rows: DataFrame, part_rows: int, part_chars: int) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(result)
-        turns, chars, no, owner, mark, pid = [], 0, 0, None, None, None
+        turns, chars, no, owner, mark, pid, opening = [], 0, 0, None, None, None, None
         goes_on = True  # the first conversation of a partition may begin before it
 
-        def part(more: bool) -> dict:
-            nonlocal turns, chars, no
-            row = {"conv": owner, "pid": pid, "no": no, "open": more or goes_on, "part": 0, "parts": 1, **facts(turns)}
+        def part(more: bool, marked: bool = False) -> dict:
+            nonlocal turns, chars, no, opening
+            row = {"conv": owner, "pid": pid, "no": no, "open": more or goes_on, "marked": marked, "opening": opening, "part": 0, "parts": 1, **facts(turns)}
             row |= {"ways": ways_through(turns), "turns": [dict(zip(("turn", "role", "text", "fault"), t, strict=True)) for t in turns]} if row["open"] else whole(turns)
-            turns, chars, no = [], 0, no + 1
+            turns, chars, no, opening = [], 0, no + 1, None
             return row
 
         for batch in batches:
@@ -247,29 +253,37 @@ def cut(rows: DataFrame, part_rows: int, part_chars: int) -> DataFrame:
                     mark = (c, turn, role, digest)
                     continue
                 if fault != BLANK:
+                    if not turns and no == 0 and mark is None:
+                        opening = fault
                     fault, mark = (fault, None) if mark == (c, turn, role, digest) else (DUPLICATE, mark)
-                if turns and (len(turns) >= part_rows or chars + len(text) > part_chars):
+                if turns and (opening or len(turns) >= part_rows or chars + len(text) > part_chars):
                     out.append(part(more=True))
                     goes_on = True
                 turns.append((turn, role, text, fault))
                 chars += len(text)
             yield to_batch(out, schema)
-        if turns:  # the last conversation may go on after the partition
-            yield to_batch([part(more=True)], schema)
+        if turns or mark:  # the last conversation may go on after the partition
+            yield to_batch([part(more=True, marked=mark is not None)], schema)
 
     return rows.select("conv", "turn", "role", "text", "digest", "fault", "pid").mapInArrow(run, result)
 
 
 def chained(open_parts: DataFrame) -> DataFrame:
     """For each part of a conversation of several: its number among them, the states before
-    and after it, its cost, inserts after it, and what happens at its front edge."""
+    and after it, its cost, inserts after it, what happens at its front edge, and the fault of
+    its turn where that is one which opens a range and is no duplicate."""
     conv = open_parts.select("conv").schema
-    result = with_conv(conv, "pid int, no long, part long, parts long, before int, after int, tail string, cost long, edge_illegal long, edge_gaps long")
+    result = with_conv(conv, "pid int, no long, part long, parts long, before int, after int, tail string, cost long, edge_illegal long, edge_gaps long, opening string")
 
     def run(parts: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         parts = parts.sort_by([("pid", "ascending"), ("no", "ascending")]).to_pylist()
+        for p, marked in zip(parts, [False, *(p["marked"] for p in parts)]):
+            p["opening"] = p["opening"] if marked else None
+            if p["opening"]:
+                p["ways"] = ways_through([(None, p["first_initial"], None, p["opening"])])
+        parts = [p for p in parts if p["first_initial"] is not None]
         found = Layers.starting(NOTHING)
         through = []
         for p in parts:
@@ -283,11 +297,11 @@ def chained(open_parts: DataFrame) -> DataFrame:
         for k, (p, (before, _, after), costs) in enumerate(zip(parts, found.back(end), through, strict=True)):
             tail = TAILS[end] if k == len(parts) - 1 else ""
             illegal = int(last_initial is not None and last_initial + p["first_initial"] not in LEGAL)
-            rows.append({"conv": p["conv"], "pid": p["pid"], "no": p["no"], "part": k, "parts": len(parts), "before": before, "after": after, "tail": tail, "cost": costs[before, after] + INSERT * len(tail), "edge_illegal": illegal, "edge_gaps": gap(last_turn, p["first_turn"])})
+            rows.append({"conv": p["conv"], "pid": p["pid"], "no": p["no"], "part": k, "parts": len(parts), "before": before, "after": after, "tail": tail, "cost": costs[before, after] + INSERT * len(tail), "edge_illegal": illegal, "edge_gaps": gap(last_turn, p["first_turn"]), "opening": p["opening"]})
             last_turn, last_initial = p["last_turn"] if p["last_turn"] is not None else last_turn, p["last_initial"]
         return pa.Table.from_pylist(rows, to_arrow_schema(result))
 
-    slim = open_parts.select("conv", "pid", "no", "ways", "first_turn", "last_turn", "first_initial", "last_initial")
+    slim = open_parts.select("conv", "pid", "no", "marked", "opening", "ways", "first_turn", "last_turn", "first_initial", "last_initial")
     return slim.groupBy("conv").applyInArrow(run, result)
 
 
@@ -303,7 +317,10 @@ def finished(open_parts: DataFrame) -> DataFrame:
             out = []
             for row in batch.to_pylist():
                 turns = [tuple(t.values()) for t in row.pop("turns")]
-                start, end, tail = row.pop("before"), row.pop("after"), row.pop("tail")
+                start, end, tail, opening = row.pop("before"), row.pop("after"), row.pop("tail"), row.pop("opening")
+                if opening:
+                    turns = [(*turns[0][:3], opening)]
+                    row |= {DUPLICATE: 0, CUT: int(opening == CUT)}
                 audit, repaired = applied(turns, layers(turns, start), start, end, tail)
                 out.append(row | {"audit": audit, "repaired": repaired})
             yield to_batch(out, schema)

@@ -102,3 +102,34 @@ def test_a_long_conversation_spreads_over_tasks(spark):
     want = repair.whole(turns)
     assert (got.cost, got.audit) == strings_program(turns)
     assert got.repaired_sha256 == hashlib.sha256("\n".join(f"{x['role']}:{x['text']}" for x in want["repaired"]).encode()).hexdigest()
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """As many ranges as there are on a large table."""
+    ours = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in ours}
+    for name, value in ours.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_first_turns_at_the_front_of_a_range(spark, many_ranges):
+    """A range may end between a turn and the mark that tells it from its duplicates, also
+    among copies of one turn; ends of ranges do not change results."""
+    rng = random.Random(5)
+    talks = {c: turns_of(rng, rng.randint(1, 9)) for c in range(40)}
+    talks[7] = [(0, "user", "a.", repair.SOUND)] + [(0, "user", "a.", repair.DUPLICATE)] * 60 + [(1, "assistant", "b", repair.CUT)] + [(1, "assistant", "b", repair.DUPLICATE)] * 60
+    rows = [(c, *t[:3]) for c, turns in talks.items() for t in turns]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = repair.repair(frame)
+    assert sum(r.parts > 1 for r in found.select("parts").collect()) > 40
+    got = {r.conv: r for r in repair.digests(found).collect()}
+    assert got.keys() == talks.keys()
+    for c, turns in talks.items():
+        want = repair.whole(turns) | repair.facts(turns)
+        assert {k: got[c][k] for k in [*repair.COUNTS, "audit"]} == {k: want[k] for k in [*repair.COUNTS, "audit"]}
+        assert got[c].repaired_sha256 == hashlib.sha256("\n".join(f"{x['role']}:{x['text']}" for x in want["repaired"]).encode()).hexdigest()
