@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 import re
 
 import pandas as pd
@@ -40,6 +41,13 @@ def similarity_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or q is None else similarity(p, q) for p, q in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def midi_of(hz: pd.Series) -> pd.Series:
+    """timing.midi_of() by C's logarithm, as SQL engines have it; null without pitch. Spark's is a
+    quotient of two logarithms, which in three of ten pitches is the next number up or down."""
+    return pd.Series([69 + 12 * math.log2(x / 440.0) if x > 0 else None for x in hz], dtype="float64")
+
+
 @F.pandas_udf(T.StringType())
 def decoded(x: pd.Series) -> pd.Series:
     """Bytes of a chart file: UTF-8 without its mark, else the Windows code page,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from songframe.functions import timing
+from songframe.functions import arrow, timing
 from songframe.operators import metrics, profiling, recurrences
 from songframe.operators import sequences as S
 from songframe.operators.storage import new_place
@@ -269,8 +269,10 @@ r AS (SELECT chart_id, list(value) AS x, min(value) AS lo, max(value) AS hi, 0 A
 SELECT chart_id, line_no::INT AS pos, (abs(value - hi) < abs(value - lo))::INT AS label, round(lo, 6) AS low, round(hi, 6) AS high FROM v JOIN r USING (chart_id) WHERE k = 25"""
 )
 def register_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two means of the pitches of each chart's lines."""
-    rows = S.filled(lined(spark, sf_dir), "midi", 60.0).groupBy("chart_id", "line_no").agg(metrics.median("midi").alias("value"))
+    """Two means of the pitches of each chart's lines. Pitches are the SQL's to the last bit: that
+    tells which way a line goes that is as far from the lowest as from the highest."""
+    rows = lined(spark, sf_dir).withColumn("midi", F.when(F.col("voiced"), arrow.midi_of("f0")))
+    rows = S.filled(rows, "midi", 60.0).groupBy("chart_id", "line_no").agg(metrics.median("midi").alias("value"))
     return recurrences.two_registers(rows.withColumn("pos", F.col("line_no").cast("int"))).withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
 
 

@@ -37,6 +37,19 @@ def test_query(spark, sf_dir, sql, name):
     assert sorted([norm(v) for v in r] for r in rows) == sorted([norm(r[i]) for i in places] for r in want.fetchall())
 
 
+def test_registers_of_lines_halfway(spark, tmp_path):
+    """Lines as far from a chart's lowest as from its highest go where the SQL has them."""
+    con = duckdb.connect()
+    # geometric means: k p^2, k p q and k q^2 tenths of a hertz, a line each, twenty hours apart
+    con.execute("CREATE TABLE m AS SELECT row_number() OVER (ORDER BY k, p, q) AS chart, [k * p * p, k * p * q, k * q * q] AS tenths FROM range(7, 60) a(k), range(4, 30) b(p), range(5, 31) c(q) WHERE p < q AND gcd(p, q) = 1 AND k * p * p >= 650 AND k * q * q <= 10000")
+    con.execute("CREATE VIEW events AS SELECT chart * 3 + i AS event_id, TIMESTAMP '2024-01-01' + to_hours((i * 20)::INT) AS ts, chart AS user_id, 'view' AS event_type, tenths[i + 1] / 100.0 AS value, '{\"k\": 90}' AS props FROM m, range(3) r(i)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = registry.QUERIES["register_means"](spark, str(tmp_path))
+    want = con.sql(registry.ORACLES["register_means"])
+    rows = sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM want").fetchall())
+    assert len(rows) > 1000 and sorted(tuple(r) for r in got.collect()) == rows
+
+
 def test_contract(spark):
     import __spark_entry__ as entry
 
