@@ -221,7 +221,7 @@ def grid_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes of the grid turned back into frames, each semitone a voice of its own: the
     frames that the notes were found in."""
     found = note_events.note_events(loudness_grid(spark, sf_dir)).withColumn("speaker", F.col("midi").cast("string"))
-    return recurrences.rasterized(found).where("f0 > 0").select("chart_id", "speaker", "frame")
+    return recurrences.rasterized(found, silence=False).where("f0 > 0").select("chart_id", "speaker", "frame")
 
 
 @Q.add("SELECT user_id AS chart_id, count(*) * 0.512::DOUBLE AS seconds, count(*) * 1536 AS samples, TRUE AS within FROM events GROUP BY user_id")

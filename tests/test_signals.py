@@ -292,3 +292,34 @@ def test_notes_of_a_grid(spark):
     assert got == [(1, 0, 0, 6, 60, 0.367, 0.6), (1, 1, 0, 6, 64, 0.6, 0.6), (1, 2, 6, 12, 64, 0.6, 0.6), (2, 0, 9, 15, 60, 0.65, 0.9)]
     assert note_events.note_events(grid.drop("onset")).where("midi = 64").count() == 1
     assert note_events.note_events(grid.limit(0)).count() == 0
+
+
+def test_frames_are_not_joined(spark, sf_dir, capsys):
+    """Spark takes a side of frames for small, by the rows that they come from, and broadcasts it."""
+    from songframe.plans import registry
+
+    for name in ("grid_frames", "voice_frames"):
+        registry.QUERIES[name](spark, sf_dir).explain()
+        assert "Join" not in capsys.readouterr().out
+
+
+def test_notes_turned_back_into_frames(spark):
+    """Events that overlap, resume, last no time, end before they start or lie beyond the end, against a loop."""
+    from songframe.operators import recurrences
+
+    rng = random.Random(9)
+    events = [(1, i, float(a), float(a + rng.choice((0, 1, 3, 8, -2))), rng.randrange(60, 63), rng.random(), rng.choice("ABC")) for i, a in enumerate(rng.choices(range(40), k=40))]
+    events += [(2, 0, 9.0, 3.0, 60, 0.9, "A"), (2, 1, 0.0, 2.0, 61, 0.2, "B"), (2, 2, 0.0, 50.0, 61, 0.2, None), (3, 0, -4.0, -3.0, 60, 0.9, "A"), (4, 0, 1.0, None, 60, 0.9, "A"), (5, 0, 3.0, 5.0, 60, 0.9, "A"), (5, 1, 3.0, 5.0, 72, 0.9, "A")]
+    want = {}
+    for chart in range(1, 6):
+        own = sorted((e for e in events if e[0] == chart and e[6]), key=lambda e: (e[2], e[4], e[1]))
+        n = max((int(e[3]) for e in own if e[3] is not None), default=-1) + 1
+        want |= {(chart, e[6], frame): (0.0, 0.0) for e in own for frame in range(n)}
+        for _, _, a, b, midi, loud, who in own if n > 0 else ():
+            a, b = max(0, int(a)), min(n, int(b))
+            want |= {(chart, who, frame): (440 * 2 ** ((midi - 69) / 12), max(0.6, loud)) for frame in range(a, min(n, a + 1) if b <= a else b)}
+    rows = spark.createDataFrame(events, "chart_id long, pos int, start_s double, end_s double, midi int, amplitude double, speaker string")
+    for silence in (True, False):
+        got = [((r.chart_id, r.speaker, r.frame), r.t, (r.f0, r.conf)) for r in recurrences.rasterized(rows, 1, 1, silence).collect()]
+        assert len(got) == len({k for k, _, _ in got}) and all(t == k[2] for k, t, _ in got)
+        assert {k: pytest.approx(v) for k, _, v in got} == {k: v for k, v in want.items() if silence or v[0]}
