@@ -6,11 +6,13 @@ from __future__ import annotations
 import datetime as dt
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from songframe.functions import sql, timing
-from songframe.operators import letter_alignment, note_events, pitch_track, recurrences, speakers, storage, tempo
+from songframe.operators import letter_alignment, note_events, pitch_track, recurrences, sample_blocks, speakers, storage, tempo
 from songframe.plans import tables as T
 from songframe.plans.book import Book
 from songframe.sources import sounds
@@ -97,27 +99,31 @@ def alignment_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Samples a second, samples of an event, and how pitch is looked for in these.
-RATE, EVENT_SAMPLES = 8000, 1024
+RATE, EVENT_SAMPLES = 8000, 32 * 32
 PITCH = pitch_track.Settings(rate=RATE, hop=256, window=512)
 
 
-def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chart_id, at, samples): each event is a block of a tone with two overtones at its
-    frequency, or of silence."""
-    angle = lambda i: 2 * math.pi * F.col("f0") * i / RATE
-    tone = lambda i: F.sin(angle(i)) + 0.5 * F.sin(2 * angle(i) + 1) + 0.25 * F.sin(3 * angle(i) + 2)
-    samples = F.transform(F.sequence(F.lit(0), F.lit(EVENT_SAMPLES - 1)), lambda i: tone(i).cast("float"))
-    rows = T.notes(spark, sf_dir).select("chart_id", (F.col("pos") * EVENT_SAMPLES).alias("at"), samples.alias("samples"))
-    return storage.kept(rows, "samples")  # a table, as recordings are
+def event_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chart_id, at, true): each event is a block of a tone with two overtones at its frequency, or
+    of silence."""
+    return T.notes(spark, sf_dir).select("chart_id", (F.col("pos") * EVENT_SAMPLES).alias("at"), F.col("f0").alias("true"))
+
+
+def tones(rows: pa.Table) -> sample_blocks.Blocks:
+    """The samples of event_tones(): sin(x) + sin(2x + 1) / 2 + sin(3x + 2) / 4, from the turns of
+    a sample and of 32."""
+    i, second, third = np.arange(32), 0.5 * np.exp(1j), 0.25 * np.exp(2j)
+    for at, f0 in zip(rows["at"].to_pylist(), rows["true"].to_pylist(), strict=True):
+        turn = 2j * math.pi * f0 / RATE
+        z = np.multiply.outer(np.exp(turn * 32 * i), np.exp(turn * i)).ravel()
+        yield at, (z * (1 + z * (second + third * z))).imag.astype(np.float32)
 
 
 @Q.add("WITH " + T.NOTES + "SELECT chart_id, pos * 4 + k AS frame, round((pos * 4 + k) * 0.032::DOUBLE, 6) AS t, f0 > 0 AS voiced, CASE WHEN f0 > 0 THEN TRUE END AS near FROM notes, (SELECT unnest([0, 1]) AS k)")
 def pitch_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames that see one event only: have they a pitch, and is it within a semitone of the
     event's? The SQL states what was rendered."""
-    truth = T.notes(spark, sf_dir).select(F.col("chart_id").alias("of"), "pos", F.col("f0").alias("true"))
-    frames = pitch_track.pitch_track(event_samples(spark, sf_dir), PITCH).where("frame % 4 < 2")
-    rows = frames.join(truth, (F.col("chart_id") == F.col("of")) & (F.floor(F.col("frame") / 4) == F.col("pos")))
+    rows = pitch_track.pitch_track_in_place(event_tones(spark, sf_dir), tones, PITCH, keep="true").where("frame % 4 < 2")
     near = F.when(F.col("f0") > 0, F.abs(timing.midi_of(F.col("f0")) - timing.midi_of(F.col("true"))) < 1)
     return rows.select("chart_id", "frame", F.round("t", 6).alias("t"), timing.voiced(F.col("f0"), F.col("conf")).alias("voiced"), near.alias("near"))
 

@@ -4,12 +4,13 @@ and against the tones, clicks and groups they were made from."""
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 
 from songframe.operators import letter_alignment as letters
-from songframe.operators import note_events, pitch_track, speakers, tempo
+from songframe.operators import note_events, pitch_track, sample_blocks, speakers, tempo
 
 
 def every_path(scores, own):
@@ -188,6 +189,25 @@ def test_a_glide_is_followed(spark):
     assert all(abs(12 * math.log2(f / (150 + 150 * (s + 0.032)))) < 1 for s, f in got[:-4])
 
 
+def test_pitch_in_place(spark, sf_dir, capsys):
+    """The same frames as of stored blocks, whatever their sizes; and the query stores and sends no samples."""
+    from songframe.plans import registry
+
+    rng = np.random.default_rng(10)
+    x = np.concatenate([tone(f, 4096) if f else rng.normal(size=4096) * (i == 3) for i, f in enumerate([220, 0, 330, 0, 90, 880])])
+    rows = blocks(1, x, [1000, 1700, 701]) + blocks(2, x, [24576]) + blocks(3, x[:300], [300]) + [(4, 0, None), (5, 0, [])] + blocks(6, x, [4096])[1:4] + blocks(6, x, [4096])[5:]
+    samples = spark.createDataFrame(rows[::-1], "chart_id long, at long, samples array<float>")
+    want = sorted(pitch_track.pitch_track(samples, PITCH).collect())
+    got = sorted(pitch_track.pitch_track_in_place(samples.withColumn("own", samples["at"]), sample_blocks.stored, PITCH, keep="own").collect())
+    assert [tuple(r)[:2] for r in got] == [tuple(r)[:2] for r in want] and np.allclose([tuple(r)[2:5] for r in got], [tuple(r)[2:] for r in want], atol=1e-6)
+    starts = {c: sorted(at for chart, at, y in rows if chart == c and y) for c in range(1, 7)}
+    assert all(r.own == max(at for at in starts[r.chart_id] if at <= r.frame * PITCH.hop) for r in got)
+    assert pitch_track.pitch_track_in_place(samples.limit(0), sample_blocks.stored, PITCH).count() == 0
+    registry.QUERIES["pitch_frames"](spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and not re.search("samples|songframe-", plan)
+
+
 BEATS = tempo.Settings(rate=2000, hop=32, window=128)
 
 
