@@ -247,6 +247,31 @@ def test_no_onsets_no_tempo(spark):
     assert got == {1: (None, 0, None), 2: (None, 0, None)}
 
 
+def test_tempo_in_place(spark, sf_dir, capsys):
+    """The same as of stored blocks, with what is missing between them; and the query stores and sends no samples."""
+    from songframe.plans import registry, signals
+
+    x = clicks(100, 25, start=0.7) + np.random.default_rng(1).normal(size=50_000) * 0.01
+    rows = blocks(1, x, [2048]) + blocks(2, x, [700, 1100, 333]) + blocks(3, np.zeros(40_000), [2048]) + blocks(4, clicks(120, 1), [2048]) + [(5, 0, None), (6, 0, [0.1] * 20)]
+    rows += [r for i, r in enumerate(blocks(7, x, [2048])) if i not in (0, 9)]
+    samples = spark.createDataFrame(rows[::-1], "chart_id long, at long, samples array<float>")
+    want = {r.chart_id: r for r in tempo.tempo(samples, BEATS).collect()}
+    got = {r.chart_id: r for r in tempo.tempo_in_place(samples, sample_blocks.stored, BEATS).collect()}
+    assert set(got) == set(want) == {1, 2, 3, 4, 7}
+    for c, r in got.items():
+        assert (r.bpm, r.first_s) == (pytest.approx(want[c].bpm), pytest.approx(want[c].first_s)) and r.n_beats == want[c].n_beats
+        assert r.n_samples == sum(len(y or []) for chart, _, y in rows if chart == c)
+    chart = next(r for r in signals.event_clicks(spark, sf_dir).groupBy("chart_id").count().collect())
+    table = signals.event_clicks(spark, sf_dir).where(f"chart_id = {chart.chart_id}").orderBy("at").toArrow()
+    parts = list(signals.clicks(table))
+    assert [at for at, _ in parts] == [i * 1024 for i in range(chart["count"])]
+    after = np.mod(np.arange(1024 * chart["count"]) / 2000, 60 / (70 + chart.chart_id * 37 % 100))
+    assert np.concatenate([y for _, y in parts]) == pytest.approx(np.exp(-40 * after) * np.sin(800 * np.pi * after), abs=1e-6)
+    registry.QUERIES["tempo_estimates"](spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and not re.search("samples|songframe-", plan.replace("n_samples", ""))
+
+
 def closest_pair_first(apart, limit, number):
     """All pairs of clusters compared before each merge."""
     own = [[i] for i in range(len(apart))]
