@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from songframe.operators.sample_blocks import Blocks, Reader, arrays, frames_of, in_order, stretches, with_heads
+from songframe.operators.sample_blocks import Blocks, Reader, arrays, by_chart, frames_of, in_order, stretches, with_heads
 
 
 @dataclass(frozen=True)
@@ -213,4 +213,4 @@ def pitch_track_in_place(rows: DataFrame, read: Reader, s: Settings = Settings()
         return pa.table(out)
 
     also = f", {keep} {rows.schema[keep].dataType.simpleString()}" if keep else ""
-    return rows.groupBy("chart_id").applyInArrow(fold, "chart_id long, frame long, t double, f0 double, conf double" + also)
+    return by_chart(rows).applyInArrow(fold, "chart_id long, frame long, t double, f0 double, conf double" + also)

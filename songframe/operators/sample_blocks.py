@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 Blocks = Iterator[tuple[int, np.ndarray]]
@@ -27,6 +27,13 @@ Reader = Callable[[pa.Table], Blocks]
 STRETCH = 1 << 14
 
 
+def by_chart(rows: DataFrame) -> GroupedData:
+    """Charts dealt out over as many tasks as Spark is set to: their rows are few and small, but not
+    the work on their samples, so they are not to be gathered by their bytes."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "chart_id").groupBy("chart_id")
+
+
 def in_order(rows: pa.Table) -> pa.Table:
     """A chart's rows by `at`, if they are blocks."""
     return rows.sort_by("at") if "at" in rows.column_names else rows

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from songframe.operators.sample_blocks import Reader, arrays, frames_of, in_order, stretches, with_heads
+from songframe.operators.sample_blocks import Reader, arrays, by_chart, frames_of, in_order, stretches, with_heads
 
 
 @dataclass(frozen=True)
@@ -159,4 +159,4 @@ def tempo_in_place(rows: DataFrame, read: Reader, s: Settings = Settings()) -> D
         names = ["chart_id", "bpm", "n_beats", "first_s", "n_samples"]
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    return rows.groupBy("chart_id").applyInArrow(fold, "chart_id long, bpm double, n_beats long, first_s double, n_samples long")
+    return by_chart(rows).applyInArrow(fold, "chart_id long, bpm double, n_beats long, first_s double, n_samples long")

@@ -250,14 +250,13 @@ def sound_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clicks of every chart as a file; its length by its head, its samples at another
     rate, and whether the tempo of those is still the clicks'."""
     path, rate = storage.new_place(spark, "sounds"), BEAT_RATE * 3 // 2
-    sounds.write_sounds(beat_samples(spark, sf_dir), path, BEAT_RATE)
+    sounds.write_sounds(event_clicks(spark, sf_dir), path, BEAT_RATE, read=clicks)
     chart = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("chart_id")
-    files = sounds.found(spark, path)
-    heard = sounds.samples(files, rate, block=8192).select(chart, "at", "samples")
-    counts = heard.groupBy("chart_id").agg(F.sum(F.size("samples")).alias("samples"))
+    files = sounds.found(spark, path).repartition("path")  # a task lists many
     true = 70.0 + F.col("chart_id") * 37 % 100
-    beats = tempo.tempo(heard, tempo.Settings(rate=rate, hop=48, window=192)).select("chart_id", F.coalesce(timing.tempo_deviation(F.col("bpm"), true, None) < 0.02, F.lit(False)).alias("within"))
-    return sounds.lengths(files).select(chart, "seconds").join(counts, "chart_id").join(beats, "chart_id")
+    heard = tempo.tempo_in_place(files.select(chart, "path", "length"), sounds.reader(rate, block=8192), tempo.Settings(rate=rate, hop=48, window=192))
+    beats = heard.select("chart_id", F.col("n_samples").alias("samples"), F.coalesce(timing.tempo_deviation(F.col("bpm"), true, None) < 0.02, F.lit(False)).alias("within"))
+    return sounds.lengths(files).select(chart, "seconds").join(beats, "chart_id")
 
 
 @Q.add("WITH RECURSIVE " + VOICES.replace("{stop}", f"m.d <= {VOICE_LIMIT}") + "SELECT * FROM named")

@@ -1,5 +1,6 @@
 """Archives of songs and sound files: what is written is what is read."""
 
+import math
 import os
 import struct
 import zipfile
@@ -127,3 +128,37 @@ def test_files_of_samples(spark, tmp_path, bits):
     got = {os.path.basename(r.path): r.samples for r in sounds.samples(sounds.found(spark, f"file://{tmp_path}/out"), 8000).collect()}
     assert set(got) == {"7.wav", "8.wav"} and sorted(os.listdir(tmp_path / "out")) == ["7.wav", "8.wav", "9.wav"]
     assert got["7.wav"] == pytest.approx(x.tolist(), abs=1e-4) and got["8.wav"] == pytest.approx([0.0] * 10 + [0.5], abs=1e-4)
+
+
+@pytest.mark.parametrize("rate, wanted", [(2000, 3000), (8000, 8001), (3000, 2000)])
+def test_resampled_equals_sums(rate, wanted):
+    """Each new sample against the sum that it is, where weights repeat often and where they do not."""
+    rng, cut = np.random.default_rng(3), min(1.0, wanted / rate)
+    x, half = rng.normal(size=400), math.ceil(sounds.CROSSINGS / cut)
+    want = []
+    for k in range(-(-len(x) * wanted // rate)):
+        away = k * rate / wanted - np.arange(len(x))
+        want.append((x * cut * np.sinc(cut * away) * np.where(np.abs(away) < half, 0.5 + 0.5 * np.cos(np.pi * away / half), 0.0)).sum())
+    for parts in ([x], np.split(x, [1, 150, 151])):
+        assert np.concatenate(list(sounds.resampled(iter(parts), rate, wanted))) == pytest.approx(np.array(want), abs=1e-9)
+
+
+def test_sounds_made_in_place(spark, sf_dir, tmp_path, monkeypatch):
+    """The same files as of stored blocks, read in place as samples() has them; the query stores no samples."""
+    from songframe.operators import storage, tempo
+    from songframe.plans import registry, signals
+
+    clicks = signals.event_clicks(spark, sf_dir)
+    sounds.write_sounds(clicks, f"file://{tmp_path}/a", 2000, read=signals.clicks)
+    rows = [(c, at, x.tolist()) for c in [r.chart_id for r in clicks.select("chart_id").distinct().collect()] for at, x in signals.clicks(clicks.where(f"chart_id = {c}").orderBy("at").toArrow())]
+    sounds.write_sounds(spark.createDataFrame(rows, "chart_id long, at long, samples array<float>"), f"file://{tmp_path}/b", 2000)
+    names = sorted(os.listdir(tmp_path / "a"))
+    assert names == sorted(os.listdir(tmp_path / "b")) and all((tmp_path / "a" / n).read_bytes() == (tmp_path / "b" / n).read_bytes() for n in names)
+    files, s = sounds.found(spark, f"file://{tmp_path}/a").selectExpr("cast(regexp_extract(path, '([0-9]+).wav$') as long) as chart_id", "path", "length"), tempo.Settings(rate=3000, hop=48, window=192)
+    heard = sounds.samples(files, 3000, 8192).join(files.select("chart_id", "path"), "path").select("chart_id", "at", "samples")
+    want = {r.chart_id: r for r in tempo.tempo(heard, s).collect()}
+    got = tempo.tempo_in_place(files, sounds.reader(3000, 8192), s).collect()
+    assert len(got) == len(want) == len(names)
+    assert all(r.bpm == pytest.approx(want[r.chart_id].bpm) and r.n_beats == want[r.chart_id].n_beats for r in got)
+    monkeypatch.setattr(storage, "kept", None)
+    assert registry.QUERIES["sound_files"](spark, sf_dir).count() == len(names)
